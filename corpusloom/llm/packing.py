@@ -70,7 +70,7 @@ def pack(df: DataFrame, id_column: str, size_column: str, capacity: int = CAPACI
     groups = max(1, -(-items.count() // group_items))
     full = F.floor(F.col("size") / capacity)
     items = items.withColumn("full", full).withColumn("rest", F.col("size") - F.col("full") * capacity).withColumn("g", F.pmod(F.xxhash64("id"), F.lit(groups)))
-    whole = items.where("full > 0").select("id", F.explode(F.sequence(F.lit(0), F.col("full") - 1)).cast("int").alias("piece"))
+    whole = items.where("full > 0").select("id", F.explode(F.sequence(F.lit(0), (F.col("full") - 1).cast("int"))).alias("piece"))
     rest = items.where("rest > 0").select("id", F.col("full").cast("int").alias("piece"), (F.col("full") * capacity).alias("token_start"), F.col("rest").alias("n_tokens"), "g")
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
