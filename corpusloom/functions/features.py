@@ -1,0 +1,205 @@
+"""Code-style features: one registry of patterns, compiled to columns in a single projection.
+
+A feature is a boolean (the pattern occurs) or a count. Sets of features are lists of names, so a report over
+another set is another list. Patterns use neither look-around nor Unicode classes and mean the same in RE2.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterable
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from .text import split_lines
+
+#: What each style feature looks for.
+PATTERNS: dict[str, str] = {
+    "vector": r"\b(?:std::)?vector\s*<",
+    "static_array": r"(?m)^\s*(?:(?:static|const|constexpr)\s+)*(?:unsigned\s+)?(?:bool|char|short|int|long\s+long|ll|float|double)\s+[A-Za-z_]\w*\s*\[[^\]]+\]",
+    "maxn_or_maxm": r"\bMAX[NM]\b",
+    "maxn_maxm_constant": r"\b(?:MAXN|MAXM|MAX_[A-Za-z0-9_]+)\b",
+    "bits_stdcpp": r"#\s*include\s*<\s*bits/stdc\+\+\.h\s*>",
+    "using_namespace_std": r"\busing\s+namespace\s+std\s*;",
+    "ios_sync_with_stdio": r"\bios\s*::\s*sync_with_stdio\s*\(",
+    "ios_sync_off": r"\bios\s*::\s*sync_with_stdio\s*\(\s*(?:false|0)",
+    "cin_tie": r"\bcin\s*\.\s*tie\s*\(",
+    "cin_untie": r"\bcin\s*\.\s*tie\s*\(\s*(?:nullptr|NULL|0)",
+    "long_long": r"\blong\s+long\b",
+    "define_int_long_long": r"(?m)^\s*#\s*define\s+int\s+long\s+long\b",
+    "sized_array": r"(?m)^\s*(?:static\s+)?(?:const\s+)?(?:long\s+long|int|char|bool|double)\s+\w+\s*\[[^\]\n]+\]",
+    "line_comment": r"//[^\n]*",
+    "block_comment": r"(?s)/\*.*?\*/",
+    "return_0": r"\breturn\s+0\s*;",
+    "template": r"\btemplate\s*<",
+    "main_function": r"\b(?:int|signed|auto)\s+main\s*\(",
+}
+#: Feature sets of the reports.
+STYLE_FLAGS = ("vector", "static_array", "maxn_or_maxm", "bits_stdcpp", "using_namespace_std", "line_comment", "block_comment")
+CORE_FLAGS = ("vector", "static_array", "maxn_or_maxm", "bits_stdcpp", "using_namespace_std", "fast_io", "any_comment")
+COMPARE_FLAGS = ("using_namespace_std", "bits_stdcpp", "maxn_maxm_constant", "static_array", "vector", "ios_sync_with_stdio", "cin_tie", "long_long", "define_int_long_long")
+ABLATION_FLAGS = ("using_namespace_std", "maxn_maxm_constant", "static_array")
+SCORE_FLAGS = ("using_namespace_std", "bits_stdcpp", "maxn_maxm_constant", "ios_sync_with_stdio", "cin_tie", "sized_array")
+
+#: Containers, and functions by name.
+CONTAINERS: dict[str, str] = {
+    "vector": r"\bvector\s*<",
+    "static_array": r"\b(?:bool|char|short|int|long|float|double|signed|unsigned|ll|i64|u64)(?:\s+long)?\s+[A-Za-z_]\w*\s*\[",
+    "map": r"\bmap\s*<",
+    "unordered_map": r"\bunordered_map\s*<",
+    "set": r"\b(?:multi)?set\s*<",
+    "unordered_set": r"\bunordered_(?:multi)?set\s*<",
+    "queue": r"\b(?:priority_)?queue\s*<",
+    "stack": r"\bstack\s*<",
+    "deque": r"\bdeque\s*<",
+}
+FUNCTION_NAMES = ("dfs", "bfs", "find", "join", "build", "update", "query", "solve", "tarjan", "dijkstra")
+#: Words that are no identifiers of a text's own.
+KEYWORDS = (
+    "alignas alignof and auto bool break case catch char class const continue default delete do double else enum explicit extern false "
+    "float for friend goto if inline int long main namespace new noexcept not nullptr operator or private protected public register "
+    "return short signed sizeof static struct switch template this throw true try typedef typename union unsigned using virtual void "
+    "volatile while std cin cout endl"
+).split()
+#: Fixed value: names in declarations.
+DECLARED = r"\b(?:bool|char|short|int|long\s+long|ll|float|double|string|auto)\s+([A-Za-z_]\w*)"
+
+
+def flag(code: Column, name: str) -> Column:
+    """Whether a registered feature occurs; also the two that are made of others."""
+    if name == "fast_io":
+        return flag(code, "ios_sync_off") | flag(code, "cin_untie")
+    if name == "any_comment":
+        return flag(code, "line_comment") | flag(code, "block_comment")
+    return code.rlike(PATTERNS[name])
+
+
+def count(code: Column, name: str) -> Column:
+    """How often a registered feature occurs."""
+    return F.regexp_count(code, F.lit(PATTERNS[name]))
+
+
+def flags(code: Column, names: Iterable[str]) -> list[Column]:
+    return [flag(code, n).alias(n) for n in names]
+
+
+def score(code: Column, names: Iterable[str] = SCORE_FLAGS) -> Column:
+    """Number of the features that occur."""
+    out = F.lit(0)
+    for n in names:
+        out = out + F.coalesce(flag(code, n).cast("int"), F.lit(0))
+    return out
+
+
+def unpivoted(df: DataFrame, keys: list[str], names: Iterable[str]) -> DataFrame:
+    """(keys..., feature, hit) from boolean columns: one row per feature."""
+    pairs = ", ".join(f"'{n}', cast(`{n}` as int)" for n in names)
+    n = len(list(names))
+    return df.select(*keys, F.expr(f"stack({n}, {pairs}) as (feature, hit)"))
+
+
+def declared_names(code: Column) -> Column:
+    return F.regexp_extract_all(code, F.lit(DECLARED), 1)
+
+
+def naming(code: Column) -> list[Column]:
+    """Declarations, and how their names are written."""
+    names = declared_names(code)
+
+    def named(pattern: str) -> Column:
+        return F.size(F.filter(names, lambda n: n.rlike(pattern)))
+
+    return [
+        F.size(names).alias("declarations"),
+        F.size(F.filter(names, lambda n: F.length(n) == 1)).alias("single_letter"),
+        named("[^_]_+[^_]").alias("snake_case"),
+        named("[a-z][A-Z]").alias("camel_case"),
+        F.length(F.array_join(names, "")).alias("name_characters"),
+    ]
+
+
+def indentation(code: Column) -> Column:
+    """tab, 4_spaces or other, by the majority of indented lines."""
+    lines = F.filter(split_lines(code), lambda s: s.rlike(r"^[ \t]") & s.rlike(r"[^\s]"))
+    tabs = F.size(F.filter(lines, lambda s: F.startswith(s, F.lit("\t"))))
+    fours = F.size(F.filter(lines, lambda s: s.rlike(r"^(?:    )+(?:[^ ]|$)")))
+    others = F.size(lines) - tabs - fours
+    return F.when((tabs > 0) & (tabs > fours) & (tabs > others), "tab").when((fours > 0) & (fours >= tabs) & (fours >= others), "4_spaces").otherwise("other")
+
+
+#: Fixed value: the entry point's return type and arguments.
+MAIN = r"\b(signed|int|int32_t|void)\s+main\s*\(([^)]*)\)"
+
+
+def main_form(code: Column) -> Column:
+    """Return type and class of arguments of the entry point."""
+    kind, arguments = F.regexp_extract(code, MAIN, 1), F.regexp_replace(F.regexp_extract(code, MAIN, 2), r"^\s+|\s+$", "")
+    return F.when(kind == "", "other_or_missing").otherwise(F.concat(kind, F.lit("_main_"), F.when(arguments == "", "empty").when(arguments == "void", "void").otherwise("arguments")))
+
+
+def brace_lines(code: Column) -> list[Column]:
+    """Lines that open a block after other text, and lines that are an opening brace alone."""
+    lines = split_lines(code)
+    same = F.filter(lines, lambda s: s.rlike(r"^[^{]*[^{\s][^{]*\{") & ~s.rlike(r"^\s*#"))
+    alone = F.filter(lines, lambda s: s.rlike(r"^\s*\{\s*$"))
+    return [F.size(same).alias("same_line"), F.size(alone).alias("next_line")]
+
+
+#: Fixed value: a type and a name with bounds, at the start of a line.
+_DECLARATION = PATTERNS["static_array"].replace("(?m)", "")
+
+
+def global_array(code: Column) -> Column:
+    """Whether an array is declared outside all braces and comments: a fold over the lines inside the JVM."""
+
+    def line(state: Column, text: Column) -> Column:
+        # Inside a block comment the text begins after its end; without an end the line has nothing.
+        reopened = F.when(~state["comment"], text).when(F.contains(text, F.lit("*/")), F.regexp_replace(text, r"^.*?\*/", "")).otherwise("")
+        closed = ~state["comment"] | F.contains(text, F.lit("*/"))
+        opened = F.contains(reopened, F.lit("/*"))
+        after = F.regexp_replace(reopened, r"^.*?/\*", "")
+        kept = F.substring_index(F.when(opened, F.substring_index(reopened, "/*", 1)).otherwise(reopened), "//", 1)
+        depth = F.greatest(F.lit(0), state["depth"] + F.regexp_count(kept, F.lit(r"\{")) - F.regexp_count(kept, F.lit(r"\}")))
+        return F.struct(
+            F.when(closed, depth).otherwise(state["depth"]).cast("int").alias("depth"),
+            F.when(closed, opened & ~F.contains(after, F.lit("*/"))).otherwise(F.lit(True)).alias("comment"),
+            (state["hit"] | (closed & (state["depth"] == 0) & kept.rlike(_DECLARATION))).alias("hit"),
+        )
+
+    start = F.struct(F.lit(0).cast("int").alias("depth"), F.lit(False).alias("comment"), F.lit(False).alias("hit"))
+    return F.aggregate(split_lines(code), start, line, lambda s: s["hit"])
+
+
+def top_level(code: Column) -> Column:
+    """The lines that begin outside all braces."""
+
+    def line(state: Column, text: Column) -> Column:
+        depth = F.greatest(F.lit(0), state["depth"] + F.regexp_count(text, F.lit(r"\{")) - F.regexp_count(text, F.lit(r"\}")))
+        kept = F.when(state["depth"] == 0, F.concat(state["kept"], F.array(text))).otherwise(state["kept"])
+        return F.struct(depth.cast("int").alias("depth"), kept.alias("kept"))
+
+    start = F.struct(F.lit(0).cast("int").alias("depth"), F.array().cast("array<string>").alias("kept"))
+    return F.aggregate(split_lines(code), start, line, lambda s: F.array_join(s["kept"], "\n"))
+
+
+#: Fixed value: comments and quoted literals of C++.
+LITERAL = r"""//[^\n]*|/\*[\s\S]*?\*/|"(?:\\[\s\S]|[^"\\])*"|'(?:\\[\s\S]|[^'\\])*'"""
+
+
+@F.arrow_udf(T.StringType())
+def mask_literals(code: pa.Array) -> pa.Array:
+    """Comments and quoted literals as spaces, line feeds kept: a replacement by a function, which no built-in has."""
+    import re
+
+    literal, inner = re.compile(LITERAL), re.compile(r"[^\n]")
+    return pa.array([None if x is None else literal.sub(lambda m: inner.sub(" ", m.group()), x) for x in code.to_pylist()], pa.string())
+
+
+#: Fixed value: a line that begins a function definition; statements that look like one are left out by name.
+FUNCTION_LINE = r"(?m)^\s*(?:[\w:<>,~*&]+\s+)+([A-Za-z_]\w*)\s*\([^;{}]*\)\s*(?:const\s*)?\{"
+
+
+def function_count(code: Column) -> Column:
+    return F.size(F.filter(F.regexp_extract_all(code, F.lit(FUNCTION_LINE), 1), lambda n: ~n.isin("if", "for", "while", "switch")))

@@ -62,3 +62,92 @@ def instant_micros(text: Column) -> Column:
     zoned = F.when(text.rlike(r"[+-]\d{4}$"), F.regexp_replace(text, r"([+-]\d{2})(\d{2})$", "$1:$2")).when(text.rlike(r":\d{2}(\.\d+)?[+-]\d{2}$"), F.concat(text, F.lit(":00"))).otherwise(text)
     utc = F.when(zoned.rlike(r"(Z|[+-]\d{2}:\d{2})$"), zoned).otherwise(F.concat(zoned, F.lit("Z")))
     return F.when(text.rlike(ISO_INSTANT), F.unix_micros(F.translate(utc, ",", ".").try_cast("timestamp")))
+
+
+#: Identifiers in running text, in addresses, and events in paths. The first group ends before what bounds it.
+LUOGU_BARE = r"(?i)(?:^|[^A-Za-z0-9])(P\d{3,7})(?![A-Za-z0-9])"
+LUOGU_URL = r"(?i)luogu\.com\.cn/problem/(P\d{3,7})(?![A-Za-z0-9])"
+CF_BARE = r"(?i)(?:^|[^A-Za-z0-9])CF(\d{1,7}[A-Z]\d?)(?![A-Za-z0-9])"
+CF_SET_URL = r"(?i)codeforces\.com/problemset/problem/(\d{1,7}/[A-Z]\d?)"
+CF_CONTEST_URL = r"(?i)codeforces\.com/contest/(\d{1,7}/problem/[A-Z]\d?)"
+EVENT = r"(?i)ICPC|CCPC"
+LOCATABLE = {"luogu": r"(?i)^P\d{3,7}$", "codeforces": r"(?i)^\d{1,7}[A-Z]\d?$", "atcoder": r"(?i)^(?:ABC|ARC|AGC)\d{3}_[A-H]$", "hdu": r"^\d{3,6}$", "poj": r"^\d{3,6}$"}
+
+
+def candidate_ids(text: Column) -> Column:
+    """Sorted distinct "judge:number" of all identifiers in a text."""
+
+    def found(pattern: str, judge: str) -> Column:
+        each = F.regexp_extract_all(text, F.lit(pattern), 1)
+        return F.transform(each, lambda x: F.concat(F.lit(f"{judge}:"), F.regexp_replace(F.upper(x), "/(?:PROBLEM/)?", "")))
+
+    every = F.concat(found(LUOGU_BARE, "luogu"), found(LUOGU_URL, "luogu"), found(CF_BARE, "codeforces"), found(CF_SET_URL, "codeforces"), found(CF_CONTEST_URL, "codeforces"))
+    return F.array_sort(F.array_distinct(every))
+
+
+def path_stem(path: Column) -> Column:
+    return F.regexp_replace(F.substring_index(path, "/", -1), r"(.)\.[^.]*$", "$1")
+
+
+def event_id(path: Column, header: Column) -> Column:
+    """"icpc:event_LETTER" of a file named by a letter under directories that name an event; else null."""
+    stem = path_stem(path)
+    parts = F.filter(F.slice(F.split(path, "/"), F.lit(1), F.greatest(F.size(F.split(path, "/")) - 1, F.lit(0))), lambda p: p.rlike(EVENT) | p.rlike(r"20\d{2}"))
+    slug = F.regexp_replace(F.lower(F.regexp_replace(F.array_join(parts, "_"), "[^A-Za-z0-9]+", "_")), "^_+|_+$", "")
+    named = path.rlike(EVENT) | F.coalesce(header, F.lit("")).rlike(EVENT)
+    return F.when(named & stem.rlike(r"^[A-Ma-m](?:[_-]?\d+)?$") & (F.size(parts) > 0), F.concat(F.lit("icpc:"), slug, F.lit("_"), F.upper(stem)))
+
+
+def resolve_id(path: Column, header: Column, subject: Column) -> Column:
+    """struct(id, evidence, candidates): the identifier at the first of four levels that has any.
+
+    A level with one candidate gives it; one with several is ambiguous and ends the search. Then comes the event of the path.
+    """
+    levels = {"filename": candidate_ids(path_stem(path)), "path": candidate_ids(path), "header": candidate_ids(header), "git_subject": candidate_ids(F.coalesce(subject, F.lit("")))}
+    identifier, evidence = F, F
+    for name, found in levels.items():
+        identifier = identifier.when(F.size(found) == 1, found[0]).when(F.size(found) > 1, F.lit(None).cast("string"))
+        evidence = evidence.when(F.size(found) == 1, name).when(F.size(found) > 1, f"ambiguous_{name}")
+    event = event_id(path, header)
+    every = F.array_sort(F.array_distinct(F.flatten(F.array(*levels.values()))))
+    return F.struct(
+        identifier.otherwise(event).alias("id"),
+        evidence.when(event.isNotNull(), "explicit_icpc_path").otherwise("none").alias("evidence"),
+        F.when((F.size(every) == 0) & event.isNotNull(), F.array(event)).otherwise(every).alias("candidates"),
+    )
+
+
+def locatable(source: Column, problem: Column) -> Column:
+    """Whether a judge's page can be found by the number alone."""
+    out = F.lit(False)
+    for name, pattern in LOCATABLE.items():
+        out = out | ((source == name) & problem.rlike(pattern))
+    return F.coalesce(out, F.lit(False))
+
+
+def statement_url(source: Column, problem: Column) -> Column:
+    """Address of a problem's page; null where there is no rule. Contests from 100000 on are gyms."""
+    contest, index = F.regexp_extract(problem, r"(?i)^(\d{1,7})([A-Z]\d?)$", 1), F.upper(F.regexp_extract(problem, r"(?i)^(\d{1,7})([A-Z]\d?)$", 2))
+    luogu = F.concat(F.lit("https://www.luogu.com.cn/problem/"), F.upper(problem))
+    gym = F.concat(F.lit("https://codeforces.com/gym/"), contest, F.lit("/problem/"), index)
+    plain_set = F.concat(F.lit("https://codeforces.com/problemset/problem/"), contest, F.lit("/"), index)
+    return F.when((source == "luogu") & problem.rlike(LOCATABLE["luogu"]), luogu).when((source == "codeforces") & (index != ""), F.when(contest.cast("int") >= 100000, gym).otherwise(plain_set))
+
+
+def path_has_identifier(path: Column, identifiers: Column) -> Column:
+    """Whether a run of letters and digits of a path is one of the identifiers (compared without other characters)."""
+    wanted = F.transform(identifiers, lambda i: F.regexp_replace(F.lower(i), "[^a-z0-9]", ""))
+    return F.arrays_overlap(F.regexp_extract_all(F.lower(path), F.lit("[a-z0-9]+"), 0), wanted)
+
+
+def text_has_identifier(text: Column, identifier: Column) -> Column:
+    """Whether a text has the identifier with no letter or digit beside it; identifiers under three characters never."""
+    bounded = F.concat(F.lit(r"(?i)(?:^|[^A-Za-z0-9])\Q"), identifier, F.lit(r"\E(?:$|[^A-Za-z0-9])"))
+    return (F.length(identifier) >= 3) & F.regexp_like(text, bounded)
+
+
+def identifier_forms(item: Column, problem: Column) -> Column:
+    """Identifiers an item goes by: its name, its number, and the number without a judge's prefix."""
+    lower = F.lower(problem)
+    short = F.regexp_replace(lower, r"^(?:kattis|boj|uva|icpc)[^a-z0-9]*", "")
+    return F.array_distinct(F.array(F.lower(item), lower, short))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 #: Modules of this subpackage that register queries.
-MODULES: tuple[str, ...] = ()
+MODULES: tuple[str, ...] = ("corpus",)
 
 
 def all_queries() -> dict:
