@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: The names a judge goes by, after lower-casing and without underscores.
@@ -98,23 +98,26 @@ def event_id(path: Column, header: Column) -> Column:
     return F.when(named & stem.rlike(r"^[A-Ma-m](?:[_-]?\d+)?$") & (F.size(parts) > 0), F.concat(F.lit("icpc:"), slug, F.lit("_"), F.upper(stem)))
 
 
-def resolve_id(path: Column, header: Column, subject: Column) -> Column:
-    """struct(id, evidence, candidates): the identifier at the first of four levels that has any.
+#: The levels of evidence, in the order in which they are tried.
+LEVELS = ("filename", "path", "header", "git_subject")
+
+
+def resolve_ids(df: DataFrame, key: str, path: Column, header: Column, subject: Column) -> DataFrame:
+    """(key, id, evidence, candidates): the identifier at the first of four levels that has any.
 
     A level with one candidate gives it; one with several is ambiguous and ends the search. Then comes the event of the path.
+    Levels are columns of a projection of their own, so that each text is searched once.
     """
-    levels = {"filename": candidate_ids(path_stem(path)), "path": candidate_ids(path), "header": candidate_ids(header), "git_subject": candidate_ids(F.coalesce(subject, F.lit("")))}
+    texts = (path_stem(path), path, header, F.coalesce(subject, F.lit("")))
+    found = df.select(key, *[candidate_ids(t).alias(f"_{n}") for n, t in zip(LEVELS, texts)], event_id(path, header).alias("_event"))
     identifier, evidence = F, F
-    for name, found in levels.items():
-        identifier = identifier.when(F.size(found) == 1, found[0]).when(F.size(found) > 1, F.lit(None).cast("string"))
-        evidence = evidence.when(F.size(found) == 1, name).when(F.size(found) > 1, f"ambiguous_{name}")
-    event = event_id(path, header)
-    every = F.array_sort(F.array_distinct(F.flatten(F.array(*levels.values()))))
-    return F.struct(
-        identifier.otherwise(event).alias("id"),
-        evidence.when(event.isNotNull(), "explicit_icpc_path").otherwise("none").alias("evidence"),
-        F.when((F.size(every) == 0) & event.isNotNull(), F.array(event)).otherwise(every).alias("candidates"),
-    )
+    for n in LEVELS:
+        c = F.col(f"_{n}")
+        identifier = identifier.when(F.size(c) == 1, c[0]).when(F.size(c) > 1, F.lit(None).cast("string"))
+        evidence = evidence.when(F.size(c) == 1, n).when(F.size(c) > 1, f"ambiguous_{n}")
+    event = F.col("_event")
+    every = F.array_sort(F.array_distinct(F.flatten(F.array(*[f"_{n}" for n in LEVELS]))))
+    return found.select(key, identifier.otherwise(event).alias("id"), evidence.when(event.isNotNull(), "explicit_icpc_path").otherwise("none").alias("evidence"), F.when((F.size(every) == 0) & event.isNotNull(), F.array(event)).otherwise(every).alias("candidates"))
 
 
 def locatable(source: Column, problem: Column) -> Column:

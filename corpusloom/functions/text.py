@@ -5,6 +5,8 @@ Beside each pattern stands what makes it equal in RE2 dialects: no look-around,
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -19,6 +21,15 @@ LINE_END = r"\r\n|[\n\r\x0B\f\x1c-\x1e\x{85}\x{2028}\x{2029}]"
 WIDTH = 5
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once per row.
+
+    A column that a lambda refers to may be inlined into it by the optimizer and computed anew for each element; a lambda
+    variable is bound to the value.
+    """
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def fold_newlines(text: Column) -> Column:
     """CRLF and lone CR as LF."""
     return F.regexp_replace(text, r"\r\n?", "\n")
@@ -48,17 +59,22 @@ def ascii_token_count(text: Column) -> Column:
     return F.regexp_count(text, F.lit(ASCII_TOKEN))
 
 
+def _shingles(tokens: Column, width: int, digest: Callable[[Column], Column]) -> Column:
+    def of(t: Column) -> Column:
+        runs = F.transform(F.sequence(F.lit(1), F.size(t) - (width - 1)), lambda i: digest(F.array_join(F.slice(t, i, width), "\0")))
+        return F.array_distinct(F.when(F.size(t) >= width, runs).otherwise(F.transform(t, digest)))
+
+    return let(tokens, of)
+
+
 def shingle_hashes(tokens: Column, width: int = WIDTH) -> Column:
     """Distinct 64-bit hashes of runs of ``width`` tokens; of single tokens if there are fewer than ``width``."""
-    runs = F.transform(F.sequence(F.lit(1), F.size(tokens) - (width - 1)), lambda i: F.xxhash64(F.array_join(F.slice(tokens, i, width), "\0")))
-    single = F.transform(tokens, lambda t: F.xxhash64(t))
-    return F.array_distinct(F.when(F.size(tokens) >= width, runs).otherwise(single))
+    return _shingles(tokens, width, lambda s: F.xxhash64(s))
 
 
 def shingle_digests(tokens: Column, width: int = WIDTH) -> Column:
     """The same as SHA-1 digests of NUL-joined tokens, for comparison with other systems."""
-    runs = F.transform(F.sequence(F.lit(1), F.size(tokens) - (width - 1)), lambda i: F.sha1(F.array_join(F.slice(tokens, i, width), "\0")))
-    return F.array_distinct(F.when(F.size(tokens) >= width, runs).otherwise(F.transform(tokens, lambda t: F.sha1(t))))
+    return _shingles(tokens, width, lambda s: F.sha1(s))
 
 
 def jaccard(left: Column, right: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -59,8 +59,8 @@ def scoped(df: DataFrame, scopes: dict[str, Column]) -> DataFrame:
 
 def best_groups(means: DataFrame, group: str, score: str) -> DataFrame:
     """The groups with the greatest score, ties included."""
-    top = means.agg(F.max(score).alias("_top"))
-    return means.crossJoin(F.broadcast(top)).where(F.col(score) == F.col("_top")).drop("_top")
+    # One row per group: a window over a report, not over data.
+    return means.withColumn("_top", F.max(score).over(Window.partitionBy())).where(F.col(score) == F.col("_top")).drop("_top")
 
 
 def first_case(cases: Column, test) -> Column:

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import code_tokens, normalize_code, sha256_text, shingle_hashes
+from ..functions.text import code_tokens, let, normalize_code, sha256_text, shingle_hashes
 
 THRESHOLD = 0.8
 #: A pair whose token counts differ by more isn't compared.
@@ -25,8 +25,8 @@ def sized_broadcast(df: DataFrame, most: int) -> DataFrame:
 
 
 def _tokenized(df: DataFrame, key: str, text: str) -> DataFrame:
-    tokens = df.where(F.col(text).isNotNull()).select(F.col(key).alias("k"), code_tokens(F.col(text)).alias("t"))
-    return tokens.select("k", F.size("t").alias("tokens"), shingle_hashes(F.col("t")).alias("s"))
+    both = let(code_tokens(F.col(text)), lambda t: F.struct(F.size(t).alias("tokens"), shingle_hashes(t).alias("s")))
+    return df.where(F.col(text).isNotNull()).select(F.col(key).alias("k"), both.alias("b")).select("k", "b.tokens", "b.s")
 
 
 def similar_pairs(rows: DataFrame, key: str, text: str, items: DataFrame, item: str, item_text: str, least_ratio: float = LEAST_RATIO) -> DataFrame:

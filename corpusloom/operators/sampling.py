@@ -59,9 +59,9 @@ def weighted_draws(df: DataFrame, key: str, weight: str, draws: int, seed: str,
     buckets = F.broadcast(sums.select("b", (upto - F.col("bw")).alias("lo"), upto.alias("hi"), F.sum("bw").over(Window.partitionBy()).alias("all")))
     spark = df.sparkSession
     numbers = spark.range(draws).select(F.col("id").alias("draw"), hash_unit(seed, F.col("id").cast("string")).alias("u"))
-    total = F.broadcast(buckets.select("all").limit(1))
-    placed = numbers.crossJoin(total).withColumn("at", F.floor(F.col("u") * F.col("all"))).drop("all")
-    in_bucket = placed.join(buckets, (F.col("at") >= F.col("lo")) & (F.col("at") < F.col("hi"))).select("draw", "b", (F.col("at") - F.col("lo")).alias("rest"))
+    at = F.floor(F.col("u") * F.col("all"))
+    # A range join with the bounded bucket table; the draws are asked for by number, not by the size of the data.
+    in_bucket = numbers.join(buckets, (at >= F.col("lo")) & (at < F.col("hi"))).select("draw", "b", (at - F.col("lo")).alias("rest"))
     within = F.sum("w").over(Window.partitionBy("b").orderBy("k").rowsBetween(Window.unboundedPreceding, 0))
     ranges = rows.withColumn("w_hi", within).withColumn("w_lo", F.col("w_hi") - F.col("w"))
     met = in_bucket.join(ranges, "b").where((F.col("rest") >= F.col("w_lo")) & (F.col("rest") < F.col("w_hi")))

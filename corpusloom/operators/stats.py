@@ -94,8 +94,8 @@ def prevalence_shift(prevalence: DataFrame, group: str, recent: str, baseline: s
     # |a/b - c/d| >= m/100 in whole numbers.
     gap = F.abs(F.col("recent_hits") * F.col("baseline_n") - F.col("baseline_hits") * F.col("recent_n")) * 100
     flagged = sides.withColumn("material", gap >= F.lit(material) * F.col("recent_n") * F.col("baseline_n"))
-    total = flagged.agg(F.count_if("material").alias("m"))
-    return flagged.crossJoin(total).withColumn("clear_shift", F.col("m") >= clear).drop("m")
+    # A row per feature is left: this window is over a handful of rows.
+    return flagged.withColumn("clear_shift", F.count_if("material").over(Window.partitionBy()) >= clear)
 
 
 def top_values(df: DataFrame, column: str, k: int) -> DataFrame:

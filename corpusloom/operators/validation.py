@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,9 +34,12 @@ def unmatched(df: DataFrame, other: DataFrame, on: list[str]) -> DataFrame:
     return df.join(other.select(*on).distinct(), on, "left_anti")
 
 
-def expected_grid(*dimensions: DataFrame) -> DataFrame:
-    """All combinations of small dimension tables. They are lists of names; no data table belongs here."""
-    return reduce(lambda a, b: a.crossJoin(b), dimensions)
+def expected_grid(df: DataFrame, key: str, dimensions: dict[str, list[str]]) -> DataFrame:
+    """Every key of ``df`` with all combinations of short lists of names, which are exploded on the keys' rows."""
+    out = df.select(key).distinct()
+    for name, values in dimensions.items():
+        out = out.withColumn(name, F.explode(F.array(*[F.lit(v) for v in values])))
+    return out
 
 
 def completeness(actual: DataFrame, expected: DataFrame, keys: list[str]) -> DataFrame:

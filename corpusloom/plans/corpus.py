@@ -178,7 +178,7 @@ def style_scores(spark, sf_dir):
     return stats.value_counts(_style(spark, sf_dir).where("text is not null").select(ft.score(F.col("text")).cast("bigint").alias("style_score")), "style_score")
 
 
-@CATALOG.query("with n as (select split, regexp_extract_all(text, '" + ft.DECLARED + "', 1) as d from style_v3 where text is not null) select split, sum(len(d))::bigint as declarations, sum(len(list_filter(d, x -> length(x) = 1)))::bigint as single_letter, sum(len(list_filter(d, x -> regexp_matches(x, '[^_]_+[^_]'))))::bigint as snake_case, sum(len(list_filter(d, x -> regexp_matches(x, '[a-z][A-Z]'))))::bigint as camel_case, sum(length(array_to_string(d, '')))::bigint as name_characters from n group by 1")
+@CATALOG.query("with n as (select split, regexp_extract_all(text, '" + ft.DECLARED + "', 1) as d from style_v3 where text is not null) select split, sum(len(d))::bigint as declarations, sum(len(list_filter(d, lambda x: length(x) = 1)))::bigint as single_letter, sum(len(list_filter(d, lambda x: regexp_matches(x, '[^_]_+[^_]'))))::bigint as snake_case, sum(len(list_filter(d, lambda x: regexp_matches(x, '[a-z][A-Z]'))))::bigint as camel_case, sum(length(array_to_string(d, '')))::bigint as name_characters from n group by 1")
 def naming_style(spark, sf_dir):
     """How declared names are written, by split."""
     each = _style(spark, sf_dir).where("text is not null").select("split", *ft.naming(F.col("text")))
@@ -248,22 +248,22 @@ def malformed_files(spark, sf_dir):
     return _style(spark, sf_dir).where("text is not null").select("record_id", malformed_reason(F.col("text")).alias("reason")).where("reason is not null")
 
 
-_INDENTED = "list_filter(regexp_split_to_array(text, '" + tx.LINE_END + "'), x -> regexp_matches(x, '^[ \\t]') and regexp_matches(x, '[^\\s]'))"
+_INDENTED = "list_filter(regexp_split_to_array(text, '" + tx.LINE_END + "'), lambda x: regexp_matches(x, '^[ \\t]') and regexp_matches(x, '[^\\s]'))"
 
 
-@CATALOG.query(f"with l as (select record_id, text, {_INDENTED} as i from style_v3 where text is not null), c as (select record_id, len(list_filter(i, x -> starts_with(x, chr(9)))) as tabs, len(list_filter(i, x -> regexp_matches(x, '^(?:    )+(?:[^ ]|$)'))) as fours, len(i) as n, regexp_extract(text, '{ft.MAIN}', 1) as kind, regexp_replace(regexp_extract(text, '{ft.MAIN}', 2), '^\\s+|\\s+$', '', 'g') as args from l) select record_id, case when tabs > 0 and tabs > fours and tabs > n - tabs - fours then 'tab' when fours > 0 and fours >= tabs and fours >= n - tabs - fours then '4_spaces' else 'other' end as indentation, case when kind = '' then 'other_or_missing' else kind || '_main_' || (case args when '' then 'empty' when 'void' then 'void' else 'arguments' end) end as main_form from c")
+@CATALOG.query(f"with l as (select record_id, text, {_INDENTED} as i from style_v3 where text is not null), c as (select record_id, len(list_filter(i, lambda x: starts_with(x, chr(9)))) as tabs, len(list_filter(i, lambda x: regexp_matches(x, '^(?:    )+(?:[^ ]|$)'))) as fours, len(i) as n, regexp_extract(text, '{ft.MAIN}', 1) as kind, regexp_replace(regexp_extract(text, '{ft.MAIN}', 2), '^\\s+|\\s+$', '', 'g') as args from l) select record_id, case when tabs > 0 and tabs > fours and tabs > n - tabs - fours then 'tab' when fours > 0 and fours >= tabs and fours >= n - tabs - fours then '4_spaces' else 'other' end as indentation, case when kind = '' then 'other_or_missing' else kind || '_main_' || (case args when '' then 'empty' when 'void' then 'void' else 'arguments' end) end as main_form from c")
 def layout_style(spark, sf_dir):
     """Indentation and entry point of every file."""
     t = F.col("text")
     return _style(spark, sf_dir).where("text is not null").select("record_id", ft.indentation(t).alias("indentation"), ft.main_form(t).alias("main_form"))
 
 
-@CATALOG.query("with l as (select record_id, regexp_split_to_array(text, '" + tx.LINE_END + "') as i from style_v3 where text is not null) select record_id, len(list_filter(i, x -> regexp_matches(x, '^[^{]*[^{\\s][^{]*\\{') and not regexp_matches(x, '^\\s*#')))::bigint as same_line, len(list_filter(i, x -> regexp_matches(x, '^\\s*\\{\\s*$')))::bigint as next_line from l")
+@CATALOG.query("with l as (select record_id, regexp_split_to_array(text, '" + tx.LINE_END + "') as i from style_v3 where text is not null) select record_id, len(list_filter(i, lambda x: regexp_matches(x, '^[^{]*[^{\\s][^{]*\\{') and not regexp_matches(x, '^\\s*#')))::bigint as same_line, len(list_filter(i, lambda x: regexp_matches(x, '^\\s*\\{\\s*$')))::bigint as next_line from l")
 def brace_style(spark, sf_dir):
     return _style(spark, sf_dir).where("text is not null").select("record_id", *[c.cast("bigint") for c in ft.brace_lines(F.col("text"))])
 
 
-@CATALOG.query(f"select record_id, len(list_filter(regexp_extract_all(text, '{ft.FUNCTION_LINE}', 1), x -> x not in ('if', 'for', 'while', 'switch')))::bigint as functions, len(regexp_extract_all(text, '\\btemplate\\s*<'))::bigint as templates from style_v3 where text is not null")
+@CATALOG.query(f"select record_id, len(list_filter(regexp_extract_all(text, '{ft.FUNCTION_LINE}', 1), lambda x: x not in ('if', 'for', 'while', 'switch')))::bigint as functions, len(regexp_extract_all(text, '\\btemplate\\s*<'))::bigint as templates from style_v3 where text is not null")
 def code_structure(spark, sf_dir):
     t = F.col("text")
     return _style(spark, sf_dir).where("text is not null").select("record_id", ft.function_count(t).cast("bigint").alias("functions"), ft.count(t, "template").cast("bigint").alias("templates"))
@@ -295,7 +295,7 @@ def acceptance_sample(spark, sf_dir):
     return sampling.acceptance_sample(rows, "42", tx.sha256_text(F.col("text")), F.col("time_weight") / 4.0).select("record_id")
 
 
-@CATALOG.query("with r as (select record_id as k, (time_weight * 2)::bigint as w, substr(sha256(record_id::varchar), 1, 3) as b from style_v3 where time_weight > 0), c as (select k, sum(w) over (order by b, k rows unbounded preceding) as hi, w from r), n as (select i as draw, floor((('0x' || substr(sha256('7:' || i::varchar), 1, 13))::bigint / 4503599627370496.0) * (select sum(w) from r))::bigint as at from range(1000) t(i)) select draw, k as record_id from n join c on at >= hi - w and at < hi")
+@CATALOG.query("with r as (select record_id as k, (time_weight * 2)::bigint as w, substr(sha256(record_id::varchar), 1, 3) as b from style_v3 where time_weight > 0), c as (select k, sum(w) over (order by b, k rows unbounded preceding) as hi, w from r), n as (select i as draw, floor((('0x' || substr(sha256('7:' || i::varchar), 1, 13))::bigint / 4503599627370496.0) * (select sum(w) from r))::bigint as place from range(1000) t(i)) select draw, k as record_id from n join c on place >= hi - w and place < hi")
 def weighted_draws(spark, sf_dir):
     """A thousand draws with replacement, in proportion to doubled weights."""
     rows = _style(spark, sf_dir).select("record_id", (F.col("time_weight") * 2).cast("bigint").alias("w"))

@@ -44,7 +44,7 @@ def grouping_summary(spark, sf_dir):
 def completeness(spark, sf_dir):
     """Users without an event of some expected type. The six types are exploded on the users' rows, not crossed."""
     events = table(spark, sf_dir, "events")
-    expected = events.select("user_id").distinct().select("user_id", F.explode(F.array(*[F.lit(t) for t in (*TYPES, "refund")])).alias("event_type"))
+    expected = validation.expected_grid(events, "user_id", {"event_type": [*TYPES, "refund"]})
     return validation.completeness(events, expected, ["user_id", "event_type"])
 
 
@@ -93,7 +93,7 @@ def rate_deltas(spark, sf_dir):
     return compare.delta_table(per.join(totals, "event_type"), "event_type", "status", "click")
 
 
-@CATALOG.query(_OUTCOME + ", u as (select unnest(list_filter(['all', case when compiled then 'compiled' end, case when ac then 'accepted' end], x -> x is not null)) as scope, tests, passed from s) select scope, count(*) as n, sum(tests)::bigint as tests, sum(passed)::bigint as passed from u group by 1")
+@CATALOG.query(_OUTCOME + ", u as (select unnest(list_filter(['all', case when compiled then 'compiled' end, case when ac then 'accepted' end], lambda x: x is not null)) as scope, tests, passed from s) select scope, count(*) as n, sum(tests)::bigint as tests, sum(passed)::bigint as passed from u group by 1")
 def scope_metrics(spark, sf_dir):
     rows = compare.scoped(_outcomes(spark, sf_dir), {"all": F.lit(True), "compiled": F.col("compiled"), "accepted": F.col("ac")})
     return rows.groupBy("scope").agg(F.count("*").alias("n"), F.sum("tests").alias("tests"), F.sum("passed").alias("passed"))
@@ -105,7 +105,7 @@ def best_type(spark, sf_dir):
     return compare.best_groups(per, "event_type", "score")
 
 
-@CATALOG.query("with c as (select user_id, list({'n': event_id, 't': event_type} order by event_id) as cases from events group by 1) select user_id, list_filter(cases, x -> x.t = 'error')[1].n as first_error, len(list_distinct(list_transform(cases, x -> x.t)))::bigint as kinds from c")
+@CATALOG.query("with c as (select user_id, list({'n': event_id, 't': event_type} order by event_id) as cases from events group by 1) select user_id, list_filter(cases, lambda x: x.t = 'error')[1].n as first_error, len(list_distinct(list_transform(cases, lambda x: x.t)))::bigint as kinds from c")
 def first_failing_case(spark, sf_dir):
     """The first error of each user and how many kinds of events it has; no list is built."""
     return table(spark, sf_dir, "events").groupBy("user_id").agg(F.min(F.when(F.col("event_type") == "error", F.col("event_id"))).alias("first_error"), F.count_distinct("event_type").alias("kinds"))

@@ -63,7 +63,7 @@ _HEADER = "array_to_string(list_slice(regexp_split_to_array(coalesce(text, ''),
 
 def _found_sql(text: str) -> str:
     def each(pattern: str, judge: str) -> str:
-        return f"list_transform(regexp_extract_all({text}, '{pattern}', 1), x -> '{judge}:' || regexp_replace(upper(x), '/(?:PROBLEM/)?', ''))"
+        return f"list_transform(regexp_extract_all({text}, '{pattern}', 1), lambda x: '{judge}:' || regexp_replace(upper(x), '/(?:PROBLEM/)?', ''))"
 
     end = "(?:[^A-Za-z0-9]|$)"
     patterns = [(ids.LUOGU_BARE, "luogu"), (ids.LUOGU_URL, "luogu"), (ids.CF_BARE, "codeforces"), (ids.CF_SET_URL, "codeforces"), (ids.CF_CONTEST_URL, "codeforces")]
@@ -83,8 +83,8 @@ def evidence_ladder(spark, sf_dir):
     """The identifier of each file and the level that gives it."""
     lines = tx.split_lines(F.coalesce("text", F.lit("")))
     header = F.array_join(F.slice(lines, 1, 100), "\n")
-    found = table(spark, sf_dir, "style_v3").where("path is not null").select("record_id", ids.resolve_id(F.col("path"), header, F.lit("")).alias("r"))
-    return found.select("record_id", F.col("r.id").alias("id"), F.col("r.evidence").alias("evidence"), F.size("r.candidates").alias("candidates"))
+    found = ids.resolve_ids(table(spark, sf_dir, "style_v3").where("path is not null"), "record_id", F.col("path"), header, F.lit(""))
+    return found.withColumn("candidates", F.size("candidates"))
 
 
 @CATALOG.query(f"select row_id, length({_strip_sql('instruction')}) >= 100 and {_strip_sql('instruction')} not like '%#include%' and (instruction like '%输入%' or lower(instruction) like '%input%') and (instruction like '%输出%' or lower(instruction) like '%output%') as valid from dataset where instruction is not null")
@@ -107,14 +107,14 @@ _RULES = {
 }
 
 
-@CATALOG.query("with r as (select row_id, list_sort(list_filter([" + ", ".join(f"case when {sql} then '{n}' end" for n, (sql, _) in _RULES.items()) + "], x -> x is not null)) as errors from dataset) select row_id, errors, len(errors) = 0 as valid from r")
+@CATALOG.query("with r as (select row_id, list_sort(list_filter([" + ", ".join(f"case when {sql} then '{n}' end" for n, (sql, _) in _RULES.items()) + "], lambda x: x is not null)) as errors from dataset) select row_id, errors, len(errors) = 0 as valid from r")
 def rule_validation(spark, sf_dir):
     """Names of the rules that each pair breaks."""
     errors = validation.violations({n: rule() for n, (_, rule) in _RULES.items()})
     return table(spark, sf_dir, "dataset").select("row_id", errors.alias("errors")).withColumn("valid", F.size("errors") == 0)
 
 
-@CATALOG.query(f"select doc_id, list_filter([{_MARKERS_SQL}], m -> contains(lower(text), m))[1] as marker from documents where text is not null")
+@CATALOG.query(f"select doc_id, list_filter([{_MARKERS_SQL}], lambda m: contains(lower(text), m))[1] as marker from documents where text is not null")
 def page_markers(spark, sf_dir):
     return table(spark, sf_dir, "documents").where("text is not null").select("doc_id", validation.first_marker(F.col("text"), PAGE_MARKERS).alias("marker"))
 
@@ -190,8 +190,8 @@ def assembly_funnel(spark, sf_dir):
 _SHINGLE_SQL = """
 with i as (select problem_id, {0} as t from (select problem_id, {1} as x from bench_problem) where x is not null),
 r as (select row_id, {0} as t from (select row_id, {2} as x from dataset) where x is not null),
-ish as (select problem_id, len(t) as n, unnest(list_distinct(case when len(t) >= 5 then list_transform(range(1, len(t) - 3), k -> array_to_string(t[k:k + 4], chr(0))) else t end)) as s from i),
-rsh as (select row_id, len(t) as n, unnest(list_distinct(case when len(t) >= 5 then list_transform(range(1, len(t) - 3), k -> array_to_string(t[k:k + 4], chr(0))) else t end)) as s from r),
+ish as (select problem_id, len(t) as n, unnest(list_distinct(case when len(t) >= 5 then list_transform(range(1, len(t) - 3), lambda k: array_to_string(t[k:k + 4], chr(0))) else t end)) as s from i),
+rsh as (select row_id, len(t) as n, unnest(list_distinct(case when len(t) >= 5 then list_transform(range(1, len(t) - 3), lambda k: array_to_string(t[k:k + 4], chr(0))) else t end)) as s from r),
 isz as (select problem_id, count(*) as c from ish group by 1), rsz as (select row_id, count(*) as c from rsh group by 1),
 m as (select row_id, problem_id, count(*) as shared from rsh join ish using (s) where least(rsh.n, ish.n) / greatest(rsh.n, ish.n, 1) >= 0.35 group by 1, 2)
 select row_id, problem_id, shared, rsz.c + isz.c - shared as all_shingles from m join rsz using (row_id) join isz using (problem_id)
@@ -259,14 +259,15 @@ def path_identifiers(spark, sf_dir):
 
 @CATALOG.query("select p.row_id, m.id as item from pilot_manifest p join manifest m on length(m.problem_id) >= 3 and regexp_matches(p.problem_id, '(?i)(?:^|[^A-Za-z0-9])' || m.problem_id || '(?:$|[^A-Za-z0-9])')")
 def text_identifiers(spark, sf_dir):
-    """Versions whose number has an item's in it, bounded: every item is a column test on a row, in one narrow pass."""
-    items = table(spark, sf_dir, "manifest").select("id", "problem_id")
-    rows = table(spark, sf_dir, "pilot_manifest").where("problem_id is not null").select("row_id", F.col("problem_id").alias("x"))
-    met = rows.join(contamination.sized_broadcast(items, 10_000), ids.text_has_identifier(F.col("x"), F.col("problem_id")))
-    return met.select("row_id", F.col("id").alias("item"))
+    """Versions whose number has an item's in it, bounded: an equi-join on the item's first run of letters and digits, then the test."""
+    run = F.lit("[a-z0-9]+")
+    items = table(spark, sf_dir, "manifest").select("id", "problem_id", F.regexp_extract(F.lower("problem_id"), "[a-z0-9]+", 0).alias("run"))
+    rows = table(spark, sf_dir, "pilot_manifest").where("problem_id is not null").select("row_id", F.col("problem_id").alias("x"), F.explode(F.array_distinct(F.regexp_extract_all(F.lower("problem_id"), run, 0))).alias("run"))
+    met = rows.join(contamination.sized_broadcast(items, 10_000), "run").where(ids.text_has_identifier(F.col("x"), F.col("problem_id")))
+    return met.select("row_id", F.col("id").alias("item")).distinct()
 
 
-@CATALOG.query("select m.id, list_filter([case when m.oj is distinct from b.oj then 'oj' end, case when m.problem_id is distinct from b.problem_id then 'problem_id' end, case when m.difficulty is distinct from b.difficulty then 'difficulty' end], x -> x is not null) as fields from manifest m join bench_problem b using (id) where m.oj is distinct from b.oj or m.problem_id is distinct from b.problem_id or m.difficulty is distinct from b.difficulty")
+@CATALOG.query("select m.id, list_filter([case when m.oj is distinct from b.oj then 'oj' end, case when m.problem_id is distinct from b.problem_id then 'problem_id' end, case when m.difficulty is distinct from b.difficulty then 'difficulty' end], lambda x: x is not null) as fields from manifest m join bench_problem b using (id) where m.oj is distinct from b.oj or m.problem_id is distinct from b.problem_id or m.difficulty is distinct from b.difficulty")
 def item_metadata_diff(spark, sf_dir):
     return validation.differing_fields(table(spark, sf_dir, "manifest"), table(spark, sf_dir, "bench_problem"), "id", ["oj", "problem_id", "difficulty"])
 
@@ -274,7 +275,7 @@ def item_metadata_diff(spark, sf_dir):
 _CATEGORIES = {"dp": ["dp"], "graph": ["graph", "graphs", "tree", "trees", "dfs and similar", "dsu", "shortest paths", "2-sat"], "data_structure": ["data structures", "data_structure"], "math": ["math", "combinatorics", "number theory", "fft", "probabilities", "geometry"], "string": ["string", "strings", "string suffix structures", "hashing"], "greedy": ["greedy"], "search": ["brute force", "binary search", "ternary search", "meet-in-the-middle", "search"], "implementation": ["implementation", "constructive algorithms", "sorting", "sortings"]}
 
 
-@CATALOG.query("with c as (select id, list_filter([" + ", ".join(f"case when len(list_intersect(tags, [{', '.join(repr(t) for t in ts)}])) > 0 then '{n}' end" for n, ts in _CATEGORIES.items()) + "], x -> x is not null) as cs from manifest) select category, count(*) as n from (select unnest(case when len(cs) = 0 then ['other'] else cs end) as category from c) group by 1")
+@CATALOG.query("with c as (select id, list_filter([" + ", ".join(f"case when len(list_intersect(tags, [{', '.join(repr(t) for t in ts)}])) > 0 then '{n}' end" for n, ts in _CATEGORIES.items()) + "], lambda x: x is not null) as cs from manifest) select category, count(*) as n from (select unnest(case when len(cs) = 0 then ['other'] else cs end) as category from c) group by 1")
 def tag_categories(spark, sf_dir):
     """Items by category; an item may be in several, or in other."""
     named = F.array_compact(F.array(*[F.when(F.arrays_overlap("tags", F.array(*[F.lit(t) for t in tags])), n) for n, tags in _CATEGORIES.items()]))
@@ -359,7 +360,7 @@ def filled_prompts(spark, sf_dir):
 _WHOLE = "regexp_replace(text, '^\\s+|\\s+$', '', 'g')"
 
 
-@CATALOG.query(f"with w as (select doc_id, {_WHOLE} as w from documents where kind = 'chat' and text is not null), b as (select doc_id, w, list_transform(regexp_extract_all(w, '{extract.FENCED}', 2), x -> regexp_replace(x, '^\\s+|\\s+$', '', 'g')) as blocks from w) select doc_id, len(blocks)::bigint as blocks, length(case when len(blocks) > 0 then list_sort(list_transform(blocks, x -> {{'n': -length(x), 'x': x}}))[1].x end)::bigint as longest_chars, contains(w, '```') as fenced from b")
+@CATALOG.query(f"with w as (select doc_id, {_WHOLE} as w from documents where kind = 'chat' and text is not null), b as (select doc_id, w, list_transform(regexp_extract_all(w, '{extract.FENCED}', 2), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')) as blocks from w) select doc_id, len(blocks)::bigint as blocks, length(case when len(blocks) > 0 then list_sort(list_transform(blocks, lambda x: {{'n': -length(x), 'x': x}}))[1].x end)::bigint as longest_chars, contains(w, '```') as fenced from b")
 def fenced_code(spark, sf_dir):
     """Code blocks of chat documents, and the length of the longest."""
     t = F.col("text")
