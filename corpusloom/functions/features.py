@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .text import split_lines
+from .text import let, split_lines
 
 #: What each style feature looks for.
 PATTERNS: dict[str, str] = {
@@ -122,11 +122,16 @@ def naming(code: Column) -> list[Column]:
 
 def indentation(code: Column) -> Column:
     """tab, 4_spaces or other, by the majority of indented lines."""
-    lines = F.filter(split_lines(code), lambda s: s.rlike(r"^[ \t]") & s.rlike(r"[^\s]"))
-    tabs = F.size(F.filter(lines, lambda s: F.startswith(s, F.lit("\t"))))
-    fours = F.size(F.filter(lines, lambda s: s.rlike(r"^(?:    )+(?:[^ ]|$)")))
-    others = F.size(lines) - tabs - fours
-    return F.when((tabs > 0) & (tabs > fours) & (tabs > others), "tab").when((fours > 0) & (fours >= tabs) & (fours >= others), "4_spaces").otherwise("other")
+    kinds = F.transform(split_lines(code), lambda s: F.when(~s.rlike(r"^[ \t][\s\S]*[^\s]"), -1).when(F.startswith(s, F.lit("\t")), 0).when(s.rlike(r"^(?:    )+(?:[^ ]|$)"), 1).otherwise(2))
+
+    def majority(n: Column) -> Column:
+        tabs, fours, others = n["0"], n["1"], n["2"]
+        return F.when((tabs > 0) & (tabs > fours) & (tabs > others), "tab").when((fours > 0) & (fours >= tabs) & (fours >= others), "4_spaces").otherwise("other")
+
+    def counted(k: Column) -> Column:
+        return F.struct(*[F.size(F.filter(k, lambda x: x == i)).alias(str(i)) for i in range(3)])
+
+    return let(let(kinds, counted), majority)
 
 
 #: Fixed value: the entry point's return type and arguments.
@@ -139,12 +144,11 @@ def main_form(code: Column) -> Column:
     return F.when(kind == "", "other_or_missing").otherwise(F.concat(kind, F.lit("_main_"), F.when(arguments == "", "empty").when(arguments == "void", "void").otherwise("arguments")))
 
 
-def brace_lines(code: Column) -> list[Column]:
-    """Lines that open a block after other text, and lines that are an opening brace alone."""
-    lines = split_lines(code)
-    same = F.filter(lines, lambda s: s.rlike(r"^[^{]*[^{\s][^{]*\{") & ~s.rlike(r"^\s*#"))
-    alone = F.filter(lines, lambda s: s.rlike(r"^\s*\{\s*$"))
-    return [F.size(same).alias("same_line"), F.size(alone).alias("next_line")]
+def brace_lines(code: Column) -> Column:
+    """struct(same_line, next_line): lines that open a block after other text, and lines that are an opening brace alone."""
+    kinds = F.transform(split_lines(code), lambda s: F.when(~F.contains(s, F.lit("{")), 0).when(s.rlike(r"^\s*\{\s*$"), 2).when(s.rlike(r"^[^{]*[^{\s][^{]*\{") & ~s.rlike(r"^\s*#"), 1).otherwise(0))
+    both = let(kinds, lambda k: F.struct(F.size(F.filter(k, lambda x: x == 1)).alias("same_line"), F.size(F.filter(k, lambda x: x == 2)).alias("next_line")))
+    return both
 
 
 #: Fixed value: a type and a name with bounds, at the start of a line.

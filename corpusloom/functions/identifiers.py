@@ -54,7 +54,7 @@ def canonical_problem_id(source: Column, problem: Column) -> Column:
 
 
 #: Fixed value: an ISO 8601 date and time with optional seconds, fraction and offset.
-ISO_INSTANT = r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}(:\d{2}([.,]\d+)?)?(Z|[+-]\d{2}(:?\d{2})?)?$"
+ISO_INSTANT = r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}(:\d{2}([.,]\d+)?)?(Z|[+-]\d{2}(:?\d{2})?)?\z"
 
 
 def instant_micros(text: Column) -> Column:
@@ -71,7 +71,7 @@ CF_BARE = r"(?i)(?:^|[^A-Za-z0-9])CF(\d{1,7}[A-Z]\d?)(?![A-Za-z0-9])"
 CF_SET_URL = r"(?i)codeforces\.com/problemset/problem/(\d{1,7}/[A-Z]\d?)"
 CF_CONTEST_URL = r"(?i)codeforces\.com/contest/(\d{1,7}/problem/[A-Z]\d?)"
 EVENT = r"(?i)ICPC|CCPC"
-LOCATABLE = {"luogu": r"(?i)^P\d{3,7}$", "codeforces": r"(?i)^\d{1,7}[A-Z]\d?$", "atcoder": r"(?i)^(?:ABC|ARC|AGC)\d{3}_[A-H]$", "hdu": r"^\d{3,6}$", "poj": r"^\d{3,6}$"}
+LOCATABLE = {"luogu": r"(?i)^P\d{3,7}\z", "codeforces": r"(?i)^\d{1,7}[A-Z]\d?\z", "atcoder": r"(?i)^(?:ABC|ARC|AGC)\d{3}_[A-H]\z", "hdu": r"^\d{3,6}\z", "poj": r"^\d{3,6}\z"}
 
 
 def candidate_ids(text: Column) -> Column:

@@ -7,10 +7,11 @@ distinct token costs one dictionary miss; everything after that is NumPy over wh
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable
-
 import numpy as np
+import pyarrow as pa
 import xxhash
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Fixed value: the token pattern.
 CODE_TOKEN = re.compile(r"[A-Za-z_]\w*|\d+|[^\s]")
@@ -65,13 +66,24 @@ def shingle_set(text: str | None) -> np.ndarray:
     return np.unique(window_hashes(code_token_hashes(text)))
 
 
-def batches(items: Iterable, size: int) -> Iterable[list]:
-    """Lists of at most ``size`` consecutive items."""
-    batch: list = []
-    for item in items:
-        batch.append(item)
-        if len(batch) >= size:
-            yield batch
-            batch = []
-    if batch:
-        yield batch
+def shingle_hash_set(tokens: np.ndarray) -> np.ndarray:
+    """Sorted distinct shingle hashes as signed numbers; of single tokens where there are fewer than five."""
+    return np.unique((window_hashes(tokens) if len(tokens) >= SHINGLE else mix(tokens)).view(np.int64))
+
+
+@F.arrow_udf(T.StructType([T.StructField("tokens", T.IntegerType()), T.StructField("shingles", T.ArrayType(T.LongType()))]))
+def token_shingles(text: pa.Array) -> pa.Array:
+    """Number of code tokens and distinct shingle hashes (of single tokens where there are fewer than five); null for null.
+
+    Array functions on token strings would make a string per shingle.
+    """
+    counts, sets, known = [], [], []
+    for x in text.to_pylist():
+        known.append(x is None)
+        tokens = code_token_hashes(x)
+        counts.append(len(tokens))
+        sets.append(shingle_hash_set(tokens))
+    ends = np.cumsum([0, *map(len, sets)])
+    values = np.concatenate(sets) if sets else np.empty(0, np.int64)
+    lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values))
+    return pa.StructArray.from_arrays([pa.array(counts, pa.int32()), lists], names=["tokens", "shingles"], mask=pa.array(known, pa.bool_()))

@@ -1,16 +1,21 @@
 """Contamination of a corpus by evaluation items: equal identifiers, equal digests, similar code, similar statements.
 
-Items are a small dimension whose size is checked before it is broadcast; beyond the bound the same plan shuffles. Similarity is counted
-through an inverted index: the items' shingles are broadcast to the corpus side, which explodes only rows that have any
-of them, so a shuffle carries (row, item, count) partial sums and no text.
+Items are a small dimension whose size is checked before it is sent to the workers; beyond the bound the same counts come from a
+shuffled join on shingles. Rows' texts are never shuffled within the bound: what leaves the scan are the pairs that hold.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import code_tokens, let, normalize_code, sha256_text, shingle_hashes
+from ..functions.text import normalize_code, sha256_text
+from ..functions.tokens import code_token_hashes, shingle_hash_set, token_shingles
 
 THRESHOLD = 0.8
 #: A pair whose token counts differ by more isn't compared.
@@ -25,18 +30,72 @@ def sized_broadcast(df: DataFrame, most: int) -> DataFrame:
 
 
 def _tokenized(df: DataFrame, key: str, text: str) -> DataFrame:
-    both = let(code_tokens(F.col(text)), lambda t: F.struct(F.size(t).alias("tokens"), shingle_hashes(t).alias("s")))
-    return df.where(F.col(text).isNotNull()).select(F.col(key).alias("k"), both.alias("b")).select("k", "b.tokens", "b.s")
+    return df.where(F.col(text).isNotNull()).select(F.col(key).alias("k"), token_shingles(F.col(text)).alias("b")).select("k", "b.tokens", F.col("b.shingles").alias("s"))
+
+
+def _index(items: DataFrame) -> tuple[np.ndarray, ...] | None:
+    """Sorted shingles of all items, the item of each, item names, sizes and token counts; None beyond the bound."""
+    exploded = items.select("k", "tokens", F.size("s").alias("size"), F.explode("s").alias("h"))
+    table = exploded.limit(BROADCAST_SHINGLES + 1).toArrow()
+    if table.num_rows > BROADCAST_SHINGLES:
+        return None
+    names = table.column("k").unique()
+    number = pc.index_in(table.column("k"), names).to_numpy()
+    h = table.column("h").to_numpy()
+    order = np.argsort(h, kind="stable")
+    first = np.array([int(np.argmax(number == i)) for i in range(len(names))], np.int64)
+    size, tokens = (table.column(c).to_numpy()[first] if len(first) else np.empty(0, np.int64) for c in ("size", "tokens"))
+    return h[order], number[order], names.to_pylist(), size, tokens
 
 
-def similar_pairs(rows: DataFrame, key: str, text: str, items: DataFrame, item: str, item_text: str, least_ratio: float = LEAST_RATIO) -> DataFrame:
-    """(key, item, shared, all) of all pairs with a shingle in common and token counts within the ratio."""
-    item_side = _tokenized(items, item, item_text).select(F.col("k").alias("item"), F.col("tokens").alias("item_tokens"), F.size("s").alias("item_size"), F.explode("s").alias("h"))
-    row_side = _tokenized(rows, key, text).select("k", "tokens", F.size("s").alias("size"), F.explode("s").alias("h"))
-    met = row_side.join(sized_broadcast(item_side, BROADCAST_SHINGLES), "h")
-    ratio = F.least("tokens", "item_tokens") / F.greatest("tokens", "item_tokens", F.lit(1))
-    counted = met.where(ratio >= least_ratio).groupBy("k", "item", "size", "item_size").agg(F.count("*").alias("shared"))
-    return counted.select(F.col("k").alias(key), F.col("item").alias(item), "shared", (F.col("size") + F.col("item_size") - F.col("shared")).alias("all"))
+def similar_pairs(rows: DataFrame, key: str, text: str, items: DataFrame, item: str, item_text: str, least_ratio: float = LEAST_RATIO, least_similarity: float = 0.0) -> DataFrame:
+    """(key, item, shared, all) of all pairs with a shingle in common, token counts within the ratio, and at least the similarity.
+
+    Items within the bound are an index in every worker, which counts a row's shared shingles with all items at once: one
+    narrow pass over the rows' texts. Beyond it the shingles of both sides are joined.
+    """
+    item_side = _tokenized(items, item, item_text)
+    index = _index(item_side)
+    if index is None:
+        left = _tokenized(rows, key, text).select("k", "tokens", F.size("s").alias("size"), F.explode("s").alias("h"))
+        right = item_side.select(F.col("k").alias("item"), F.col("tokens").alias("item_tokens"), F.size("s").alias("item_size"), F.explode("s").alias("h"))
+        ratio = F.least("tokens", "item_tokens") / F.greatest("tokens", "item_tokens", F.lit(1))
+        counted = left.join(right, "h").where(ratio >= least_ratio).groupBy("k", "item", "size", "item_size").agg(F.count("*").alias("shared"))
+        pairs = counted.select(F.col("k").alias(key), F.col("item").alias(item), "shared", (F.col("size") + F.col("item_size") - F.col("shared")).cast("bigint").alias("all"))
+        return pairs.where(F.col("shared") >= F.lit(least_similarity) * F.col("all"))
+
+    sent = rows.sparkSession.sparkContext.broadcast(index)
+    kind, item_kind = rows.schema[key].dataType.simpleString(), items.schema[item].dataType.simpleString()
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, number, names, sizes, lengths = sent.value
+        name_array = pa.array(names)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                rows_at, found, shared, union = [], [], [], []
+                for i, x in enumerate(part.column("x").to_pylist()):
+                    tokens = code_token_hashes(x)
+                    own = shingle_hash_set(tokens)
+                    low = np.searchsorted(hashes, own, "left")
+                    many = np.searchsorted(hashes, own, "right") - low
+                    total = int(many.sum())
+                    if not total:
+                        continue
+                    which = number[np.repeat(low - np.cumsum(many) + many, many) + np.arange(total)]
+                    common = np.bincount(which, minlength=len(names))
+                    every = len(own) + sizes - common
+                    ratio = np.minimum(lengths, len(tokens)) / np.maximum(np.maximum(lengths, len(tokens)), 1)
+                    good = np.flatnonzero((common > 0) & (ratio >= least_ratio) & (common >= least_similarity * every))
+                    rows_at.append(np.full(len(good), i))
+                    found.append(good)
+                    shared.append(common[good])
+                    union.append(every[good])
+                if rows_at:
+                    yield pa.RecordBatch.from_arrays([part.column("k").take(pa.array(np.concatenate(rows_at))), name_array.take(pa.array(np.concatenate(found))), pa.array(np.concatenate(shared), pa.int64()), pa.array(np.concatenate(union), pa.int64())], names=["k", "item", "shared", "all"])
+
+    read = rows.where(F.col(text).isNotNull()).select(F.col(key).alias("k"), F.col(text).alias("x"))
+    return read.mapInArrow(run, f"k {kind}, item {item_kind}, shared bigint, all bigint").withColumnsRenamed({"k": key, "item": item})
 
 
 def contamination(rows: DataFrame, key: str, problem: str, code: str, statement: str, items: DataFrame, item: str, item_problem: str, item_code: str, item_statement: str, threshold: float = THRESHOLD) -> DataFrame:
@@ -51,9 +110,8 @@ def contamination(rows: DataFrame, key: str, problem: str, code: str, statement:
         return a.join(b, "v").select("rk", "ik", F.lit(reason).alias("reason"), *[F.lit(None).cast("bigint").alias(c) for c in ("cs", "ca", "ss", "sa")]).distinct()
 
     def near(reason: str, text: str, item_text: str, own: tuple[str, str]) -> DataFrame:
-        pairs = similar_pairs(rows.select(F.col(key).alias("rk"), F.col(text).alias("x")), "rk", "x", items.select(F.col(item).alias("ik"), F.col(item_text).alias("x")), "ik", "x")
-        hit = pairs.where(F.col("shared") >= F.lit(threshold) * F.col("all"))
-        return hit.select("rk", "ik", F.lit(reason).alias("reason"), *[(F.col("shared") if c == own[0] else F.col("all") if c == own[1] else F.lit(None)).cast("bigint").alias(c) for c in ("cs", "ca", "ss", "sa")])
+        pairs = similar_pairs(rows.select(F.col(key).alias("rk"), F.col(text).alias("x")), "rk", "x", items.select(F.col(item).alias("ik"), F.col(item_text).alias("x")), "ik", "x", least_similarity=threshold)
+        return pairs.select("rk", "ik", F.lit(reason).alias("reason"), *[(F.col("shared") if c == own[0] else F.col("all") if c == own[1] else F.lit(None)).cast("bigint").alias(c) for c in ("cs", "ca", "ss", "sa")])
 
     evidence = (
         by("problem_id", F.upper(F.col(problem)), F.upper(F.col(item_problem)))

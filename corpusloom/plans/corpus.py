@@ -260,7 +260,7 @@ def layout_style(spark, sf_dir):
 
 @CATALOG.query("with l as (select record_id, regexp_split_to_array(text, '" + tx.LINE_END + "') as i from style_v3 where text is not null) select record_id, len(list_filter(i, lambda x: regexp_matches(x, '^[^{]*[^{\\s][^{]*\\{') and not regexp_matches(x, '^\\s*#')))::bigint as same_line, len(list_filter(i, lambda x: regexp_matches(x, '^\\s*\\{\\s*$')))::bigint as next_line from l")
 def brace_style(spark, sf_dir):
-    return _style(spark, sf_dir).where("text is not null").select("record_id", *[c.cast("bigint") for c in ft.brace_lines(F.col("text"))])
+    return _style(spark, sf_dir).where("text is not null").select("record_id", ft.brace_lines(F.col("text")).alias("b")).select("record_id", *[F.col(f"b.{c}").cast("bigint").alias(c) for c in ("same_line", "next_line")])
 
 
 @CATALOG.query(f"select record_id, len(list_filter(regexp_extract_all(text, '{ft.FUNCTION_LINE}', 1), lambda x: x not in ('if', 'for', 'while', 'switch')))::bigint as functions, len(regexp_extract_all(text, '\\btemplate\\s*<'))::bigint as templates from style_v3 where text is not null")

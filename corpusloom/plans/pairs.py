@@ -242,7 +242,7 @@ def item_matches(spark, sf_dir):
     from pyspark.sql import Window
 
     items = table(spark, sf_dir, "bench_problem").select("problem_id", "reference_code")
-    pairs = contamination.similar_pairs(table(spark, sf_dir, "dataset").select("row_id", "response"), "row_id", "response", items, "problem_id", "reference_code").where("shared >= 0.8 * all")
+    pairs = contamination.similar_pairs(table(spark, sf_dir, "dataset").select("row_id", "response"), "row_id", "response", items, "problem_id", "reference_code", least_similarity=0.8)
     counted = pairs.groupBy("problem_id").agg(F.count("*").alias("matches"))
     first = pairs.withColumn("r", F.row_number().over(Window.partitionBy("problem_id").orderBy("row_id"))).where("r <= 10").groupBy("problem_id").agg(F.array_sort(F.collect_list("row_id")).alias("first_rows"))
     return counted.join(first, "problem_id")
