@@ -59,6 +59,7 @@ ISO_INSTANT = r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}(:\d{2}([.,]\d+)?)?(Z|[+-]\d{2}
 
 def instant_micros(text: Column) -> Column:
     """Microseconds since 1970 of an ISO 8601 date and time, UTC where no offset is given; null for anything else."""
+    text = F.regexp_replace(text, r"^(\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2})(Z|[+-]|\z)", "$1:00$2")
     zoned = F.when(text.rlike(r"[+-]\d{4}$"), F.regexp_replace(text, r"([+-]\d{2})(\d{2})$", "$1:$2")).when(text.rlike(r":\d{2}(\.\d+)?[+-]\d{2}$"), F.concat(text, F.lit(":00"))).otherwise(text)
     utc = F.when(zoned.rlike(r"(Z|[+-]\d{2}:\d{2})$"), zoned).otherwise(F.concat(zoned, F.lit("Z")))
     return F.when(text.rlike(ISO_INSTANT), F.unix_micros(F.translate(utc, ",", ".").try_cast("timestamp")))

@@ -19,14 +19,15 @@ def chunk_spans(df: DataFrame, key: str, tokens: str, size: int = 512, overlap:
     return each.select(key, "chunk_index", "token_start", F.least(F.col("token_start") + size, F.col("_n")).alias("token_end"))
 
 
-def covered(spans: Column) -> Column:
-    """Length of the union of (start, end) structs in an array, in any order."""
-    start = F.struct(F.lit(0).cast("bigint").alias("upto"), F.lit(0).cast("bigint").alias("sum"))
+def covered(spans: Column, begin: str = "token_start", end: str = "token_end") -> Column:
+    """Length of the union of the spans in an array of structs with the fields ``begin`` and ``end``, in any order."""
+    ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s[begin].cast("bigint").alias("a"), s[end].cast("bigint").alias("b"))))
+    zero = F.lit(0).cast("bigint")
 
     def step(state: Column, span: Column) -> Column:
-        return F.struct(F.greatest(state["upto"], span[1]).alias("upto"), (state["sum"] + F.greatest(F.lit(0).cast("bigint"), span[1] - F.greatest(span[0], state["upto"]))).alias("sum"))
+        return F.struct(F.greatest(state["upto"], span["b"]).alias("upto"), (state["sum"] + F.greatest(zero, span["b"] - F.greatest(span["a"], state["upto"]))).alias("sum"))
 
-    return F.aggregate(F.array_sort(spans), start, step, lambda s: s["sum"])
+    return F.aggregate(ordered, F.struct(zero.alias("upto"), zero.alias("sum")), step, lambda s: s["sum"])
 
 
 def chunk_statistics(df: DataFrame, tokens: str, by: list[str] = (), size: int = 512, overlap: int = 64, least: int = 64) -> DataFrame:

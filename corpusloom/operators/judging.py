@@ -14,6 +14,7 @@ import subprocess
 import tempfile
 import time
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -26,8 +27,16 @@ MESSAGE_CHARS = 2000
 STATUSES = ("accepted", "wrong_answer", "runtime_error", "time_limit_exceeded", "output_limit_exceeded")
 
 
+@lru_cache(maxsize=1)
 def compiler_found() -> bool:
-    return shutil.which(COMPILER[0]) is not None
+    """Whether programs can be compiled here: a driver alone isn't a compiler, so one is tried."""
+    if shutil.which(COMPILER[0]) is None:
+        return False
+    folder = tempfile.mkdtemp(prefix="compiler-")
+    try:
+        return compile_source("int main() { return 0; }", folder)[0] == "pass"
+    finally:
+        shutil.rmtree(folder, ignore_errors=True)
 
 
 def compile_source(code: str, folder: str, syntax_only: bool = False, seconds: float = COMPILE_SECONDS) -> tuple[str, str]:

@@ -97,7 +97,7 @@ def decoded(content: pa.Array) -> pa.Array:
 
 def read_keyed_texts(spark: SparkSession, path: str, suffix: str, parts: list[str]) -> DataFrame:
     """(parts..., text) of files ``.../a/b.suffix`` whose last path components are the key parts."""
-    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", f"*.{suffix}").text(path)
+    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", f"*.{suffix}").text(path, wholetext=True)
     names = F.split(F.regexp_replace(F.col("_metadata.file_path"), rf"\.{suffix}$", ""), "/")
     return files.select(*[F.url_decode(F.element_at(names, i - len(parts))).alias(p) for i, p in enumerate(parts)], F.col("value").alias("text"))
 
@@ -106,7 +106,7 @@ def statement_index(spark: SparkSession, path: str) -> DataFrame:
     """(source, problem_id, text) of statement files; files beside no judge's folder have the unknown key. The first path wins."""
     texts = None
     for suffix in STATEMENT_SUFFIXES:
-        found = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", f"*.{suffix}").text(path).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("text"))
+        found = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", f"*.{suffix}").text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("text"))
         texts = found if texts is None else texts.unionByName(found)
     parent, stem = F.element_at(F.split("file", "/"), -2), F.upper(F.regexp_replace(F.element_at(F.split("file", "/"), -1), r"\.[^.]*$", ""))
     source = F.when(F.lower(parent).isin("luogu", "codeforces", "icpc"), F.lower(parent)).otherwise(UNKNOWN)
@@ -172,7 +172,7 @@ def limits_of(meta: dict[str, object]) -> dict[str, object]:
 
 def read_metas(spark: SparkSession, path: str) -> DataFrame:
     """(problem, key, value) of all ``<problem>/meta.yaml`` files, values as text."""
-    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "meta.yaml").text(path).select(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2).alias("problem"), "value")
+    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "meta.yaml").text(path, wholetext=True).select(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2).alias("problem"), "value")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in batches:
