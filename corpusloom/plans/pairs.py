@@ -31,14 +31,14 @@ def _strip_sql(x: str) -> str:
 _FULL, _HALF = "".join(chr(c) for c in range(0xFF01, 0xFF5F)) + "　 ", "".join(chr(c) for c in range(0x21, 0x7F)).replace("'", "''") + "  "
 
 
-def _plain_sql(x: str) -> str:
+def plain_sql(x: str) -> str:
     return f"nullif(regexp_replace(regexp_replace(translate({x}, '{_FULL}', '{_HALF}'), '[{ids.ZERO_WIDTH}]', '', 'g'), '^\\s+|\\s+$', '', 'g'), '')"
 
 
-_ALIASES_SQL = "case replace(lower(" + _plain_sql("source") + "), '_', '') " + " ".join(f"when '{a}' then '{n}'" for a, n in ids.SOURCE_ALIASES.items()) + " end"
+ALIASES_SQL = "case replace(lower(" + plain_sql("source") + "), '_', '') " + " ".join(f"when '{a}' then '{n}'" for a, n in ids.SOURCE_ALIASES.items()) + " end"
 
 
-@CATALOG.query(f"select {_ALIASES_SQL} as judge, count(*) as attempted, count(*) filter (where compile) as compiled, count(*) filter (where uniquely_locatable) as locatable from pilot_manifest group by 1")
+@CATALOG.query(f"select {ALIASES_SQL} as judge, count(*) as attempted, count(*) filter (where compile) as compiled, count(*) filter (where uniquely_locatable) as locatable from pilot_manifest group by 1")
 def judge_matrix(spark, sf_dir):
     """Versions, compiled and locatable ones by unified judge name."""
     rows = table(spark, sf_dir, "pilot_manifest").select(ids.canonical_source(F.col("source")).alias("judge"), "compile", "uniquely_locatable")
