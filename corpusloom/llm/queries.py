@@ -5,11 +5,49 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import identifiers as ids
+from ..functions import text as tx
 from ..plans.catalog import Catalog, table
+from ..plans.pairs import ALIASES_SQL, plain_sql
 from . import bpe, leaks, neardup, overlap, packing, spans, splitting, survivors
 
 CATALOG = Catalog()
 
+_TOKEN_SQL = "regexp_extract_all({}, '" + tx.TOKEN.replace("'", "''").replace("{", "{{").replace("}", "}}") + "')"
+
+
+def _grams_sql(name: str, key: str, source: str, words: str, width: int) -> str:
+    """Two common tables: (key, g) of the distinct runs of ``width`` words, and (key, n) of their number."""
+    return f"{name} as (select distinct {key} as k, unnest(list_transform(range(1, len(w) - {width - 2}), lambda i: md5(array_to_string(w[i:i + {width - 1}], chr(0))))) as g from (select {key}, {words} as w from {source}) where len(w) >= {width}), {name}_n as (select k, count(*) as n from {name} group by 1)"
+
+
+def _similar_sql(name: str, label: str) -> str:
+    return f"select '{label}' as table_name, a.k as id_a, b.k as id_b from {name} a join {name} b on a.g = b.g and a.k < b.k join {name}_n m on m.k = a.k join {name}_n o on o.k = b.k group by a.k, b.k, m.n, o.n having count(*) >= 0.8 * (m.n + o.n - count(*))"
+
+
+_P1_SQL = "with " + _grams_sql("s", "record_id", "style_v3", _TOKEN_SQL.format("text"), 5) + ", " + _grams_sql("d", "row_id", "dataset", _TOKEN_SQL.format("response"), 5) + " " + _similar_sql("s", "style_v3") + " union all " + _similar_sql("d", "dataset")
+_P3_SQL = (
+    "with " + _grams_sql("h", "record_id", "style_v3 where split in ('validation', 'test')", _TOKEN_SQL.format("text"), 5) + ", " + _grams_sql("t", "record_id", "style_v3 where split = 'train'", _TOKEN_SQL.format("text"), 5)
+    + " select least(h.k, t.k) as id_a, greatest(h.k, t.k) as id_b from h join t using (g) join h_n on h_n.k = h.k group by h.k, t.k, h_n.n having count(*) >= 0.85 * h_n.n - 1e-9"
+)
+_P4_SQL = f"select record_id from style_v3 where len({_TOKEN_SQL.format('text')}) > 1024"
+_WORDS_SQL = "regexp_extract_all(lower({}), '[a-z0-9]+|[一-鿿]')"
+_P5_SQL = (
+    "with " + _grams_sql("a", "problem_id", "(select problem_id, unnest([statement, reference_code]) as x from bench_problem)", _WORDS_SQL.format("x"), 40) + ", " + _grams_sql("b", "row_id", "(select row_id, unnest([instruction, response]) as x from dataset)", _WORDS_SQL.format("x"), 40)
+    + " select distinct b.k as row_id, a.k as problem_id from a join b using (g)"
+)
+_P8_SQL = "with w as (select distinct doc_id, md5(substr(text, i, 200)) as g from (select doc_id, text, unnest(range(1, length(text) - 198)) as i from documents where length(text) >= 200)) select distinct a.doc_id as doc_a, b.doc_id as doc_b from w a join w b on a.g = b.g and a.doc_id < b.doc_id"
+_NUMBER_SQL = "regexp_extract(t, '{}', {})".format
+_CF = "(?i)(?:^|[^0-9])0*(\\d+)[\\s_/.-]*(?:problem[\\s_/-]*)?([a-z])[\\s_/-]?(\\d?)$"
+_WORDED = "regexp_replace(regexp_replace(lower(t), '[^\\p{L}\\p{N}]+', '_', 'g'), '^_+|_+$', '', 'g')"
+_INSTANT_SQL = "case when regexp_matches(timestamp, '" + ids.ISO_INSTANT + "') then epoch_us(try_cast(case when regexp_matches(timestamp, '(Z|[+-]\\d{2}:?(\\d{2})?)$') and regexp_matches(timestamp, '[T ].*(Z|[+-]\\d{2})') then timestamp else timestamp || 'Z' end as timestamptz)) end"
+_P2_SQL = (
+    f"with r as (select row_id, {ALIASES_SQL} as judge, regexp_replace({plain_sql('problem_id')}, '(?i)\\.(cpp|cc|cxx|c|hpp|h|py|java|txt|md)$', '') as t, {_INSTANT_SQL} as ts, case when style_score between 0 and 6 then style_score end as score, coalesce(compile, false) as ok from pilot_manifest), "
+    f"p as (select *, case judge when 'luogu' then 'P' || nullif({_NUMBER_SQL('(?i)(?:^|[^0-9A-Za-z]|luogu)p?[\\s_/-]*0*(\\d+)$', 1)}, '') when 'codeforces' then nullif({_NUMBER_SQL(_CF, 1)} || upper({_NUMBER_SQL(_CF, 2)}) || {_NUMBER_SQL(_CF, 3)}, '') when 'icpc' then case when regexp_matches({_WORDED}, '_[a-z][0-9]?$') then regexp_extract({_WORDED}, '^(.*_)[^_]+$', 1) || upper(regexp_extract({_WORDED}, '_([^_]+)$', 1)) end end as problem from r), "
+    "o as (select *, row_number() over (partition by judge, problem order by ok desc, ts desc nulls last, score desc nulls last, row_id) as place from p where judge is not null and problem is not null) "
+    "select judge as source, problem as problem_id, arg_min(row_id, place) as row_id, coalesce(arg_min(row_id, place) filter (where ts is not null), 0) as timestamp_row_id, coalesce(arg_min(row_id, place) filter (where score is not null), 0) as style_row_id from o group by 1, 2 having count(*) > 1"
+)
+
 #: Tables compared by problem 1, in the order of their numbers: name, key and text.
 _RECORDS = (("style_v3", "record_id", "text"), ("dataset", "row_id", "response"))
 
@@ -23,7 +61,7 @@ def _table_name(t: str):
     return F.element_at(F.array(*[F.lit(name) for name, *_ in _RECORDS]), F.col(t) + 1)
 
 
-@CATALOG.query()
+@CATALOG.query(_P1_SQL)
 def p1_found(spark, sf_dir):
     pairs, members = neardup.near_duplicates(_records(spark, sf_dir))
     return neardup.expand(pairs, members).select(_table_name("t").alias("table_name"), "id_a", "id_b")
@@ -35,7 +73,7 @@ def p1_groups(spark, sf_dir):
     return neardup.groups(pairs, members).select(_table_name("t").alias("table_name"), "id", F.col("group").alias("class_id"), "links")
 
 
-@CATALOG.query()
+@CATALOG.query(_P2_SQL)
 def p2_found(spark, sf_dir):
     found = survivors.problem_survivors(table(spark, sf_dir, "pilot_manifest")).where("rows > 1")
     return found.select(F.col("judge").alias("source"), F.col("problem").alias("problem_id"), F.col("version_row").alias("row_id"), F.coalesce("time_row", F.lit(0)).alias("timestamp_row_id"), F.coalesce("style_row", F.lit(0)).alias("style_row_id"))
@@ -52,7 +90,7 @@ def _overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return overlap.expand(*overlap.split_overlaps(records))
 
 
-@CATALOG.query()
+@CATALOG.query(_P3_SQL)
 def p3_found(spark, sf_dir):
     return _overlaps(spark, sf_dir).select(F.least("held", "train").alias("id_a"), F.greatest("held", "train").alias("id_b"))
 
@@ -66,7 +104,7 @@ def p3_report(spark, sf_dir):
     return per.join(held, "held").groupBy("split", "directory").agg(F.sum("n").alias("pairs"), F.count("*").alias("records"), F.sum(F.coalesce("exact", F.lit(0))).alias("exact_records"))
 
 
-@CATALOG.query()
+@CATALOG.query(_P4_SQL)
 def p4_found(spark, sf_dir):
     pieces = splitting.split_texts(table(spark, sf_dir, "style_v3"), "record_id", "text", with_text=False)
     return pieces.where("piece = 0").select("record_id")
@@ -82,7 +120,7 @@ def _leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks.leaked_spans(table(spark, sf_dir, "dataset"), "row_id", ["instruction", "response"], items, "problem_id", ["statement", "reference_code"])
 
 
-@CATALOG.query()
+@CATALOG.query(_P5_SQL)
 def p5_found(spark, sf_dir):
     return leaks.leaked_items(_leaks(spark, sf_dir), "row_id").select("row_id", F.col("item").alias("problem_id"))
 
@@ -112,7 +150,7 @@ def p7_fill(spark, sf_dir):
     return packing.fill(packing.pack_texts(table(spark, sf_dir, "documents"), "doc_id", "text"))
 
 
-@CATALOG.query()
+@CATALOG.query(_P8_SQL)
 def p8_found(spark, sf_dir):
     documents = table(spark, sf_dir, "documents")
     return spans.expand(*spans.shared_spans(documents, "doc_id", "text"), documents, "doc_id", "text")
