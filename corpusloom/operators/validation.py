@@ -66,3 +66,39 @@ def require_empty(df: DataFrame, message: str, show: int = 5) -> None:
     """Raise with a few of the rows if there are any."""
     if rows := df.limit(show).collect():
         raise ExpectationError(f"{message}: {[r.asDict() for r in rows]}")
+
+
+def checked_names(names: list[str]) -> list[str]:
+    """Names that are safe as path components and occur once."""
+    bad = [n for n in names if not n or n in (".", "..") or "/" in n or "\\" in n]
+    if bad or len(set(names)) < len(names) or not names:
+        raise ExpectationError(f"names must be distinct path components: {bad or names}")
+    return names
+
+
+def audit_problems(manifest: DataFrame, texts: DataFrame, cases: DataFrame, metas: DataFrame, required: list[str], fields: list[str], checkers: list[str]) -> DataFrame:
+    """(id, errors) of every problem of a manifest: missing or empty files, unpaired cases, metadata that differ, unknown checkers.
+
+    From (id, fields...), (id, file, text), (id, suffix, input, output) and (id, key, value). Each side is aggregated to a row per
+    problem before it is joined.
+    """
+    files = texts.groupBy("id").agg(F.collect_set(F.when(F.coalesce(F.trim("text"), F.lit("")) != "", F.col("file"))).alias("files"))
+    pairs = cases.groupBy("id").agg(F.count("*").alias("cases"), F.count_if(F.col("input").isNull() | F.col("output").isNull()).alias("unpaired"))
+    values = metas.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("key", "value"))).alias("meta"))
+    joined = manifest.join(files, "id", "left").join(pairs, "id", "left").join(values, "id", "left")
+    have = F.coalesce("files", F.array().cast("array<string>"))
+    meta = F.coalesce("meta", F.create_map().cast("map<string,string>"))
+    rules = {f"missing_{name}": ~F.array_contains(have, name) for name in required}
+    rules |= {"no_cases": F.coalesce("cases", F.lit(0)) == 0, "unpaired_cases": F.col("unpaired") > 0}
+    rules |= {f"{name}_differs": ~F.try_element_at(meta, F.lit(name)).eqNullSafe(F.col(name).cast("string")) for name in fields}
+    rules["unknown_checker"] = ~F.coalesce(F.try_element_at(meta, F.lit("checker.type")), F.lit("exact")).isin(checkers)
+    return joined.select("id", violations(rules).alias("errors"))
+
+
+def consistent(stored: DataFrame, again: DataFrame, keys: list[str], fields: list[str]) -> DataFrame:
+    """(keys..., fields) of results that differ from those of a second computation, or are missing on one side."""
+    left = stored.select(*keys, F.struct(*fields).alias("l"))
+    right = again.select(*keys, F.struct(*fields).alias("r"))
+    both = left.join(right, keys, "full_outer")
+    wrong = F.array_compact(F.array(*[F.when(~F.col("l")[f].eqNullSafe(F.col("r")[f]), F.lit(f)) for f in fields], F.when(F.col("l").isNull() | F.col("r").isNull(), F.lit("missing"))))
+    return both.select(*keys, wrong.alias("fields")).where(F.size("fields") > 0)

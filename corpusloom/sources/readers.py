@@ -244,3 +244,65 @@ def safe_name(name: str) -> str:
     if not re.fullmatch(r"[A-Za-z0-9][A-Za-z0-9._-]*", name):
         raise ExpectationError(f"unsafe name {name!r}")
     return name
+
+
+def read_weighted_texts(spark: SparkSession, path: str, need_weight: bool = True) -> DataFrame:
+    """(text, time_weight) of JSON lines; a weight must be a positive number, and be there unless it isn't needed (then 1)."""
+    rows = read_jsonl(spark, path, "text string, time_weight double", ["text"])
+    weight = F.col("time_weight") if need_weight else F.coalesce("time_weight", F.lit(1.0))
+    return rows.select("text", F.when(weight > 0, weight).otherwise(F.raise_error(F.lit("a weight must be positive")).cast("double")).alias("time_weight"))
+
+
+def read_pairs(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
+    """Instruction pairs of JSON lines, neither side blank."""
+    rows = read_jsonl(spark, path, "id string, instruction string, response string", ["instruction", "response"])
+    return rows.limit(limit) if limit else rows
+
+
+def read_outputs(spark: SparkSession, path: str, suffix: str = "cpp") -> DataFrame:
+    """(model, problem, code) of ``<model>/<problem>.suffix`` files."""
+    return read_keyed_texts(spark, path, suffix, ["model", "problem"]).withColumnRenamed("text", "code")
+
+
+def prompt_template(text: str, field: str = "problem") -> str:
+    """A template, if it has its placeholder exactly once."""
+    if text.count("{" + field + "}") != 1:
+        raise ExpectationError(f"the template needs {{{field}}} exactly once")
+    return text
+
+
+#: Answers after which a page is asked for once more.
+RETRYABLE = (408, 425, 429, 500, 502, 503, 504)
+
+
+def fetch_pages(wanted: DataFrame, fetch, parallel: int = 1, spacing: float = 1.0, attempts: int = 2) -> DataFrame:
+    """(source, problem_id, html, error) of (source, problem_id, url), fetched by ``fetch(url) -> (status, text)`` in the workers.
+
+    Each of ``parallel`` tasks keeps ``spacing`` seconds between its calls. Rows with a cached page are left out beforehand with
+    ``streaming.incremental.not_done``.
+    """
+    import time
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = 0.0
+        for part in batches:
+            rows = []
+            for source, problem, url in zip(*(part.column(c).to_pylist() for c in ("source", "problem_id", "url"))):
+                page, error = None, "no address"
+                for _ in range(attempts if url else 0):
+                    time.sleep(max(0.0, last + spacing - time.monotonic()))
+                    last = time.monotonic()
+                    try:
+                        status, text = fetch(url)
+                    except OSError as e:
+                        status, text, error = 0, None, f"failed: {e}"
+                    if status == 200:
+                        page, error = text, None
+                        break
+                    error = error if status == 0 else f"status {status}"
+                    if status and status not in RETRYABLE:
+                        break
+                rows.append((source, problem, page, error))
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string()) for i in range(4)], names=["source", "problem_id", "html", "error"])
+
+    return wanted.select("source", "problem_id", "url").repartition(parallel).mapInArrow(run, "source string, problem_id string, html string, error string")
