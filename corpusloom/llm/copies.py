@@ -14,6 +14,7 @@ from ..session import materialize
 #: 4 MB of bits, whatever the data; a fuller filter lets more rows pass and never loses one.
 FILTER_BITS = 1 << 25
 _WORD_BITS = 6
+_BLOCK_BITS = 13
 
 
 def distinct_texts(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -29,14 +30,30 @@ def distinct_texts(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def hash_filter(hashes: DataFrame, column: str, bits: int = FILTER_BITS) -> np.ndarray:
-    """Bitmap of two bits per hash, as 64-bit words; its size is fixed by ``bits`` alone."""
+    """Bitmap of two bits per hash, as 64-bit words; its size is fixed by ``bits`` alone.
+
+    Bits are combined to words before the shuffle, words to dense blocks after it; the driver gets bits / 8 bytes at most.
+    """
     mask, shift = bits - 1, bits.bit_length() - 1
     each = hashes.select(F.explode(F.array(F.col(column).bitwiseAND(F.lit(mask)), F.shiftrightunsigned(column, shift).bitwiseAND(F.lit(mask)))).alias("bit"))
     words = each.groupBy(F.shiftright("bit", _WORD_BITS).cast("int").alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(bit & {(1 << _WORD_BITS) - 1} as int))")).alias("set"))
-    table = words.toArrow()
-    out = np.zeros(bits >> _WORD_BITS, np.uint64)
-    out[table.column("word").to_numpy()] = table.column("set").to_numpy().view(np.uint64)
-    return out
+
+    def dense(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blocks: dict[int, np.ndarray] = {}
+        for batch in batches:
+            word, value = batch.column("word").to_numpy(), batch.column("set").to_numpy()
+            for block in np.unique(word >> _BLOCK_BITS).tolist():
+                own = word >> _BLOCK_BITS == block
+                blocks.setdefault(block, np.zeros(1 << _BLOCK_BITS, np.int64))[word[own] & (1 << _BLOCK_BITS) - 1] = value[own]
+        if blocks:
+            yield pa.RecordBatch.from_arrays([pa.array(list(blocks), pa.int32()), pa.array([v.tobytes() for v in blocks.values()], pa.binary())], names=["block", "words"])
+
+    count = max(1, bits >> _WORD_BITS + _BLOCK_BITS)
+    table = words.repartition(min(8, count), F.shiftright("word", _BLOCK_BITS)).mapInArrow(dense, "block int, words binary").toArrow()
+    out = np.zeros((count, 1 << _BLOCK_BITS), np.uint64)
+    for block, value in zip(table.column("block").to_pylist(), table.column("words").to_pylist()):
+        out[block] = np.frombuffer(value, np.uint64)
+    return out.ravel()[: bits >> _WORD_BITS]
 
 
 def passes(words: np.ndarray, hashes: np.ndarray) -> np.ndarray:
