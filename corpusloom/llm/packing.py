@@ -4,8 +4,8 @@ Items longer than the capacity are cut into consecutive pieces: full ones, which
 and a rest. All other items and the rests are dealt by a hash of their id to groups of about ``group_items``; a
 group is packed by the online sum-of-squares rule: of all fill levels that the item fits, and of a new container,
 it takes that after which the sum of the squared numbers of containers by level is least. A level array holds those
-numbers, and the level's open containers. Items arrive longest first (ties by id), so that short ones find many
-levels. A group's size has a bound that doesn't depend on the corpus, groups are packed side by side, and each
+numbers, and the level's open containers. Items arrive in hash order, but for the shortest quarter, which is held back and
+arrives last, longest first, to fill what is left open. A group's size has a bound that doesn't depend on the corpus, groups are packed side by side, and each
 leaves at most a few containers partly filled.
 
 Defined results: items without tokens (null or empty text) are in no container; equal rows with one id are items of their own
@@ -20,11 +20,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.tokens import mix
 from ..session import materialize
 from .bpe import token_counts
 
 CAPACITY = 4096
-GROUP_ITEMS = 25_000
+GROUP_ITEMS = 50_000
+#: Share of the items of a group, the shortest, that arrive last.
+LATE = 0.25
 
 
 def sum_of_squares(sizes: np.ndarray, capacity: int) -> np.ndarray:
@@ -75,6 +78,9 @@ def pack(df: DataFrame, id_column: str, size_column: str, capacity: int = CAPACI
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values(["n_tokens", "id"], ascending=[False, True], kind="stable", ignore_index=True)
+        early = int(len(part) * (1 - LATE))
+        shuffled = np.argsort(mix(part["id"].to_numpy()[:early].astype(np.int64).view(np.uint64)), kind="stable")
+        part = part.iloc[np.concatenate([shuffled, np.arange(early, len(part))])].reset_index(drop=True)
         group = int(part["g"].iloc[0])
         part["bin"] = sum_of_squares(part["n_tokens"].to_numpy(), capacity)
         return part.assign(container=f"g{group}-" + part["bin"].astype(str))[["id", "piece", "token_start", "n_tokens", "container"]]
