@@ -272,6 +272,7 @@ def item_metadata_diff(spark, sf_dir):
     return validation.differing_fields(table(spark, sf_dir, "manifest"), table(spark, sf_dir, "bench_problem"), "id", ["oj", "problem_id", "difficulty"])
 
 
+#: Tags of each category.
 _CATEGORIES = {"dp": ["dp"], "graph": ["graph", "graphs", "tree", "trees", "dfs and similar", "dsu", "shortest paths", "2-sat"], "data_structure": ["data structures", "data_structure"], "math": ["math", "combinatorics", "number theory", "fft", "probabilities", "geometry"], "string": ["string", "strings", "string suffix structures", "hashing"], "greedy": ["greedy"], "search": ["brute force", "binary search", "ternary search", "meet-in-the-middle", "search"], "implementation": ["implementation", "constructive algorithms", "sorting", "sortings"]}
 
 
