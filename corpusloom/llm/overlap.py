@@ -41,11 +41,6 @@ def allowed_missing(distinct: int, contained: float = CONTAINED) -> int:
     return int((1 - contained) * distinct + 1e-9)
 
 
-def least_matches(count: int, missing: int) -> int:
-    """c: the matches that a candidate needs among the ``missing`` + c rarest of ``count`` segments."""
-    return 1 + (count - missing - 1) // 4
-
-
 def segments(tokens: np.ndarray, contained: float = CONTAINED) -> tuple[int, int, np.ndarray]:
     """(length in shingles, distinct shingles, first shingle of each segment) of a record's token hashes."""
     shingles = window_hashes(tokens)
@@ -111,35 +106,32 @@ def banded_edits(left: list[np.ndarray], right: list[np.ndarray], shift: list[in
 
 
 def _cut(texts: DataFrame, contained: float) -> DataFrame:
-    """(id, d, missing, least, length, at, h): the segments of held-out texts; ``missing`` is k and ``least`` c."""
+    """(id, length, p, h): the segments of held-out texts; p packs the first shingle and d in one number, as rows are shuffled."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in text_slices(batches, "x"):
-            columns: list[list] = [[] for _ in range(7)]
+            columns: list[list] = [[] for _ in range(4)]
             for i, text in zip(part.column("id").to_pylist(), part.column("x").to_pylist()):
                 tokens = code_token_hashes(text)
                 if len(tokens) < SHINGLE:
                     continue
                 length, distinct, at = segments(tokens, contained)
                 hashes = substring_hashes(tokens, length)[at]
-                missing = allowed_missing(distinct, contained)
-                for column, value in zip(columns, (i, distinct, missing, least_matches(len(at), missing), length)):
-                    column.append(np.full(len(at), value))
-                columns[5].append(at)
-                columns[6].append(hashes.view(np.int64))
+                for column, values in zip(columns, (np.full(len(at), i), np.full(len(at), length), at << 32 | distinct, hashes.view(np.int64))):
+                    column.append(values)
             if columns[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)).cast(t) for c, t in zip(columns, [pa.int64()] + [pa.int32()] * 5 + [pa.int64()])], names=["id", "d", "missing", "least", "length", "at", "h"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)).cast(t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int64(), pa.int64()))], names=["id", "length", "p", "h"])
 
-    return texts.select("id", "x").mapInArrow(run, "id bigint, d int, missing int, least int, length int, at int, h bigint")
+    return texts.select("id", "x").mapInArrow(run, "id bigint, length int, p bigint, h bigint")
 
 
 def _matched(texts: DataFrame, lengths: list[int], words) -> DataFrame:
-    """(id, n, at, h): substrings of train texts that pass the filter, each hash once per text at its first position."""
+    """(id, p, h): substrings of train texts that pass the filter, each hash once per text; p packs its first position and the text's shingles."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = words.value
         for part in text_slices(batches, "x"):
-            columns: list[list] = [[] for _ in range(4)]
+            columns: list[list] = [[] for _ in range(3)]
             for i, text in zip(part.column("id").to_pylist(), part.column("x").to_pylist()):
                 tokens = code_token_hashes(text)
                 shingles = len(tokens) - SHINGLE + 1
@@ -150,12 +142,12 @@ def _matched(texts: DataFrame, lengths: list[int], words) -> DataFrame:
                     at = np.flatnonzero(passes(bits, hashes))
                     if len(at):
                         found, first = np.unique(hashes[at], return_index=True)
-                        for column, values in zip(columns, (np.full(len(found), i), np.full(len(found), shingles), at[first], found.view(np.int64))):
+                        for column, values in zip(columns, (np.full(len(found), i), at[first] << 32 | shingles, found.view(np.int64))):
                             column.append(values)
             if columns[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)).cast(t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int32(), pa.int64()))], names=["id", "n", "at", "h"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)).cast(t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64()))], names=["id", "p", "h"])
 
-    return texts.select("id", "x").mapInArrow(run, "id bigint, n int, at int, h bigint")
+    return texts.select("id", "x").mapInArrow(run, "id bigint, p bigint, h bigint")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, contained: float) -> DataFrame:
@@ -197,10 +189,18 @@ def split_overlaps(records: DataFrame, contained: float = CONTAINED) -> tuple[Da
     words = records.sparkSession.sparkContext.broadcast(hash_filter(cut, "h"))
     hits = materialize(_matched(train, lengths, words), "matches")
     frequency = hits.groupBy("h").agg(F.count("*").alias("df"))
-    ranked = cut.join(frequency, "h", "left").withColumn("place", F.row_number().over(Window.partitionBy("id").orderBy(F.coalesce("df", F.lit(0)), "at")))
-    chosen = ranked.where("place <= missing + least and df > 0").select(F.col("id").alias("a"), "d", "least", F.col("at").alias("at_a"), "h", "df")
-    met = chosen.join(hits.select(F.col("id").alias("b"), "n", F.col("at").alias("at_b"), "h"), "h").where(F.col("n") >= F.lit(contained) * F.col("d") - 1e-9)
-    pairs = met.groupBy("a", "b").agg(F.min(F.struct("df", "at_a", "at_b")).alias("m"), F.count("*").alias("c"), F.first("least").alias("least")).where("c >= least").select("a", "b", (F.col("m.at_b") - F.col("m.at_a")).alias("shift"))
+    by_record = Window.partitionBy("id")
+    ranked = cut.select("id", "p", "h").join(frequency, "h", "left").select("id", "p", "h", F.coalesce("df", F.lit(0)).alias("df"))
+    placed = ranked.withColumn("place", F.row_number().over(by_record.orderBy("df", "p"))).withColumn("count", F.count("*").over(by_record))
+    d, low = F.col("p").bitwiseAND(F.lit(0xFFFFFFFF)), F.lit(0xFFFFFFFF)
+    missing = F.floor(d * F.lit(1 - contained) + F.lit(1e-9))
+    chosen = placed.withColumn("missing", missing).withColumn("least", 1 + F.floor((F.col("count") - F.col("missing") - 1) / 4)).where(F.col("place") <= F.col("missing") + F.col("least")).where("df > 0")
+    # One number for both: how many matches a candidate needs, and how long it must be.
+    chosen = chosen.select(F.col("id").alias("a"), "p", "h", "df", F.shiftleft("least", 32).bitwiseOR(F.ceil(d * F.lit(contained) - F.lit(1e-9))).alias("need"))
+    met = chosen.join(hits.select(F.col("id").alias("b"), F.col("p").alias("q"), "h"), "h").where(F.col("q").bitwiseAND(low) >= F.col("need").bitwiseAND(low))
+    shift = (F.shiftright("q", 32) - F.shiftright("p", 32)).cast("int")
+    pairs = met.select("a", "b", "need", F.struct("df", "p", shift.alias("shift")).alias("m")).groupBy("a", "b", "need").agg(F.min("m").alias("m"), F.count("*").alias("c"))
+    pairs = pairs.where(F.col("c") >= F.shiftright("need", 32)).select("a", "b", "m.shift")
     return _verified(materialize(pairs, "overlap-candidates"), texts, contained), members
 
 
