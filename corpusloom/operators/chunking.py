@@ -20,7 +20,7 @@ def chunk_starts(tokens: Column, size: int, overlap: int, least: int) -> Column:
 def chunk_spans(df: DataFrame, key: str, tokens: str, size: int = 512, overlap: int = 64, least: int = 64) -> DataFrame:
     """(key, chunk_index, token_start, token_end): one row per chunk, narrow."""
     n = F.col(tokens).cast("bigint")
-    each = df.where(F.col(tokens).isNotNull()).select(F.col(key), n.alias("_n"), F.posexplode(chunk_starts(n, size, overlap, least)).alias("chunk_index", "token_start"))
+    each = df.select(F.col(key), n.alias("_n"), F.posexplode(chunk_starts(n, size, overlap, least)).alias("chunk_index", "token_start"))
     return each.select(key, "chunk_index", "token_start", F.least(F.col("token_start") + size, F.col("_n")).alias("token_end"))
 
 
@@ -42,8 +42,8 @@ def chunk_statistics(df: DataFrame, tokens: str, by: list[str] = (), size: int =
     ends = F.transform(starts, lambda s: F.least(s + size, n))
     emitted = F.aggregate(F.arrays_zip(starts.alias("a"), ends.alias("b")), F.lit(0).cast("bigint"), lambda acc, z: acc + z["b"] - z["a"])
     full = F.size(F.filter(F.arrays_zip(starts.alias("a"), ends.alias("b")), lambda z: z["b"] - z["a"] == size))
-    each = df.where(F.col(tokens).isNotNull()).select(*by, n.alias("n"), F.size(starts).alias("c"), emitted.alias("e"), full.alias("f"), F.when(n >= least, n).otherwise(0).alias("v"))
-    return each.groupBy(*by).agg(F.count("*").alias("documents"), F.sum("n").alias("tokens"), F.sum("c").alias("chunks"), F.sum("f").alias("full"), F.sum(F.col("c") - F.col("f")).alias("partial"), F.sum("e").alias("emitted"), F.sum("v").alias("covered"), F.sum(F.col("e") - F.col("v")).alias("extra"))
+    each = df.select(*by, n.alias("n"), F.size(starts).alias("c"), emitted.alias("e"), full.alias("f"), F.when(n >= least, n).otherwise(0).alias("v"))
+    return each.groupBy(*by).agg(F.count("n").alias("documents"), F.sum("n").alias("tokens"), F.sum("c").alias("chunks"), F.sum("f").alias("full"), F.sum(F.col("c") - F.col("f")).alias("partial"), F.sum("e").alias("emitted"), F.sum("v").alias("covered"), F.sum(F.col("e") - F.col("v")).alias("extra"))
 
 
 def chunk_texts(df: DataFrame, key: str, text: str, size: int = 512, overlap: int = 64, least: int = 64) -> DataFrame:

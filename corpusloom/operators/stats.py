@@ -21,11 +21,15 @@ def value_counts(df: DataFrame, *columns: str) -> DataFrame:
 
 
 def _ranked(df: DataFrame, value: str, by: list[str]) -> DataFrame:
-    """(by..., v, c, upto, n): distinct values with their counts and running counts."""
-    counts = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("v")).agg(F.count("*").alias("c"))
+    """(by..., v, c, upto, n): distinct values with their counts and running counts; nulls don't count.
+
+    Nulls are left out by the sums: a filter would be pushed below the projection and compute a costly value twice.
+    """
+    counts = df.groupBy(*by, F.col(value).alias("v")).agg(F.count("*").alias("c"))
     keys = by or [F.lit(0)]
-    order = Window.partitionBy(*keys).orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    return counts.withColumn("upto", F.sum("c").over(order)).withColumn("n", F.sum("c").over(Window.partitionBy(*keys)))
+    real = F.sum(F.when(F.col("v").isNotNull(), F.col("c")))
+    order = Window.partitionBy(*keys).orderBy(F.asc_nulls_first("v")).rowsBetween(Window.unboundedPreceding, 0)
+    return counts.withColumn("upto", real.over(order)).withColumn("n", real.over(Window.partitionBy(*keys)))
 
 
 def _at(rank: Column) -> Column:
@@ -60,8 +64,8 @@ def numeric_summary(df: DataFrame, value: str, by: list[str] = ()) -> DataFrame:
 
 def truncation_table(df: DataFrame, length: str, limits: list[int]) -> DataFrame:
     """(max_length, samples, truncated, tokens, lost): what each limit would cut, in one pass over the data."""
-    each = df.where(F.col(length).isNotNull()).select(F.col(length).cast("bigint").alias("l"), F.explode(F.array(*[F.lit(x) for x in limits])).alias("max_length"))
-    return each.groupBy("max_length").agg(F.count("*").alias("samples"), F.count_if(F.col("l") > F.col("max_length")).alias("truncated"), F.sum("l").alias("tokens"), F.sum(F.greatest(F.col("l") - F.col("max_length"), F.lit(0))).alias("lost"))
+    each = df.select(F.col(length).cast("bigint").alias("l"), F.explode(F.array(*[F.lit(x) for x in limits])).alias("max_length"))
+    return each.groupBy("max_length").agg(F.count("l").alias("samples"), F.count_if(F.col("l") > F.col("max_length")).alias("truncated"), F.sum("l").alias("tokens"), F.sum(F.when(F.col("l") > F.col("max_length"), F.col("l") - F.col("max_length")).otherwise(0)).alias("lost"))
 
 
 def length_bands(length: Column, bounds: list[int]) -> Column:

@@ -35,7 +35,7 @@ def shared_dir(spark: SparkSession) -> str:
 
     Only a local master may go without: a folder of this machine is set there.
     """
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder and (own := spark.sparkContext._jsc.sc().getCheckpointDir()).isDefined():
         folder = own.get()
     if not folder:
