@@ -26,7 +26,9 @@ def distinct_texts(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     keyed = materialize(texts.where("x is not null and id is not null").select("t", "id", F.md5(F.col("x").cast("binary")).alias("digest")), "digests")
     classes = keyed.groupBy("t", "digest").agg(F.min("id").alias("rep"), F.count("*").alias("copies"))
     members = materialize(keyed.join(classes, ["t", "digest"]).select("t", "rep", "id"), "members")
-    return texts.join(members.where("id <> rep").select("t", "id"), ["t", "id"], "left_anti"), members
+    # A table of its own, so that its size is known when the join is planned.
+    copies = materialize(members.where("id <> rep").select("t", "id"), "copies")
+    return texts.join(copies, ["t", "id"], "left_anti"), members
 
 
 def hash_filter(hashes: DataFrame, column: str, bits: int = FILTER_BITS) -> np.ndarray:
