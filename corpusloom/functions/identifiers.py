@@ -109,8 +109,9 @@ def resolve_ids(df: DataFrame, key: str, path: Column, header: Column, subject:
     A level with one candidate gives it; one with several is ambiguous and ends the search. Then comes the event of the path.
     Levels are columns of a projection of their own, so that each text is searched once.
     """
-    texts = (path_stem(path), path, header, F.coalesce(subject, F.lit("")))
-    found = df.select(key, *[candidate_ids(t).alias(f"_{n}") for n, t in zip(LEVELS, texts)], event_id(path, header).alias("_event"))
+    base = df.select(key, path.alias("_p"), header.alias("_h"), F.coalesce(subject, F.lit("")).alias("_s"))
+    texts = (path_stem(F.col("_p")), F.col("_p"), F.col("_h"), F.col("_s"))
+    found = base.select(key, *[candidate_ids(t).alias(f"_{n}") for n, t in zip(LEVELS, texts)], event_id(F.col("_p"), F.col("_h")).alias("_event"))
     identifier, evidence = F, F
     for n in LEVELS:
         c = F.col(f"_{n}")
