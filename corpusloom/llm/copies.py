@@ -11,8 +11,10 @@ from pyspark.sql import functions as F
 
 from ..session import materialize
 
-#: 4 MB of bits, whatever the data; a fuller filter lets more rows pass and never loses one.
-FILTER_BITS = 1 << 25
+#: Bits of a filter at least (4 MB) and at most (128 MB); a fuller filter lets more rows pass and never loses one.
+FILTER_BITS, MOST_FILTER_BITS = 1 << 25, 1 << 30
+#: Bits for each hash, as long as the bound allows: at two bits set, one in 70 other hashes passes.
+BITS_PER_HASH = 16
 _WORD_BITS = 6
 _BLOCK_BITS = 13
 
@@ -31,6 +33,11 @@ def distinct_texts(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     return texts.join(copies, ["t", "id"], "left_anti"), members
 
 
+def filter_bits(hashes: int) -> int:
+    """Bits of a filter for so many hashes: a power of two within the bounds."""
+    return max(FILTER_BITS, min(MOST_FILTER_BITS, 1 << max(0, BITS_PER_HASH * hashes - 1).bit_length()))
+
+
 def hash_filter(hashes: DataFrame, column: str, bits: int = FILTER_BITS) -> np.ndarray:
     """Bitmap of two bits per hash, as 64-bit words; its size is fixed by ``bits`` alone.
 

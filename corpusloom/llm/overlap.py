@@ -4,7 +4,7 @@ A held-out record counts as found in a train record if at least ``CONTAINED`` of
 So k = floor((1 - CONTAINED) d) shingles may be missing, and it is cut into segments of consecutive shingles of
 which no two have a shingle in common: each missing shingle breaks one segment at most, and of k + c segments c
 are left whole. Segments are four shingles (eight tokens) long, shorter where a short or repetitive record
-gives fewer than k + 1. Train records' substrings of those lengths are matched to segments by hash: a filter of fixed
+gives fewer than k + 1. Train records' substrings of those lengths are matched to segments by hash: a filter of bounded
 size first, then an equi-join. The k + c segments that are rarest in the train split are enough, which leaves out
 boilerplate, and a train record is a candidate if it matches c of them; c takes up a quarter of the segments beyond
 k + 1. A match is allowed at any position of a train record that is long enough: the measure knows no order, so
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from ..functions.tokens import SHINGLE, code_token_hashes, mix, shingle_set, window_hashes
 from ..session import materialize
 from .batching import text_slices
-from .copies import distinct_texts, hash_filter, passes, slices_of
+from .copies import distinct_texts, filter_bits, hash_filter, passes, slices_of
 
 CONTAINED = 0.85
 LONGEST = 4
@@ -186,7 +186,7 @@ def split_overlaps(records: DataFrame, contained: float = CONTAINED) -> tuple[Da
     held, train = texts.where("t = 1"), texts.where("t = 0")
     cut = materialize(_cut(held, contained), "segments")
     lengths = sorted(r[0] for r in cut.select("length").distinct().collect())  # four values at most
-    words = records.sparkSession.sparkContext.broadcast(hash_filter(cut, "h"))
+    words = records.sparkSession.sparkContext.broadcast(hash_filter(cut, "h", filter_bits(cut.count())))
     hits = materialize(_matched(train, lengths, words), "matches")
     frequency = hits.groupBy("h").agg(F.count("*").alias("df"))
     by_record = Window.partitionBy("id")

@@ -4,7 +4,7 @@ A window is ``LENGTH`` consecutive code points; two documents share a span of th
 common. The minimiser of a window is the least hash of its runs of ``MINIMISER`` code points, so equal windows
 have equal minimisers. Consecutive windows with one minimiser are a super-k-mer. A first pass counts in how many documents
 each minimiser occurs (partial aggregation); a minimiser of one document can't be shared, and what is repeated goes
-into a filter of fixed size. A second pass sends the super-k-mers that pass it, each packed as one string, to the
+into a filter of bounded size. A second pass sends the super-k-mers that pass it, each packed as one string, to the
 minimiser's bucket, where their windows are sorted by hash and runs of equal windows from different
 documents are found; each pair's windows are compared as strings before it is reported.
 
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from ..functions.tokens import mix
 from ..session import materialize
 from .batching import text_slices
-from .copies import distinct_texts, hash_filter, passes
+from .copies import distinct_texts, filter_bits, hash_filter, passes
 
 LENGTH = 200
 MINIMISER = 100
@@ -230,7 +230,7 @@ def shared_spans(df: DataFrame, id_column: str, text_column: str, length: int =
     texts, members = distinct_texts(df.select(F.lit(0).alias("t"), F.col(f"`{id_column}`").alias("id"), F.col(f"`{text_column}`").alias("x")))
     long = texts.where(F.length("x") >= length)
     counted = materialize(_minimisers(long, length, minimiser).groupBy("m").agg(F.count("*").alias("n")).where("n > 1"), "minimisers")
-    words = df.sparkSession.sparkContext.broadcast(hash_filter(counted, "m"))
+    words = df.sparkSession.sparkContext.broadcast(hash_filter(counted, "m", filter_bits(counted.count())))
     packed = _packed(long, words, length, minimiser)
     much = counted.where(F.col("n") > hot).select("m")
     if much.isEmpty():

@@ -153,6 +153,10 @@ def test_segments_share_no_shingle():
         assert len(owned) == len(set(owned))
 
 
+def test_filter_size_has_bounds():
+    assert [copies.filter_bits(n) for n in (0, 1, 2**21, 2**21 + 1, 2**60)] == [2**25, 2**25, 2**25, 2**26, 2**30]
+
+
 def test_filter_loses_nothing(spark):
     values = np.random.default_rng(0).integers(-(2**63), 2**63 - 1, 500)
     words = copies.hash_filter(spark.createDataFrame([(int(v),) for v in values], "h bigint"), "h", 1 << 12)
