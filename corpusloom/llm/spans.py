@@ -35,7 +35,7 @@ MINIMISER = 100
 HOT = 20_000
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 5)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
-_CHUNK = 3_000_000
+_CHUNK = 1_000_000
 _MOST_PAIRS = 2_000_000
 
 
@@ -181,7 +181,7 @@ def _bucketed(packed: DataFrame, length: int) -> DataFrame:
 
         held: list[pa.RecordBatch] = []
         size = 0
-        for part in text_slices(batches, "s"):
+        for part in text_slices(batches, "s", _CHUNK // 2):
             m = part.column("m").to_numpy()
             new = np.flatnonzero(m[1:] != m[:-1]) + 1
             cut = int(new[-1]) if len(new) else 0
