@@ -50,14 +50,13 @@ def code_tokens(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(TOKEN), 0)
 
 
-#: The same tokens on text that is all ASCII; classes of few ranges and no backtracking are three times as fast.
-_PLAIN_TOKEN = r"[A-Za-z_][A-Za-z0-9_]*+|[0-9]++|[^\t-\r\x1c-\x20]"
-
-
 def token_count(text: Column) -> Column:
-    """Number of code tokens, without making the array."""
-    plain = F.octet_length(text) == F.length(text)
-    return F.when(plain, F.regexp_count(text, F.lit(_PLAIN_TOKEN))).otherwise(F.regexp_count(text, F.lit(TOKEN)))
+    """Number of code tokens, without making the array.
+
+    On ASCII text without separator controls the ASCII pattern finds the same tokens four times as fast.
+    """
+    plain = (F.octet_length(text) == F.length(text)) & ~text.rlike(r"[\x1c-\x1f]")
+    return F.when(plain, F.regexp_count(text, F.lit(ASCII_TOKEN))).otherwise(F.regexp_count(text, F.lit(TOKEN)))
 
 
 def ascii_token_count(text: Column) -> Column:
