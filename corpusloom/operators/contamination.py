@@ -14,6 +14,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.identifiers import text_has_identifier
 from ..functions.text import normalize_code, sha256_text
 from ..functions.tokens import code_token_hashes, shingle_hash_set, token_shingles
 
@@ -22,6 +23,8 @@ THRESHOLD = 0.8
 LEAST_RATIO = 0.35
 #: Shingles of items that are broadcast at most (16 bytes each).
 BROADCAST_SHINGLES = 2_000_000
+#: Item numbers that are broadcast at most.
+BROADCAST_NUMBERS = 10_000
 
 
 def sized_broadcast(df: DataFrame, most: int) -> DataFrame:
@@ -98,6 +101,24 @@ def similar_pairs(rows: DataFrame, key: str, text: str, items: DataFrame, item:
     return read.mapInArrow(run, f"k {kind}, item {item_kind}, shared bigint, all bigint").withColumnsRenamed({"k": key, "item": item})
 
 
+def named_items(rows: DataFrame, keys: list[str], text: str, items: DataFrame, item: str, number: str) -> DataFrame:
+    """(keys, item) of all rows whose text has an item's number in it, bounded; ``keys`` are unique.
+
+    An equi-join on the longest run of letters and digits of the number, which is a whole run of any such text, then the test. Numbers
+    within the bound are broadcast and texts stay where they are; beyond it runs are shuffled, and texts only of rows that share one.
+    """
+    runs = F.explode(F.array_distinct(F.concat(F.array(F.lit("")), F.regexp_extract_all(F.col(text), F.lit("[A-Za-z0-9]+"), 0))))
+    longest = F.array_max(F.transform(F.regexp_extract_all(F.lower(number), F.lit("[a-z0-9]+"), 0), lambda r: F.struct(F.length(r).alias("n"), r.alias("r"))))["r"]
+    numbers = items.where(F.length(number) >= 3).select(F.col(item).alias("_item"), F.col(number).alias("_number"), F.coalesce(longest, F.lit("")).alias("_run"))
+    read = rows.where(F.col(text).isNotNull())
+    if numbers.limit(BROADCAST_NUMBERS + 1).count() <= BROADCAST_NUMBERS:
+        met = read.select(*keys, F.col(text).alias("_x"), runs.alias("_r")).withColumn("_run", F.lower("_r")).join(F.broadcast(numbers), "_run")
+    else:
+        shared = read.select(*keys, runs.alias("_r")).withColumn("_run", F.lower("_r")).join(numbers, "_run").select(*keys, "_item", "_number").distinct()
+        met = shared.join(read.select(*keys, F.col(text).alias("_x")), keys)
+    return met.where(text_has_identifier(F.col("_x"), F.col("_number"))).select(*keys, F.col("_item").alias(item)).distinct()
+
+
 def contamination(rows: DataFrame, key: str, problem: str, code: str, statement: str, items: DataFrame, item: str, item_problem: str, item_code: str, item_statement: str, threshold: float = THRESHOLD) -> DataFrame:
     """(key, item, reasons, code_shared, code_all, statement_shared, statement_all) of contaminated rows.
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import chat, classify, extract
@@ -278,6 +281,18 @@ def text_identifiers(spark, sf_dir):
     return met.select("row_id", F.col("id").alias("item")).distinct()
 
 
+#: Table, key and text column of everything in which item numbers are looked for.
+_NAMING = (("dataset", "row_id", "response"), ("dataset", "row_id", "instruction"), ("style_v3", "record_id", "text"))
+
+
+@CATALOG.query(" union all ".join(f"select '{t}' as table_name, '{x}' as field, t.{k} as record, m.id as item from {t} t join manifest m on length(m.problem_id) >= 3 and regexp_matches(t.{x}, '(?i)(?:^|[^A-Za-z0-9])' || m.problem_id || '(?:$|[^A-Za-z0-9])')" for t, k, x in _NAMING))
+def corpus_identifiers(spark, sf_dir):
+    """Pairs and files that name an item's number anywhere in their whole text."""
+    each = [table(spark, sf_dir, t).select(F.lit(t).alias("table_name"), F.lit(x).alias("field"), F.col(k).alias("record"), F.col(x).alias("x")) for t, k, x in _NAMING]
+    items = table(spark, sf_dir, "manifest").select(F.col("id").alias("item"), "problem_id")
+    return contamination.named_items(reduce(DataFrame.unionByName, each), ["table_name", "field", "record"], "x", items, "item", "problem_id")
+
+
 @CATALOG.query("select m.id, list_filter([case when m.oj is distinct from b.oj then 'oj' end, case when m.problem_id is distinct from b.problem_id then 'problem_id' end, case when m.difficulty is distinct from b.difficulty then 'difficulty' end], lambda x: x is not null) as fields from manifest m join bench_problem b using (id) where m.oj is distinct from b.oj or m.problem_id is distinct from b.problem_id or m.difficulty is distinct from b.difficulty")
 def item_metadata_diff(spark, sf_dir):
     return validation.differing_fields(table(spark, sf_dir, "manifest"), table(spark, sf_dir, "bench_problem"), "id", ["oj", "problem_id", "difficulty"])

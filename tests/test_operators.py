@@ -151,6 +151,23 @@ def test_contamination_both_ways(spark, monkeypatch):
     assert found() == expected
 
 
+def test_item_numbers_in_whole_texts(spark, monkeypatch):
+    items = spark.createDataFrame([("i1", "P1829"), ("i2", "2016_a_finals2_icpc_F"), ("i3", "ab"), ("i4", "洛谷一")], "item string, n string")
+    texts = ["x " * 5000 + "// p1829", "xP1829", "P1829x", "// see 2016_A_FINALS2_ICPC_F.", "finals2", "ab", "（洛谷一）", "P1829 P1829, p1829", None, ""]
+    rows = spark.createDataFrame(list(enumerate(texts)), "k int, x string")
+    expected = [(0, "i1"), (3, "i2"), (6, "i4"), (7, "i1")]
+    for bound in (100, 2):
+        monkeypatch.setattr(contamination, "BROADCAST_NUMBERS", bound)
+        assert sorted(map(tuple, contamination.named_items(rows, ["k"], "x", items, "item", "n").collect())) == expected
+
+
+def test_item_numbers_are_found_in_the_corpus(spark):
+    import __spark_entry__ as entry
+
+    found = entry.queries()["corpus_identifiers"](spark, "/root/testdata/sf0.001").collect()
+    assert [(r.table_name, r.field, r.record) for r in found] == [("dataset", "response", 28)]
+
+
 def test_validation(spark):
     df = spark.createDataFrame([(1, None, "a"), (2, "x", "a"), (2, "y", "b")], "k int, v string, s string")
     rules = validation.violations({"no_v": F.col("v").isNull(), "k_two": F.col("k") == 2, "null_rule": F.lit(None).cast("boolean")}, F.col("k") == 9, F.lit("gate"))
