@@ -387,13 +387,26 @@ def filled_prompts(spark, sf_dir):
 _WHOLE = "regexp_replace(text, '^\\s+|\\s+$', '', 'g')"
 
 
-@CATALOG.query(f"with w as (select doc_id, {_WHOLE} as w from documents where kind = 'chat' and text is not null), b as (select doc_id, w, list_transform(regexp_extract_all(w, '{extract.FENCED}', 2), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')) as blocks from w) select doc_id, len(blocks)::bigint as blocks, length(case when len(blocks) > 0 then list_sort(list_transform(blocks, lambda x: {{'n': -length(x), 'x': x}}))[1].x end)::bigint as longest_chars, contains(w, '```') as fenced from b")
-def fenced_code(spark, sf_dir):
-    """Code blocks of chat documents, and the length of the longest."""
+def _fenced_sql(columns: str, rows: str) -> str:
+    return f"with w as (select {columns}, {_WHOLE} as w from documents where {rows}), b as (select {columns}, w, list_transform(regexp_extract_all(w, '{extract.FENCED}', 2), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')) as blocks from w) select {columns}, len(blocks)::bigint as blocks, length(case when len(blocks) > 0 then list_sort(list_transform(blocks, lambda x: {{'n': -length(x), 'x': x}}))[1].x end)::bigint as longest_chars, contains(w, '```') as fenced from b"
+
+
+def _fenced(documents, *columns):
     t = F.col("text")
-    chats = table(spark, sf_dir, "documents").where("kind = 'chat' and text is not null")
     blocks = F.regexp_extract_all(F.regexp_replace(t, r"^\s+|\s+$", ""), F.lit(extract.FENCED), 2)
-    return chats.select("doc_id", F.size(blocks).cast("bigint").alias("blocks"), F.when(F.size(blocks) > 0, F.length(extract.extract_code(t, "longest"))).cast("bigint").alias("longest_chars"), F.contains(t, F.lit("```")).alias("fenced"))
+    return documents.select(*columns, F.size(blocks).cast("bigint").alias("blocks"), F.when(F.size(blocks) > 0, F.length(extract.extract_code(t, "longest"))).cast("bigint").alias("longest_chars"), F.contains(t, F.lit("```")).alias("fenced"))
+
+
+@CATALOG.query(_fenced_sql("doc_id", "kind = 'chat' and text is not null"))
+def fenced_code(spark, sf_dir):
+    """Code blocks of chat documents, and the length of the longest."""
+    return _fenced(table(spark, sf_dir, "documents").where("kind = 'chat' and text is not null"), "doc_id")
+
+
+@CATALOG.query(_fenced_sql("doc_id, kind", "text is not null"))
+def fenced_documents(spark, sf_dir):
+    """Code blocks of documents of all kinds, and the length of the longest."""
+    return _fenced(table(spark, sf_dir, "documents").where("text is not null"), "doc_id", "kind")
 
 
 @CATALOG.query()

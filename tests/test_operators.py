@@ -168,6 +168,14 @@ def test_item_numbers_are_found_in_the_corpus(spark):
     assert [(r.table_name, r.field, r.record) for r in found] == [("dataset", "response", 28)]
 
 
+def test_code_blocks_of_all_kinds(spark):
+    import __spark_entry__ as entry
+
+    found = entry.queries()["fenced_documents"](spark, "/root/testdata/sf0.001")
+    assert found.count() == spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where("text is not null").count()
+    assert {r.kind for r in found.where("blocks > 0").select("kind").distinct().collect()} >= {"chat", "editorial"}
+
+
 def test_validation(spark):
     df = spark.createDataFrame([(1, None, "a"), (2, "x", "a"), (2, "y", "b")], "k int, v string, s string")
     rules = validation.violations({"no_v": F.col("v").isNull(), "k_two": F.col("k") == 2, "null_rule": F.lit(None).cast("boolean")}, F.col("k") == 9, F.lit("gate"))
