@@ -1,14 +1,14 @@
 """Held-out records found again in the train split (problem 3): an edit-distance segment join.
 
 A held-out record counts as found in a train record if at least ``CONTAINED`` of its d distinct shingles are there.
-So k = floor((1 - CONTAINED) d) shingles may be missing, and it is cut into segments of consecutive shingles of
-which no two have a shingle in common: each missing shingle breaks one segment at most, and of k + c segments c
-are left whole. Segments are four shingles (eight tokens) long, shorter where a short or repetitive record
-gives fewer than k + 1. Train records' substrings of those lengths are matched to segments by hash: a filter of bounded
-size first, then an equi-join. The k + c segments that are rarest in the train split are enough, which leaves out
-boilerplate, and a train record is a candidate if it matches c of them; c takes up a quarter of the segments beyond
-k + 1. A match is allowed at any position of a train record that is long enough: the measure knows no order, so
-blocks may have moved.
+So k = floor((1 - CONTAINED) d) shingles may be missing, and of any k + c distinct shingles of it at least c are in the
+train record, in whatever order and place. These single shingles are its segments; longer ones would break without a shingle
+missing where shared shingles aren't consecutive in the train record. A record offers an eighth more of its shingles than
+the k + 1 it must: those that are rarest in a sample of the train split, which orders them and decides nothing. Train
+records' shingles are matched to them by hash: a filter of bounded size first, then an equi-join. The k + c that are rarest in
+the whole train split are enough, which leaves out boilerplate, and a train record is a candidate if it has c of them; c takes
+up a quarter of those beyond k + 1. A match is allowed at any position of a train record that is long enough: the measure
+knows no order, so blocks may have moved.
 
 Candidates are verified by banded dynamic programming along the diagonal of the match, many pairs to one NumPy
 array: ``edits`` is the token edit distance to the best substring there, null if it leaves the band. The count of
@@ -27,13 +27,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.tokens import SHINGLE, code_token_hashes, mix, shingle_set, window_hashes
+from ..functions.tokens import SHINGLE, code_token_hashes, shingle_set, window_hashes
 from ..session import materialize
 from .batching import text_slices
 from .copies import distinct_texts, filter_bits, hash_filter, passes, slices_of
 
 CONTAINED = 0.85
-LONGEST = 4
+#: Train texts from which common shingles are known, about, and how many of these are sent to the workers at most (16 bytes each).
+SAMPLE, MOST_COMMON = 2_000, 1_000_000
 _PAIRS = 128
 
 
@@ -41,30 +42,19 @@ def allowed_missing(distinct: int, contained: float = CONTAINED) -> int:
     return int((1 - contained) * distinct + 1e-9)
 
 
-def segments(tokens: np.ndarray, contained: float = CONTAINED) -> tuple[int, int, np.ndarray]:
-    """(length in shingles, distinct shingles, first shingle of each segment) of a record's token hashes."""
-    shingles = window_hashes(tokens)
-    _, number = np.unique(shingles, return_inverse=True)
-    distinct = int(number.max()) + 1 if len(number) else 0
-    needed = allowed_missing(distinct, contained) + 1
-    names = number.tolist()
-    for length in range(min(LONGEST, len(names)), 0, -1):
-        owned: set[int] = set()
-        starts, run = [], 0
-        for i, name in enumerate(names):
-            run = 0 if name in owned else run + 1
-            if run == length:
-                starts.append(i - length + 1)
-                owned.update(names[i - length + 1 : i + 1])
-                run = 0
-        if len(starts) >= needed:
-            return length, distinct, np.array(starts, np.int64)
-    return 1, distinct, np.empty(0, np.int64)
-
-
-def substring_hashes(tokens: np.ndarray, length: int) -> np.ndarray:
-    """Hash of each run of ``length`` consecutive shingles; the length is part of the hash."""
-    return mix(window_hashes(tokens, SHINGLE + length - 1) + np.uint64(length))
+def segments(tokens: np.ndarray, contained: float = CONTAINED, common: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[int, int, np.ndarray]:
+    """(length in shingles, distinct shingles, first place of each segment) of a record's token hashes.
+
+    ``common`` has sorted shingle hashes and how often each is met; the rarest come first, then the smallest hashes.
+    """
+    shingles, first = np.unique(window_hashes(tokens), return_index=True)
+    distinct = len(shingles)
+    least = allowed_missing(distinct, contained) + 1
+    often = np.zeros(distinct, np.int64)
+    if common is not None and len(common[0]):
+        at = np.minimum(np.searchsorted(common[0], shingles), len(common[0]) - 1)
+        often = np.where(common[0][at] == shingles, common[1][at], 0)
+    return 1, distinct, first[np.argsort(often, kind="stable")[: least + (distinct - least) // 8]]
 
 
 def banded_edits(left: list[np.ndarray], right: list[np.ndarray], shift: list[int], band: list[int]) -> list[int | None]:
@@ -105,47 +95,58 @@ def banded_edits(left: list[np.ndarray], right: list[np.ndarray], shift: list[in
     return [int(e) if e <= w else None for e, w in zip(out, band)]
 
 
-def _cut(texts: DataFrame, contained: float) -> DataFrame:
-    """(id, length, p, h): the segments of held-out texts; p packs the first shingle and d in one number, as rows are shuffled."""
+def _common(train: DataFrame, count: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles met more than once in a sample of the train texts, sorted, and how often."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in text_slices(batches, "x"):
-            columns: list[list] = [[] for _ in range(4)]
+            found = np.concatenate([np.empty(0, np.uint64), *map(shingle_set, part.column("x").to_pylist())])
+            yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64))], names=["h"])
+
+    sample = train.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < F.lit(min(1.0, SAMPLE / max(1, count)) * (1 << 30)))
+    counts = sample.select("x").mapInArrow(run, "h bigint").groupBy("h").agg(F.count("*").alias("n")).where("n > 1")
+    table = counts.orderBy(F.desc("n"), "h").limit(MOST_COMMON).toArrow()
+    hashes = table.column("h").to_numpy().view(np.uint64)
+    order = np.argsort(hashes)
+    return hashes[order], table.column("n").to_numpy()[order]
+
+
+def _cut(texts: DataFrame, contained: float, common) -> DataFrame:
+    """(id, p, h): the segments of held-out texts; p packs the place of the shingle and d in one number, as rows are shuffled."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in text_slices(batches, "x"):
+            columns: list[list] = [[] for _ in range(3)]
             for i, text in zip(part.column("id").to_pylist(), part.column("x").to_pylist()):
                 tokens = code_token_hashes(text)
                 if len(tokens) < SHINGLE:
                     continue
-                length, distinct, at = segments(tokens, contained)
-                hashes = substring_hashes(tokens, length)[at]
-                for column, values in zip(columns, (np.full(len(at), i), np.full(len(at), length), at << 32 | distinct, hashes.view(np.int64))):
+                _, distinct, at = segments(tokens, contained, common.value)
+                hashes = window_hashes(tokens)[at]
+                for column, values in zip(columns, (np.full(len(at), i), at << 32 | distinct, hashes.view(np.int64))):
                     column.append(values)
             if columns[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)).cast(t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int64(), pa.int64()))], names=["id", "length", "p", "h"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in columns], names=["id", "p", "h"])
 
-    return texts.select("id", "x").mapInArrow(run, "id bigint, length int, p bigint, h bigint")
+    return texts.select("id", "x").mapInArrow(run, "id bigint, p bigint, h bigint")
 
 
-def _matched(texts: DataFrame, lengths: list[int], words) -> DataFrame:
-    """(id, p, h): substrings of train texts that pass the filter, each hash once per text; p packs its first position and the text's shingles."""
+def _matched(texts: DataFrame, words) -> DataFrame:
+    """(id, p, h): shingles of train texts that pass the filter, each once per text; p packs its first position and the text's shingles."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = words.value
         for part in text_slices(batches, "x"):
             columns: list[list] = [[] for _ in range(3)]
             for i, text in zip(part.column("id").to_pylist(), part.column("x").to_pylist()):
-                tokens = code_token_hashes(text)
-                shingles = len(tokens) - SHINGLE + 1
-                for length in lengths:
-                    if shingles < length:
-                        continue
-                    hashes = substring_hashes(tokens, length)
-                    at = np.flatnonzero(passes(bits, hashes))
-                    if len(at):
-                        found, first = np.unique(hashes[at], return_index=True)
-                        for column, values in zip(columns, (np.full(len(found), i), at[first] << 32 | shingles, found.view(np.int64))):
-                            column.append(values)
+                hashes = window_hashes(code_token_hashes(text))
+                at = np.flatnonzero(passes(bits, hashes))
+                if len(at):
+                    found, first = np.unique(hashes[at], return_index=True)
+                    for column, values in zip(columns, (np.full(len(found), i), at[first] << 32 | len(hashes), found.view(np.int64))):
+                        column.append(values)
             if columns[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)).cast(t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64()))], names=["id", "p", "h"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in columns], names=["id", "p", "h"])
 
     return texts.select("id", "x").mapInArrow(run, "id bigint, p bigint, h bigint")
 
@@ -184,10 +185,10 @@ def split_overlaps(records: DataFrame, contained: float = CONTAINED) -> tuple[Da
     """
     texts, members = distinct_texts(records.select("t", "id", "x").where("t is not null"))
     held, train = texts.where("t = 1"), texts.where("t = 0")
-    cut = materialize(_cut(held, contained), "segments")
-    lengths = sorted(r[0] for r in cut.select("length").distinct().collect())  # four values at most
+    common = records.sparkSession.sparkContext.broadcast(_common(train, members.where("t = 0").count()))
+    cut = materialize(_cut(held, contained, common), "segments")
     words = records.sparkSession.sparkContext.broadcast(hash_filter(cut, "h", filter_bits(cut.count())))
-    hits = materialize(_matched(train, lengths, words), "matches")
+    hits = materialize(_matched(train, words), "matches")
     frequency = hits.groupBy("h").agg(F.count("*").alias("df"))
     by_record = Window.partitionBy("id")
     ranked = cut.select("id", "p", "h").join(frequency, "h", "left").select("id", "p", "h", F.coalesce("df", F.lit(0)).alias("df"))

@@ -110,6 +110,14 @@ def test_overlaps_equal_brute_force(spark, texts):
     assert same and all(got[1000 + i, j].edits == 0 for i, j in same)
 
 
+def test_shared_shingles_need_not_be_consecutive(spark):
+    held = ["a b c d e f a b c d e f", " ".join(f"w{i}" for i in range(60))]
+    scattered = " ; ".join(" ".join(f"w{j}" for j in range(i, i + 5)) for i in range(56))
+    rows = [(1, 1, held[0]), (1, 2, held[1]), (0, 3, "d e f a b c d e f a"), (0, 4, scattered), (0, 5, "d e f a b c")]
+    found = overlap.expand(*overlap.split_overlaps(spark.createDataFrame(rows, "t int, id bigint, x string"))).collect()
+    assert {(r.held, r.train, r.shared, r.d) for r in found} == {(1, 3, 6, 6), (2, 4, 56, 56)}
+
+
 def test_overlaps_of_nothing(spark):
     df = spark.createDataFrame([(0, 1, "int a = b;"), (1, 2, None)], "t int, id bigint, x string")
     assert overlap.expand(*overlap.split_overlaps(df)).count() == 0
