@@ -11,7 +11,8 @@ up a quarter of those beyond k + 1. A match is allowed at any position of a trai
 knows no order, so blocks may have moved.
 
 Candidates are verified by banded dynamic programming along the diagonal of the match, many pairs to one NumPy
-array: ``edits`` is the token edit distance to the best substring there, null if it leaves the band. The count of
+array: ``edits`` is the token edit distance to the best substring there, null if it leaves the band. It is 0 wherever in
+the train record the whole held-out record stands; above 0 it holds for that one diagonal. The count of
 shared shingles follows, exactly, and decides.
 
 Defined results: null, empty and short texts (under five tokens) are in no pair; records without a split are left out; repeated
@@ -95,6 +96,15 @@ def banded_edits(left: list[np.ndarray], right: list[np.ndarray], shift: list[in
     return [int(e) if e <= w else None for e, w in zip(out, band)]
 
 
+def within(tokens: np.ndarray, other: np.ndarray) -> bool:
+    """Whether ``tokens`` are consecutive in ``other``."""
+    wanted, text = tokens.tobytes(), other.tobytes()
+    at = text.find(wanted)
+    while at % tokens.itemsize and at >= 0:
+        at = text.find(wanted, at + 1)
+    return at >= 0
+
+
 def _common(train: DataFrame, count: int) -> tuple[np.ndarray, np.ndarray]:
     """Shingles met more than once in a sample of the train texts, sorted, and how often."""
 
@@ -173,6 +183,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, contained: float) -> DataFrame
             edits: list[int | None] = []
             for k in range(0, len(good), _PAIRS):
                 edits += banded_edits(*map(list, zip(*[(g[5], g[6], g[4], g[7]) for g in good[k : k + _PAIRS]])))
+            edits = [0 if e != 0 and within(g[5], g[6]) else e for e, g in zip(edits, good)]
             yield pa.RecordBatch.from_arrays([*(pa.array([g[c] for g in good], t) for c, t in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.int32()))), pa.array(edits, pa.int32())], names=["a", "b", "shared", "d", "edits"])
 
     return both.select("a", "b", "shift", "xa", "xb").mapInArrow(run, "a bigint, b bigint, shared int, d int, edits int")

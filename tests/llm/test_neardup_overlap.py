@@ -118,6 +118,29 @@ def test_shared_shingles_need_not_be_consecutive(spark):
     assert {(r.held, r.train, r.shared, r.d) for r in found} == {(1, 3, 6, 6), (2, 4, 56, 56)}
 
 
+def test_report_counts_copies_after_quotations(spark, tmp_path):
+    from corpusloom.llm.queries import CATALOG
+
+    rng = random.Random(3)
+    held = [program(rng, n) for n in (4, 12, 30)]
+    quoted = [h.rsplit(" ", 1)[0] + "\n" + "z = 0;\n" * 40 + h for h in held]
+    spoiled = [h.replace("using", "no") for h in held]
+    rows = [(i, "test", "a/x.cpp", h) for i, h in enumerate(held)] + [(10 + i, "train", "b/x.cpp", t) for i, t in enumerate(quoted[:2] + spoiled)]
+    spark.createDataFrame(rows, "record_id bigint, split string, path string, text string").write.parquet(str(tmp_path / "style_v3.parquet"))
+    tokens = [code_token_hashes(r[3]).tolist() for r in rows]
+    pairs = {(i, j): any(tokens[j][k : k + len(tokens[i])] == tokens[i] for k in range(len(tokens[j]))) for i in range(3) for j in range(3, len(rows)) if np.isin(shingle_set(rows[i][3]), shingle_set(rows[j][3])).mean() >= 0.85}
+    expected = ("test", "a", len(pairs), len({i for i, _ in pairs}), len({i for (i, _), exact in pairs.items() if exact}))
+    assert expected[4] == 2
+    assert [(r.split, r.directory, r.pairs, r.records, r.exact_records) for r in CATALOG.queries["p3_report"](spark, str(tmp_path)).collect()] == [expected]
+
+
+def test_tokens_within_tokens():
+    rng = random.Random(6)
+    for _ in range(300):
+        a, b = ([rng.randrange(2) * 257 for _ in range(n)] for n in (rng.randrange(1, 5), rng.randrange(1, 12)))
+        assert overlap.within(np.array(a, np.uint64), np.array(b, np.uint64)) == any(b[k : k + len(a)] == a for k in range(len(b)))
+
+
 def test_overlaps_of_nothing(spark):
     df = spark.createDataFrame([(0, 1, "int a = b;"), (1, 2, None)], "t int, id bigint, x string")
     assert overlap.expand(*overlap.split_overlaps(df)).count() == 0
