@@ -124,3 +124,8 @@ def same_output(actual: Column, expected: Column, checker: str = "token") -> Col
     if checker == "exact":
         return actual == expected
     raise ValueError(f"unknown checker {checker!r}")
+
+
+def record_json(*columns: str) -> Column:
+    """A record as one JSON text to search in, nulls included; white space around separators is left out."""
+    return F.to_json(F.struct(*columns), {"ignoreNullFields": "false"})

@@ -181,3 +181,12 @@ def test_ages_and_weights(spark):
     steps = [r[0] for r in spark.range(12).select(timeage.cosine_multiplier(F.col("id"), 10, 2)).collect()]
     assert steps == pytest.approx([0.5, 1.0] + [0.5 * (1 + math.cos(math.pi * min(1, (s - 2) / 8))) for s in range(2, 12)])
     assert values(spark, ["a/20240131/b", "x20240131/b", "20241301"], timeage.date_in_path) == ["20240131", None, "20241301"]
+
+
+def test_record_as_json(spark):
+    import json
+
+    rows = [(1, '验证码 "x"\n/é', None), (2, "", "b")]
+    df = spark.createDataFrame(rows, "k int, t string, u string")
+    got = [r[0] for r in df.orderBy("k").select(tx.record_json("*")).collect()]
+    assert got == [json.dumps(dict(zip("ktu", r)), ensure_ascii=False, separators=(",", ":")) for r in rows]
