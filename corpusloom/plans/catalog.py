@@ -26,21 +26,6 @@ class Catalog:
         return add
 
 
-#: Tables of fewer bytes aren't worth spreading; larger ones than the second have parts enough, or a shuffle would cost too much.
-_SPREAD_FROM, _SPREAD_TO = 1 << 20, 256 << 20
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One of the Parquet tables of a scale directory.
-
-    A table in fewer parts than there are cores (a small file is one row group, so one task) is dealt to all cores. On tables
-    of cluster size the scan has parts enough and nothing is shuffled.
-    """
-    path = f"{sf_dir}/{name}.parquet"
-    df = spark.read.parquet(path)
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    size = where.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(where).getLength()
-    cores = spark.sparkContext.defaultParallelism
-    if _SPREAD_FROM <= size < _SPREAD_TO and df.rdd.getNumPartitions() < cores:
-        return df.repartition(cores)
-    return df
+    """One of the Parquet tables of a scale directory, as it lies there: the scan has as many parts as its files and row groups allow."""
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
