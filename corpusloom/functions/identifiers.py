@@ -38,19 +38,27 @@ def canonical_source(name: Column) -> Column:
     return F.try_element_at(aliases, key)
 
 
-def canonical_problem_id(source: Column, problem: Column) -> Column:
-    """The one spelling of a problem number in its judge's numbering; null where there is none.
+def _marked(text: Column, pattern: str, form: str) -> Column:
+    """``form`` of the match of a pattern that ends a text, null without one; the pattern is tried once."""
+    tried = F.regexp_replace(text, rf"(?is)^.*?{pattern}$", "\u0001" + form)
+    return F.when(tried.startswith("\u0001"), F.substring(tried, 2, 1 << 30))
 
-    ``source`` is the canonical name. luogu: P and digits. codeforces: contest, capital letter, optional digit.
-    icpc: lower-case words and numbers joined by single underscores, and the capital letter of the problem.
+
+def with_problem(df: DataFrame, source: Column, problem: Column, judge: str = "judge", number: str = "problem") -> DataFrame:
+    """``df`` with the canonical judge and the one spelling of the problem number in its judge's numbering, null where there is none.
+
+    luogu: P and digits. codeforces: contest, capital letter, optional digit. icpc: lower-case words and numbers joined by
+    single underscores, and the capital letter of the problem. What later steps use more than once is a column of its own, so that
+    each pattern is tried once a row.
     """
-    text = F.regexp_replace(plain(problem), r"(?i)\.(cpp|cc|cxx|c|hpp|h|py|java|txt|md)$", "")
-    luogu = F.regexp_extract(text, r"(?i)(?:^|[^0-9A-Za-z]|luogu)p?[\s_/-]*0*(\d+)$", 1)
-    contest = r"(?i)(?:^|[^0-9])0*(\d+)[\s_/.-]*(?:problem[\s_/-]*)?([a-z])[\s_/-]?(\d?)$"
-    cf = F.concat(F.regexp_extract(text, contest, 1), F.upper(F.regexp_extract(text, contest, 2)), F.regexp_extract(text, contest, 3))
-    words = F.regexp_replace(F.regexp_replace(F.lower(text), r"(?U)[^\p{L}\p{N}]+", "_"), "^_+|_+$", "")
-    icpc = F.when(words.rlike("_[a-z][0-9]?$"), F.concat(F.regexp_extract(words, "^(.*_)[^_]+$", 1), F.upper(F.regexp_extract(words, "_([^_]+)$", 1))))
-    return F.when(source == "luogu", F.concat(F.lit("P"), F.nullif(luogu, F.lit("")))).when(source == "codeforces", F.nullif(cf, F.lit(""))).when(source == "icpc", icpc)
+    read = df.withColumns({judge: canonical_source(source), "_plain": plain(problem)})
+    read = read.withColumn("_text", F.regexp_replace("_plain", r"(?i)\.(cpp|cc|cxx|c|hpp|h|py|java|txt|md)$", ""))
+    read = read.withColumn("_words", F.when(F.col(judge) == "icpc", F.btrim(F.regexp_replace(F.lower("_text"), r"(?U)[^\p{L}\p{N}]+", "_"), F.lit("_"))))
+    text, letter = F.col("_text"), F.substring_index("_words", "_", -1)
+    luogu = _marked(text, r"(?:^|[^0-9A-Za-z]|luogu)p?[\s_/-]*0*(\d+)", "P$1")
+    contest = F.upper(_marked(text, r"(?:^|[^0-9])0*(\d+)[\s_/.-]*(?:problem[\s_/-]*)?([a-z])[\s_/-]?(\d?)", "$1$2$3"))
+    event = F.when(F.col("_words").rlike("_[a-z][0-9]?$"), F.concat(F.expr("left(_words, length(_words) - length(substring_index(_words, '_', -1)))"), F.upper(letter)))
+    return read.withColumn(number, F.when(F.col(judge) == "luogu", luogu).when(F.col(judge) == "codeforces", contest).when(F.col(judge) == "icpc", event)).drop("_plain", "_text", "_words")
 
 
 #: Fixed value: an ISO 8601 date and time with optional seconds, fraction and offset.
@@ -59,10 +67,10 @@ ISO_INSTANT = r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}(:\d{2}([.,]\d+)?)?(Z|[+-]\d{2}
 
 def instant_micros(text: Column) -> Column:
     """Microseconds since 1970 of an ISO 8601 date and time, UTC where no offset is given; null for anything else."""
-    text = F.regexp_replace(text, r"^(\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2})(Z|[+-]|\z)", "$1:00$2")
-    zoned = F.when(text.rlike(r"[+-]\d{4}$"), F.regexp_replace(text, r"([+-]\d{2})(\d{2})$", "$1:$2")).when(text.rlike(r":\d{2}(\.\d+)?[+-]\d{2}$"), F.concat(text, F.lit(":00"))).otherwise(text)
-    utc = F.when(zoned.rlike(r"(Z|[+-]\d{2}:\d{2})$"), zoned).otherwise(F.concat(zoned, F.lit("Z")))
-    return F.when(text.rlike(ISO_INSTANT), F.unix_micros(F.translate(utc, ",", ".").try_cast("timestamp")))
+    seconds = F.when(F.substring(text, 17, 1) == ":", text).otherwise(F.overlay(text, F.lit(":00"), F.lit(17), F.lit(0)))
+    zone = F.translate(F.substring(seconds, 20, 40), "0123456789.,", "")
+    utc = F.concat(F.translate(seconds, ",", "."), F.when(zone == "", "Z").otherwise(""))
+    return F.when(text.rlike(ISO_INSTANT), F.unix_micros(utc.try_cast("timestamp")))
 
 
 #: Identifiers in running text, in addresses, and events in paths. The first group ends before what bounds it.
