@@ -41,11 +41,21 @@ _NUMBER_SQL = "regexp_extract(t, '{}', {})".format
 _CF = "(?i)(?:^|[^0-9])0*(\\d+)[\\s_/.-]*(?:problem[\\s_/-]*)?([a-z])[\\s_/-]?(\\d?)$"
 _WORDED = "regexp_replace(regexp_replace(lower(t), '[^\\p{L}\\p{N}]+', '_', 'g'), '^_+|_+$', '', 'g')"
 _INSTANT_SQL = "case when regexp_matches(timestamp, '" + ids.ISO_INSTANT + "') then epoch_us(try_cast(case when regexp_matches(timestamp, '(Z|[+-]\\d{2}:?(\\d{2})?)$') and regexp_matches(timestamp, '[T ].*(Z|[+-]\\d{2})') then timestamp else timestamp || 'Z' end as timestamptz)) end"
-_P2_SQL = (
-    f"with r as (select row_id, {ALIASES_SQL} as judge, regexp_replace({plain_sql('problem_id')}, '(?i)\\.(cpp|cc|cxx|c|hpp|h|py|java|txt|md)$', '') as t, {_INSTANT_SQL} as ts, case when style_score between 0 and 6 then style_score end as score, coalesce(compile, false) as ok from pilot_manifest), "
+_P2_ROWS = (
+    f"with r as (select *, {ALIASES_SQL} as judge, regexp_replace({plain_sql('problem_id')}, '(?i)\\.(cpp|cc|cxx|c|hpp|h|py|java|txt|md)$', '') as t, {_INSTANT_SQL} as ts, case when style_score between 0 and 6 then style_score end as score, coalesce(compile, false) as ok from pilot_manifest), "
     f"p as (select *, case judge when 'luogu' then 'P' || nullif({_NUMBER_SQL('(?i)(?:^|[^0-9A-Za-z]|luogu)p?[\\s_/-]*0*(\\d+)$', 1)}, '') when 'codeforces' then nullif({_NUMBER_SQL(_CF, 1)} || upper({_NUMBER_SQL(_CF, 2)}) || {_NUMBER_SQL(_CF, 3)}, '') when 'icpc' then case when regexp_matches({_WORDED}, '_[a-z][0-9]?$') then regexp_extract({_WORDED}, '^(.*_)[^_]+$', 1) || upper(regexp_extract({_WORDED}, '_([^_]+)$', 1)) end end as problem from r), "
-    "o as (select *, row_number() over (partition by judge, problem order by ok desc, ts desc nulls last, score desc nulls last, row_id) as place from p where judge is not null and problem is not null) "
-    "select judge as source, problem as problem_id, arg_min(row_id, place) as row_id, coalesce(arg_min(row_id, place) filter (where ts is not null), 0) as timestamp_row_id, coalesce(arg_min(row_id, place) filter (where score is not null), 0) as style_row_id from o group by 1, 2 having count(*) > 1"
+    "o as (select *, row_number() over (partition by judge, problem order by ok desc, ts desc nulls last, score desc nulls last, row_id) as place from p where judge is not null and problem is not null)"
+)
+_P2_SQL = _P2_ROWS + " select judge as source, problem as problem_id, arg_min(row_id, place) as row_id, coalesce(arg_min(row_id, place) filter (where ts is not null), 0) as timestamp_row_id, coalesce(arg_min(row_id, place) filter (where score is not null), 0) as style_row_id from o group by 1, 2 having count(*) > 1"
+#: All choices of a version and a style row (or none) of a problem that keep the dependency; the greatest trust comes first.
+_P2_SURVIVORS_SQL = (
+    _P2_ROWS + ", i as (select judge, problem, sha256, min(score) as implied from o where sha256 is not null group by all having min(score) = max(score)), "
+    "v as (select o.*, implied, if(ok, 2, 1) as trust from o left join i using (judge, problem, sha256)), "
+    "s as (select judge, problem, row_id, score, place, if(ok, 2, 1) as trust from o where score is not null union all select distinct judge, problem, null, null, 1000000000, 0 from o), "
+    "c as (select v.judge, v.problem, v.row_id as version_row, s.row_id as style_row, s.score as style_score, v.path, v.sha256, v.compile from v join s on v.judge = s.judge and v.problem = s.problem and (implied is null or s.score is null or implied = s.score) "
+    "qualify row_number() over (partition by v.judge, v.problem order by v.trust + s.trust desc, v.trust desc, v.place, s.trust desc, s.place) = 1), "
+    "n as (select judge, problem, count(*) as rows, arg_min(row_id, place) filter (where ts is not null) as time_row, arg_min(timestamp, place) filter (where ts is not null) as timestamp, arg_min(coalesce(age_bucket, chr(1)), place) filter (where ts is not null) as age_bucket from o group by all) "
+    "select judge as source, problem as problem_id, rows, version_row, time_row, style_row, path, sha256, compile, timestamp, nullif(age_bucket, chr(1)) as age_bucket, style_score from c join n using (judge, problem)"
 )
 
 #: Tables compared by problem 1, in the order of their numbers: name, key and text.
@@ -75,11 +85,11 @@ def p1_groups(spark, sf_dir):
 
 @CATALOG.query(_P2_SQL)
 def p2_found(spark, sf_dir):
-    found = survivors.problem_survivors(table(spark, sf_dir, "pilot_manifest")).where("rows > 1")
+    found = survivors.problem_rows(table(spark, sf_dir, "pilot_manifest")).where("rows > 1")
     return found.select(F.col("judge").alias("source"), F.col("problem").alias("problem_id"), F.col("version_row").alias("row_id"), F.coalesce("time_row", F.lit(0)).alias("timestamp_row_id"), F.coalesce("style_row", F.lit(0)).alias("style_row_id"))
 
 
-@CATALOG.query()
+@CATALOG.query(_P2_SURVIVORS_SQL)
 def p2_survivors(spark, sf_dir):
     return survivors.problem_survivors(table(spark, sf_dir, "pilot_manifest")).withColumnsRenamed({"judge": "source", "problem": "problem_id"})
 

@@ -86,23 +86,88 @@ VERSIONS = [
 ]
 
 
-def test_problem_survivors(spark):
-    df = spark.createDataFrame([(*v, "b", i) for i, v in enumerate(VERSIONS)], "row_id bigint, source string, problem_id string, timestamp string, compile boolean, style_score int, sha256 string, path string, age_bucket string, rows int")
-    got = {(r.judge, r.problem): (r.rows, r.version_row, r.time_row, r.style_row) for r in survivors.problem_survivors(df).collect()}
-    assert got == {
+SCHEMA = "row_id bigint, source string, problem_id string, timestamp string, compile boolean, style_score int, sha256 string, path string, age_bucket string, rows int"
+
+
+def test_problem_rows(spark):
+    df = spark.createDataFrame([(*v, "b", i) for i, v in enumerate(VERSIONS)], SCHEMA)
+    expected = {
         ("luogu", "P1001"): (4, 2, 2, 2),
         ("codeforces", "12A"): (2, 5, None, None),
         ("icpc", "2020_place_3_icpc_B"): (2, 8, 8, 8),
         ("luogu", "P9"): (1, 11, None, 11),
     }
-    assert survivors.problem_survivors(df.limit(0)).count() == 0
+    assert {(r.judge, r.problem): (r.rows, r.version_row, r.time_row, r.style_row) for r in survivors.problem_rows(df).collect()} == expected
+    whole = {(r.judge, r.problem): r for r in survivors.problem_survivors(df).collect()}
+    assert {k: (r.rows, r.version_row, r.time_row, r.style_row) for k, r in whole.items()} == expected
+    assert whole["luogu", "P1001"][6:] == ("p2", "s2", True, "2024-01-01T08:00:00+08:00", "b", 4)
+    for empty in (survivors.problem_rows(df.limit(0)), survivors.problem_survivors(df.limit(0))):
+        assert empty.count() == 0
+
+
+def test_a_dependency_changes_the_choice(spark):
+    # Row 1 is the best version and the digest s1 has the score 2 (row 4), so row 2's score 6 is not its score. Problem P2: a version of
+    # full trust with a score of full trust beats the first version with a lesser score.
+    rows = [
+        (1, "luogu", "P1", "2024-05-01T00:00:00Z", True, None, "s1", "a"), (2, "luogu", "P1", "2024-04-01T00:00:00Z", True, 6, "s2", "b"),
+        (3, "luogu", "P1", None, None, 2, "s3", "c"), (4, "luogu", "P1", "2024-03-01T00:00:00Z", True, 2, "s1", "a"),
+        (5, "luogu", "P2", "2024-05-01T00:00:00Z", True, None, "s1", "a"), (6, "luogu", "P2", "2024-04-01T00:00:00Z", True, 6, "s2", "b"), (7, "luogu", "P2", None, None, 2, "s1", "a"),
+        (8, "luogu", "P3", "2024-05-01T00:00:00Z", True, None, "s1", "a"), (9, "luogu", "P3", None, True, 3, "s1", "a"), (10, "luogu", "P3", None, True, 4, "s1", "a"),
+    ]
+    df = spark.createDataFrame([(*v, "b", 0) for v in rows], SCHEMA)
+    free = {r.problem: (r.version_row, r.time_row, r.style_row) for r in survivors.problem_rows(df).collect()}
+    bound = {r.problem: (r.version_row, r.time_row, r.style_row, r.sha256, r.style_score) for r in survivors.problem_survivors(df).collect()}
+    assert free == {"P1": (1, 1, 2), "P2": (5, 5, 6), "P3": (8, 8, 10)}
+    # P3: the digest has two scores, so it implies none.
+    assert bound == {"P1": (1, 1, 4, "s1", 2), "P2": (6, 5, 6, "s2", 6), "P3": (8, 8, 10, "s1", 4)}
+
+
+def test_survivors_equal_all_choices(spark):
+    rng = random.Random(8)
+    rows = [(i, rng.randrange(60) if i % 3 else 7, rng.choice(["x", "y", "z", None]), rng.choice([1, 2, 3, None]), rng.randrange(1, 4), rng.randrange(1, 4)) for i in range(300)]
+    df = spark.createDataFrame(rows, "id bigint, g int, k string, v int, ta int, tb int")
+    bundles = [survivors.Bundle("a", ("k",), F.col("k").isNotNull(), F.col("ta")), survivors.Bundle("b", ("v",), F.col("v").isNotNull(), F.col("tb"))]
+    got = {r.g: (r.rows, r.a_row, r.b_row) for r in survivors.survivors(df, ["g"], [F.col("id") % 5], "id", bundles, [survivors.Dependency(("k",), "v")]).collect()}
+    plain = {r.g: (r.a_row, r.b_row) for r in survivors.survivors(df, ["g"], [F.col("id") % 5], "id", bundles).collect()}
+    expected = {}
+    for g in {r[1] for r in rows}:
+        own = [r for r in rows if r[1] == g]
+        seen = {}
+        for r in own:
+            if r[2] is not None and r[3] is not None:
+                seen.setdefault(r[2], set()).add(r[3])
+        best = None
+        for a in [r for r in own if r[2] is not None] + [None]:
+            for b in [r for r in own if r[3] is not None] + [None]:
+                if a and b and len(seen.get(a[2], ())) == 1 and b[3] not in seen[a[2]]:
+                    continue
+                ta, tb = a[4] if a else 0, b[5] if b else 0
+                rank = (-ta - tb, -ta, (a[0] % 5, a[0]) if a else (), -tb, (b[0] % 5, b[0]) if b else ())
+                if best is None or rank < best[0]:
+                    best = rank, (len(own), a and a[0], b and b[0])
+        expected[g] = best[1]
+    assert got == expected
+    assert any(plain[g] != expected[g][1:] for g in plain)
+
+
+def test_dependencies_are_checked(spark):
+    df = spark.createDataFrame([(i, "g", f"k{i}", i) for i in range(9)], "id bigint, g string, k string, v int")
+    bundles = [survivors.Bundle("a", ("k",), F.lit(True)), survivors.Bundle("b", ("v",), F.lit(True))]
+    rule = [survivors.Dependency(("k",), "v")]
+    assert survivors.survivors(df, ["g"], [], "id", bundles, rule).first()[1:] == (9, 0, 0)
+    with pytest.raises(Exception, match="more than 5 values"):
+        survivors.survivors(df, ["g"], [], "id", bundles, rule, 5).collect()
+    for wrong in (survivors.Dependency(("k",), "k"), survivors.Dependency(("k", "v"), "v")):
+        with pytest.raises(ValueError):
+            survivors.survivors(df, ["g"], [], "id", bundles, [wrong])
 
 
 def test_bundles_come_whole_from_one_row(spark):
     rows = [(1, "g", "10 Main St", None, 5, "a@x"), (2, "g", "1 Side St", "Town", 4, None), (3, "g", None, "City", 3, "b@x"), (4, None, "x", "y", 1, None)]
     df = spark.createDataFrame(rows, "id bigint, g string, street string, city string, trust int, mail string")
     bundles = [survivors.Bundle("address", ("street", "city"), F.col("street").isNotNull() & F.col("city").isNotNull()), survivors.Bundle("mail", ("mail",), F.col("mail").isNotNull())]
-    out = survivors.survivors(df, ["g"], [-F.col("trust")], "id", bundles).collect()
+    chosen = survivors.survivors(df, ["g"], [-F.col("trust")], "id", bundles)
+    out = survivors.assembled(chosen, df, ["g"], "id", bundles).collect()
     assert [(r.g, r.rows, r.address_row, r.mail_row, r.street, r.city, r.mail) for r in out] == [("g", 3, 2, 1, "1 Side St", "Town", "a@x")]
 
 
@@ -110,22 +175,21 @@ def test_bundles_come_whole_from_one_row(spark):
 @given(st.integers(0, 10**6))
 def test_branch_and_bound_equals_trying_all(seed):
     rng = random.Random(seed)
-    n, b = rng.randrange(1, 4), rng.randrange(1, 4)
-    bundles = [(f"a{k}", f"b{k}") for k in range(b)]
-    values = [{f: rng.choice([None, "x", "y"]) for fs in bundles for f in fs} for _ in range(n)]
-    trust = [[float(rng.randrange(4)) for _ in range(n)] for _ in range(b)]
-    rules = [((bundles[0][0],), bundles[-1][1])] if rng.random() < 0.7 else []
+    bundles = rng.randrange(1, 4)
+    rules = [(rng.randrange(bundles), rng.randrange(bundles)) for _ in range(rng.randrange(3))]
+    rules = [(a, b) for a, b in rules if a != b]
+    value = lambda: tuple(rng.choice([None, "x", "y"]) for _ in rules)
+    options = [[survivors.Option(float(rng.randrange(1, 4)), (i,), value(), value()) for i in range(rng.randrange(4))] for _ in range(bundles)]
 
     def fine(choice):
-        record = {f: values[c][f] for k, c in enumerate(choice) for f in bundles[k]}
-        for lhs, rhs in rules:
-            key = [record[f] for f in lhs]
-            seen = {v[rhs] for v in values if [v[f] for f in lhs] == key}
-            if None not in key and len(seen) == 1 and record[rhs] not in seen:
-                return False
+        for k, (a, b) in enumerate(rules):
+            if choice[a] is not None and choice[b] is not None:
+                implied, held = options[a][choice[a]].implied[k], options[b][choice[b]].held[k]
+                if None not in (implied, held) and implied != held:
+                    return False
         return True
 
-    good = [c for c in itertools.product(range(n), repeat=b) if fine(c)]
-    total = lambda c: sum(trust[k][i] for k, i in enumerate(c))
-    got = survivors.branch_and_bound(trust, values, bundles, rules)
+    total = lambda c: sum(options[b][i].trust for b, i in enumerate(c) if i is not None)
+    good = [c for c in itertools.product(*[[*range(len(o)), None] for o in options]) if fine(c)]
+    got = survivors.branch_and_bound(options, rules)
     assert fine(got) and total(got) == max(map(total, good))
