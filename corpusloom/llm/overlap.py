@@ -10,10 +10,12 @@ the whole train split are enough, which leaves out boilerplate, and a train reco
 up a quarter of those beyond k + 1. A match is allowed at any position of a train record that is long enough: the measure
 knows no order, so blocks may have moved.
 
-Candidates are verified by banded dynamic programming along the diagonal of the match, many pairs to one NumPy
-array: ``edits`` is the token edit distance to the best substring there, null if it leaves the band. It is 0 wherever in
-the train record the whole held-out record stands; above 0 it holds for that one diagonal. The count of
-shared shingles follows, exactly, and decides.
+Candidates are verified by banded dynamic programming along the diagonal of the match, many pairs to one NumPy array: it gives the
+token edits to the best substring there. An edit touches at most five shingles, so up to k / 5 edits prove that no more than k are
+missing; the band is that wide and such a pair is settled. The distance can't settle the others, as blocks may have moved and edits
+may lie close together: of these, and of pairs whose table would have more than ``CELLS`` cells, the exact count of shared shingles
+decides. ``edits`` is null where the alignment leaves the band or isn't tried, ``shared`` where edits settled the pair. ``edits`` is 0
+wherever in the train record the whole held-out record stands; above 0 it holds for that one diagonal.
 
 Defined results: null, empty and short texts (under five tokens) are in no pair; records without a split are left out; repeated
 rows count each; equal texts are compared once per side and expanded at the end.
@@ -36,7 +38,8 @@ from .copies import distinct_texts, filter_bits, hash_filter, passes, slices_of
 CONTAINED = 0.85
 #: Train texts from which common shingles are known, about, and how many of these are sent to the workers at most (16 bytes each).
 SAMPLE, MOST_COMMON = 2_000, 1_000_000
-_PAIRS = 128
+#: A pair's table has at most so many cells; pairs filled at once have so many tokens.
+CELLS, _TOKENS = 4_000_000, 300_000
 
 
 def allowed_missing(distinct: int, contained: float = CONTAINED) -> int:
@@ -93,6 +96,8 @@ def banded_edits(left: list[np.ndarray], right: list[np.ndarray], shift: list[in
         ended = n == i + 1
         if ended.any():
             out[ended] = row[ended].min(1)
+        if i % 32 == 31 and (row.min(1) > k).all():
+            break  # no alignment is left in the band, and distances only grow
     return [int(e) if e <= w else None for e, w in zip(out, band)]
 
 
@@ -170,25 +175,40 @@ def _verified(pairs: DataFrame, texts: DataFrame, contained: float) -> DataFrame
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: tuple = (None,)
         for part in slices_of(batches, ["xa", "xb"]):
-            good: list[tuple] = []
+            pairs: list[tuple] = []
             for a, b, shift, xa, xb in zip(*(part.column(c).to_pylist() for c in ("a", "b", "shift", "xa", "xb"))):
                 if last[0] != a:
                     last = a, code_token_hashes(xa), shingle_set(xa)
                 _, tokens, mine = last
-                other = code_token_hashes(xb)
-                shared = len(np.intersect1d(mine, np.unique(window_hashes(other)), assume_unique=True))
-                if shared >= contained * len(mine) - 1e-9:
-                    good.append((a, b, shared, len(mine), shift, tokens, other, max(1, allowed_missing(len(mine), contained) // SHINGLE)))
-            good.sort(key=lambda g: len(g[5]))
-            edits: list[int | None] = []
-            for k in range(0, len(good), _PAIRS):
-                edits += banded_edits(*map(list, zip(*[(g[5], g[6], g[4], g[7]) for g in good[k : k + _PAIRS]])))
-            edits = [0 if e != 0 and within(g[5], g[6]) else e for e, g in zip(edits, good)]
-            yield pa.RecordBatch.from_arrays([*(pa.array([g[c] for g in good], t) for c, t in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.int32()))), pa.array(edits, pa.int32())], names=["a", "b", "shared", "d", "edits"])
+                pairs.append((tokens, code_token_hashes(xb), shift, allowed_missing(len(mine), contained) // SHINGLE, mine, a, b))
+            good = []
+            for pair, edits in zip(pairs, aligned(pairs)):
+                tokens, other, _, _, mine, a, b = pair
+                shared = None
+                if edits is None:
+                    shared = len(np.intersect1d(mine, np.unique(window_hashes(other)), assume_unique=True))
+                    if shared < contained * len(mine) - 1e-9:
+                        continue
+                good.append((a, b, shared, len(mine), 0 if edits != 0 and within(tokens, other) else edits))
+            yield pa.RecordBatch.from_arrays([pa.array([g[c] for g in good], t) for c, t in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()))], names=["a", "b", "shared", "d", "edits"])
 
     return both.select("a", "b", "shift", "xa", "xb").mapInArrow(run, "a bigint, b bigint, shared int, d int, edits int")
 
 
+def aligned(pairs: list[tuple]) -> list[int | None]:
+    """Edits of each (tokens, other, shift, band, ...) within its band, in arrays of bounded size; None for tables beyond ``CELLS``."""
+    out: list[int | None] = [None] * len(pairs)
+    fit = sorted((k for k, p in enumerate(pairs) if len(p[0]) * (2 * p[3] + 1) <= CELLS), key=lambda k: len(pairs[k][0]))
+    while fit:
+        # The longest is last, so what comes before it isn't larger.
+        longest = pairs[fit[-1]]
+        some = fit[-max(1, _TOKENS // (2 * len(longest[0]) + 4 * longest[3] + 1)) :]
+        del fit[-len(some) :]
+        for k, edits in zip(some, banded_edits(*(list(c) for c in zip(*(pairs[k][:4] for k in some))))):
+            out[k] = edits
+    return out
+
+
 def split_overlaps(records: DataFrame, contained: float = CONTAINED) -> tuple[DataFrame, DataFrame]:
     """Pairs (a, b, shared, d, edits) of a held-out and a train representative, and members (t, rep, id); from (t, id, x), t = 1 for held out, 0 for train.
 

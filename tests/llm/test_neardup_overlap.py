@@ -118,6 +118,49 @@ def test_shared_shingles_need_not_be_consecutive(spark):
     assert {(r.held, r.train, r.shared, r.d) for r in found} == {(1, 3, 6, 6), (2, 4, 56, 56)}
 
 
+def test_scattered_and_repeated_shingles_equal_brute_force(spark):
+    rng = random.Random(21)
+    held, train = [], []
+    for _ in range(30):
+        words = [rng.choice("abcdefgh") if rng.random() < 0.5 else f"w{rng.randrange(40)}" for _ in range(rng.randrange(5, 80))]
+        held.append(" ".join(words))
+        runs = [words[i : i + 5] for i in range(len(words) - 4)]
+        rng.shuffle(runs)
+        train.append(" ; ".join(" ".join(r) for r in runs[: max(1, int(len(runs) * rng.choice([0.8, 0.86, 1.0])))]))
+        half = len(words) // 2
+        train.append(" ".join(words[half:] + words[:half] + words[half:]))
+    rows = [(1, i, t) for i, t in enumerate(held)] + [(0, 100 + i, t) for i, t in enumerate(train)]
+    got = {(r.held, r.train) for r in overlap.expand(*overlap.split_overlaps(spark.createDataFrame(rows, "t int, id bigint, x string"))).collect()}
+    expected = set()
+    for i, h in enumerate(held):
+        x = set(shingle_set(h).tolist())
+        expected |= {(i, 100 + j) for j, t in enumerate(train) if x and len(x & set(shingle_set(t).tolist())) >= 0.85 * len(x) - 1e-9}
+    assert got == expected and len(got) > 20
+
+
+def test_edits_settle_only_what_holds(texts):
+    rng = random.Random(12)
+    settled = 0
+    for text in [t for t in texts if t and len(shingle_set(t)) > 30]:
+        a, other = code_token_hashes(text), code_token_hashes("int q; " * rng.randrange(9) + edited(rng, text, rng.randrange(0, 4)))
+        mine = shingle_set(text)
+        band = overlap.allowed_missing(len(mine)) // 5
+        shift = int(np.flatnonzero(np.isin(overlap.window_hashes(other), overlap.window_hashes(a)[:1]))[0])
+        (edits,) = overlap.aligned([(a, other, shift, band)])
+        if edits is not None:
+            settled += 1
+            assert np.isin(mine, overlap.window_hashes(other)).mean() >= 0.85
+    assert settled > 50
+    assert overlap.aligned([]) == []
+
+
+def test_tables_have_a_bound(monkeypatch):
+    a = np.arange(1, 2001, dtype=np.uint64)
+    assert overlap.aligned([(a, a, 0, 60), (a[:9], a, 0, 1)]) == [0, 0]
+    monkeypatch.setattr(overlap, "CELLS", 100_000)
+    assert overlap.aligned([(a, a, 0, 60), (a[:9], a, 0, 1)]) == [None, 0]
+
+
 def test_report_counts_copies_after_quotations(spark, tmp_path):
     from corpusloom.llm.queries import CATALOG
 
