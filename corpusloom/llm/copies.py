@@ -33,6 +33,19 @@ def distinct_texts(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     return texts.join(copies, ["t", "id"], "left_anti"), members
 
 
+def class_pairs(members: DataFrame, keys: list[str], block: int = 1_000) -> DataFrame:
+    """(keys..., a, b), a < b: all pairs of the members (keys..., id) of each class.
+
+    A class of more than ``block`` members is dealt to blocks, and each two blocks meet in a group of their own, so no class of any size
+    is the work of one task.
+    """
+    sized = members.join(members.groupBy(*keys).agg(F.ceil(F.count("*") / block).cast("int").alias("_blocks"), F.count("*").alias("_n")).where("_n > 1").drop("_n"), keys)
+    own = sized.withColumn("_own", F.pmod(F.xxhash64("id"), F.col("_blocks")).cast("int"))
+    left = own.select(*keys, F.col("id").alias("a"), F.col("_own").alias("_l"), F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("_r"))
+    right = own.select(*keys, F.col("id").alias("b"), F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("_l"), F.col("_own").alias("_r"))
+    return left.join(right, [*keys, "_l", "_r"]).where("a < b").select(*keys, "a", "b")
+
+
 def filter_bits(hashes: int) -> int:
     """Bits of a filter for so many hashes: a power of two within the bounds."""
     return max(FILTER_BITS, min(MOST_FILTER_BITS, 1 << max(0, BITS_PER_HASH * hashes - 1).bit_length()))

@@ -163,10 +163,12 @@ def p7_fill(spark, sf_dir):
 @CATALOG.query(_P8_SQL)
 def p8_found(spark, sf_dir):
     documents = table(spark, sf_dir, "documents")
-    return spans.expand(*spans.shared_spans(documents, "doc_id", "text"), documents, "doc_id", "text")
+    classes, _, members = spans.shared_spans(documents, "doc_id", "text")
+    return spans.expand(classes, members, documents, "doc_id", "text")
 
 
 @CATALOG.query()
 def p8_coverage(spark, sf_dir):
     documents = table(spark, sf_dir, "documents")
-    return spans.coverage(*spans.shared_spans(documents, "doc_id", "text"), documents, "doc_id", "text")
+    _, shared, members = spans.shared_spans(documents, "doc_id", "text")
+    return spans.coverage(shared, members, documents, "doc_id", "text")

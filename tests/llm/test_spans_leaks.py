@@ -30,16 +30,16 @@ def windows(text):
     return {text[i : i + LENGTH] for i in range(len(text or "") - LENGTH + 1)}
 
 
-@pytest.mark.parametrize("hot", [10_000, 2])
-def test_shared_spans_equal_brute_force(spark, hot):
+@pytest.mark.parametrize("part", [10_000, 2])
+def test_shared_spans_equal_brute_force(spark, part):
     docs = documents()
     df = spark.createDataFrame([(i, t, 1) for i, t in enumerate(docs)], "doc_id bigint, text string, id int")
-    found, members = spans.shared_spans(df, "doc_id", "text", LENGTH, 12, hot)
-    got = [tuple(r) for r in spans.expand(found, members, df, "doc_id", "text", LENGTH).collect()]
+    classes, shared, members = spans.shared_spans(df, "doc_id", "text", LENGTH, 12, part)
+    got = [tuple(r) for r in spans.expand(classes, members, df, "doc_id", "text", LENGTH).collect()]
     w = [windows(t) for t in docs]
     expected = {(i, j) for i in range(len(docs)) for j in range(i + 1, len(docs)) if w[i] & w[j]}
     assert set(got) == expected and len(got) == len(expected)
-    cover = {r.doc_id: r for r in spans.coverage(found, members, df, "doc_id", "text", LENGTH).collect()}
+    cover = {r.doc_id: r for r in spans.coverage(shared, members, df, "doc_id", "text", LENGTH).collect()}
     for i, t in enumerate(docs):
         if t is None:
             assert i not in cover
@@ -52,11 +52,32 @@ def test_shared_spans_equal_brute_force(spark, hot):
         assert (cover[i].n_chars, cover[i].shared_chars) == (len(t), on.sum()), i
 
 
+def test_a_boilerplate_in_many_documents(spark):
+    """One stretch in 1,500 documents is dealt to many parts, and its class comes out once with every member."""
+    rng = random.Random(3)
+    boilerplate = "".join(rng.choice("abcdefgh ") for _ in range(60))
+    rows = [(i, f"{rng.random()}{boilerplate}{rng.random()}") for i in range(1500)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    classes, shared, members = spans.shared_spans(df, "doc_id", "text", LENGTH, 12, 50)
+    sizes = [r["count"] for r in classes.groupBy("s0", "s1").count().collect()]
+    assert max(sizes) == 1500 and len(sizes) < 1500
+    assert spans.expand(classes, members, df, "doc_id", "text", LENGTH).count() == 1500 * 1499 // 2
+    cover = spans.coverage(shared, members, df, "doc_id", "text", LENGTH).collect()
+    assert len(cover) == 1500 and all(r.shared_chars >= 60 for r in cover)
+
+
+def test_equal_hashes_of_different_windows(monkeypatch):
+    monkeypatch.setattr(spans, "rolling", lambda points, *widths: [np.zeros(len(points) - w + 1, np.uint64) for w in widths])
+    got = list(spans._shared_windows(np.array([1, 2, 3, 4]), np.zeros(4, np.int64), np.zeros(4, bool), ["abcde", "abcdf", "xxabc", "zzzzz"], 4))
+    members = [sorted(b.column("id").to_pylist()) for b in got if b.column("kind")[0].as_py() == spans._MEMBER]
+    assert members == [[1, 2]]
+
+
 def test_shared_spans_of_nothing(spark):
     df = spark.createDataFrame([(1, None), (2, "short")], "doc_id bigint, text string")
     for rows in (df, df.limit(0)):
-        found, members = spans.shared_spans(rows, "doc_id", "text")
-        assert spans.expand(found, members, rows, "doc_id", "text").count() == 0
+        classes, _, members = spans.shared_spans(rows, "doc_id", "text")
+        assert spans.expand(classes, members, rows, "doc_id", "text").count() == 0
     with pytest.raises(ValueError):
         spans.shared_spans(df, "doc_id", "text", 10, 20)
 
