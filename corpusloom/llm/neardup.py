@@ -15,6 +15,12 @@ Copies. Texts with the same tokens are one class, found by a digest with partial
 representative of each class takes part in the index, so a group of copies with a third of all rows costs as much
 as one row. ``pairs`` are between representatives; ``expand`` gives pairs of records.
 
+Versions. Many versions of one template share keys without being copies. Keys are counted first, with partial aggregation, and only
+those of several representatives go on. The representatives of a key are dealt to blocks of about ``BLOCK``; each two blocks meet in a
+group of their own, so no task gets more than two, however many share the key. There all distances are computed at once, and a
+pair is passed on only by the first of the keys it shares, so it is compared once. For the comparison each text goes once to each
+group (of ``COMPARED`` per side) in which it has a pair, not once per pair.
+
 Defined results: null, empty and short texts (under five tokens) are in no pair; repeated rows are copies
 of each other; texts that differ in white space only are copies; ids must be unique within a table.
 """
@@ -31,6 +37,7 @@ from pyspark.sql import functions as F
 from ..functions.tokens import SHINGLE, code_token_hashes, shingle_set, window_hashes
 from ..session import materialize
 from .batching import text_slices
+from .copies import class_pairs
 
 THRESHOLD = 0.8
 SEGMENTS = 8
@@ -38,6 +45,8 @@ SYMBOLS = 6
 BITS = 10
 #: Complete distance above which a candidate isn't compared: at similarity 0.8 it is 9.6 of 48 on average, with a deviation of 2.8.
 FARTHEST = 22
+#: Representatives in a block of a key, about, while fingerprints meet, and while texts do; rows of fingerprints handled at a time.
+BLOCK, COMPARED, _ROWS = 2_000, 256, 20_000
 
 _ODD = np.random.default_rng(20240229).integers(1, 2**63, SEGMENTS * SYMBOLS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _SYMBOL = np.uint64((1 << BITS) - 1)
@@ -85,50 +94,146 @@ def _digest(tokens: np.ndarray) -> tuple[int, int]:
     return value >> 64, value & (1 << 64) - 1
 
 
-def candidates(classes: DataFrame) -> DataFrame:
-    """(t, a, b) pairs of representatives, a < b, that share a ball key and whose complete distance is small; from (t, rep, s0...)."""
+def _meetings(symbols: np.ndarray, group: np.ndarray, place: np.ndarray, own: np.ndarray, mixed: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Row numbers (i, j) of the pairs within groups whose first shared key is that of the group, with a small complete distance.
+
+    ``place`` is the key's place among all keys of a fingerprint; in a ``mixed`` group only rows of different blocks (``own``) are paired.
+    """
+    live = np.arange(len(group))
+    for d in range(1, len(group)):
+        live = live[live + d < len(group)]
+        live = live[group[live + d] == group[live]]
+        if not len(live):
+            return
+        for k in range(0, len(live), _ROWS):
+            i = live[k : k + _ROWS]
+            i = i[~mixed[i] | (own[i] != own[i + d])]
+            same = (symbols[i] == symbols[i + d]).reshape(-1, SEGMENTS, SYMBOLS)
+            agree = same.sum(2)
+            ball = agree >= SYMBOLS - 1
+            segment = ball.argmax(1)
+            at = np.arange(len(i))
+            # All six agree: the segment's first key is shared; five: only the key in which the sixth is free.
+            first = segment * SYMBOLS + np.where(agree[at, segment] == SYMBOLS, 0, same[at, segment].argmin(1))
+            good = ball[at, segment] & (first == place[i]) & (SEGMENTS * SYMBOLS - agree.sum(1) <= FARTHEST)
+            yield i[good], i[good] + d
+
+
+def candidates(classes: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(t, a, b, key, n) pairs of representatives, a < b, that share a ball key and whose complete distance is small, each once, with the
+    first key they share and the number of representatives that have it; from (t, rep, s0...)."""
     balls = []
     for j in range(SEGMENTS):
         for i in range(SYMBOLS):
             free = ~(((1 << BITS) - 1) << (BITS * i))
             balls.append(F.xxhash64("t", F.lit(j * SYMBOLS + i), F.col(f"s{j}").bitwiseAND(F.lit(free))))
-    keys = classes.select("t", "rep", F.explode(F.array(*balls)).alias("key"))
-    left, right = keys.select("t", F.col("rep").alias("a"), "key"), keys.select(F.col("t").alias("u"), F.col("rep").alias("b"), F.col("key").alias("k"))
-    met = left.join(right, (left.key == right.k) & (left.t == right.u) & (left.a < right.b)).select("t", "a", "b").distinct()
-    for side, name in (("a", "p"), ("b", "q")):
-        met = met.join(classes.select(F.col("t").alias("tt"), F.col("rep"), *[F.col(f"s{j}").alias(f"{name}{j}") for j in range(SEGMENTS)]), (F.col("t") == F.col("tt")) & (F.col(side) == F.col("rep"))).drop("tt", "rep")
-    distance = F.lit(0)
-    for j in range(SEGMENTS):
-        for i in range(SYMBOLS):
-            same = F.col(f"p{j}").bitwiseXOR(F.col(f"q{j}")).bitwiseAND(F.lit(((1 << BITS) - 1) << (BITS * i))) == 0
-            distance = distance + F.when(same, 0).otherwise(1)
-    return met.where(distance <= FARTHEST).select("t", "a", "b")
+    keys = classes.select("t", "rep", F.posexplode(F.array(*balls)).alias("place", "key"))
+    shared = materialize(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "keys")
+    met = keys.join(shared, "key").select("key", F.col("place").cast("tinyint").alias("place"), "t", "rep", "n")
+    blocks = F.ceil(F.col("n") / block).cast("int")
+    rows = met.join(classes.select("t", "rep", *[f"s{j}" for j in range(SEGMENTS)]), ["t", "rep"]).withColumn("own", F.pmod(F.xxhash64("rep"), blocks).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    rows = rows.withColumns({"lo": F.least("own", "other"), "hi": F.greatest("own", "other")}).drop("other")
 
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def solved(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            table = pa.Table.from_batches(parts)
+            column = {c: table.column(c).to_numpy() for c in table.column_names}
+            segments = np.stack([column[f"s{j}"].view(np.uint64) for j in range(SEGMENTS)], axis=1)
+            shifts = np.arange(SYMBOLS, dtype=np.uint64) * np.uint64(BITS)
+            symbols = ((segments[:, :, None] >> shifts) & _SYMBOL).astype(np.uint16).reshape(len(segments), -1)
+            key, lo, hi = column["key"], column["lo"], column["hi"]
+            group = np.cumsum(np.concatenate([[0], (np.diff(key) != 0) | (np.diff(lo) != 0) | (np.diff(hi) != 0)]))
+            for i, j in _meetings(symbols, group, column["place"], column["own"], lo != hi):
+                x, y = column["rep"][i], column["rep"][j]
+                # A key is a hash; the tables of two texts that meet by chance may differ.
+                on = column["t"][i] == column["t"][j]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(c[on]) for c in (column["t"][i], np.minimum(x, y), np.maximum(x, y), key[i], column["n"][i])], names=["t", "a", "b", "key", "n"]
+                )
 
-def compared(pairs: DataFrame, texts: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(t, a, b, shared, all): the pairs whose similarity is at least ``threshold``, exactly; from (t, a, b) and (t, id, x)."""
-    needed = pairs.select("t", F.col("a").alias("id")).union(pairs.select("t", F.col("b").alias("id"))).distinct()
-    wanted = materialize(texts.join(needed, ["t", "id"], "left_semi"), "compared-texts")
-    both = pairs.join(wanted.select("t", F.col("id").alias("b"), F.col("x").alias("xb")), ["t", "b"]).join(wanted.select("t", F.col("id").alias("a"), F.col("x").alias("xa")), ["t", "a"])
+        held: list[pa.RecordBatch] = []
+        size = 0
+        for part in batches:
+            same = np.ones(max(0, len(part) - 1), bool)
+            for c in ("key", "lo", "hi"):
+                same &= np.diff(part.column(c).to_numpy()) == 0
+            edge = np.flatnonzero(~same)
+            if held and size > _ROWS and any(part.column(c)[0] != held[-1].column(c)[-1] for c in ("key", "lo", "hi")):
+                yield from solved(held)
+                held, size = [], 0
+            if len(edge) and size + len(part) > _ROWS:
+                cut = int(edge[-1]) + 1
+                yield from solved([*held, part.slice(0, cut)])
+                held, size, part = [], 0, part.slice(cut)
+            held.append(part)
+            size += len(part)
+        if held:
+            yield from solved(held)
+
+    group = ["key", "lo", "hi"]
+    return rows.repartition(*group).sortWithinPartitions(*group).select("key", "lo", "hi", "place", "own", "t", "rep", "n", *[f"s{j}" for j in range(SEGMENTS)]).mapInArrow(run, "t int, a bigint, b bigint, key bigint, n bigint")
+
+
+def _shared_counts(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """How many values two sets (sorted, distinct) have in common, for each pair of numbers in ``left`` (ascending) and ``right``."""
+    sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+    begin = np.cumsum(sizes) - sizes
+    values, number = np.unique(np.concatenate(sets), return_inverse=True)
+    on = np.zeros(len(values), np.int64)
+    out = np.zeros(len(left), np.int64)
+    edges = [0, *(np.flatnonzero(np.diff(left)) + 1).tolist(), len(left)]
+    for a, b in zip(edges, edges[1:]):
+        mine = number[begin[left[a]] : begin[left[a]] + sizes[left[a]]]
+        on[mine] = 1
+        for k in range(a, b, 512):
+            some = right[k : min(b, k + 512)]
+            ends = np.cumsum(sizes[some])
+            at = np.arange(int(ends[-1])) - np.repeat(ends - sizes[some], sizes[some]) + np.repeat(begin[some], sizes[some])
+            out[k : k + len(some)] = np.add.reduceat(on[number[at]], ends - sizes[some])
+        on[mine] = 0
+    return out
+
+
+def compared(pairs: DataFrame, texts: DataFrame, threshold: float = THRESHOLD, block: int = COMPARED) -> DataFrame:
+    """(t, a, b, shared, all): the pairs whose similarity is at least ``threshold``, exactly; from ``candidates`` and (t, id, x)."""
+    blocks = F.ceil(F.col("n") / block).cast("int")
+    dealt = pairs.select("t", "a", "b", "key", F.pmod(F.xxhash64("a"), blocks).cast("int").alias("lo"), F.pmod(F.xxhash64("b"), blocks).cast("int").alias("hi"))
+    group = ["t", "key", "lo", "hi"]
+    needed = materialize(dealt.select(*group, F.explode(F.array("a", "b")).alias("id")).distinct(), "needed")
+    sent = texts.join(needed, ["t", "id"]).select(*group, F.col("id").alias("a"), F.lit(None).cast("bigint").alias("b"), "x")
+    both = sent.unionByName(dealt.withColumn("x", F.lit(None).cast("string")))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: tuple = (None, None)
-        for part in text_slices(text_slices(batches, "xa"), "xb"):
-            rows, shared, union = [], [], []
-            for i, (t, a, xa, xb) in enumerate(zip(*(part.column(c).to_pylist() for c in ("t", "a", "xa", "xb")))):
-                if last[0] != (t, a):
-                    last = (t, a), shingle_set(xa)
-                x, y = last[1], shingle_set(xb)
-                common = len(np.intersect1d(x, y, assume_unique=True))
-                every = len(x) + len(y) - common
-                if every and common >= threshold * every - 1e-9:
-                    rows.append(i)
-                    shared.append(common)
-                    union.append(every)
-            kept = part.take(pa.array(rows, pa.int64()))
-            yield pa.RecordBatch.from_arrays([*(kept.column(c) for c in ("t", "a", "b")), pa.array(shared, pa.int32()), pa.array(union, pa.int32())], names=["t", "a", "b", "shared", "all"])
+        key, numbers, sets, left, right = None, {}, [], [], []
+
+        def solved() -> Iterator[pa.RecordBatch]:
+            if left:
+                order = np.argsort(np.array(left), kind="stable")
+                i, j = np.array(left)[order], np.array(right)[order]
+                common = _shared_counts(sets, i, j)
+                sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+                every = sizes[i] + sizes[j] - common
+                good = common >= threshold * every - 1e-9
+                ids = np.fromiter(numbers, np.int64, len(numbers))
+                columns = (np.full(int(good.sum()), key[0]), ids[i[good]], ids[j[good]], common[good], every[good])
+                yield pa.RecordBatch.from_arrays([pa.array(c).cast(t) for c, t in zip(columns, (pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32()))], names=["t", "a", "b", "shared", "all"])
 
-    return both.select("t", "a", "b", "xa", "xb").mapInArrow(run, "t int, a bigint, b bigint, shared int, all int")
+        for part in text_slices(batches, "x"):
+            for t, k, lo, hi, a, b, x in zip(*(part.column(c).to_pylist() for c in (*group, "a", "b", "x"))):
+                if (t, k, lo, hi) != key:
+                    yield from solved()
+                    key, numbers, sets, left, right = (t, k, lo, hi), {}, [], [], []
+                if b is None:
+                    numbers[a] = len(sets)
+                    sets.append(shingle_set(x))
+                else:
+                    left.append(numbers[a])
+                    right.append(numbers[b])
+        yield from solved()
+
+    # Texts come before the pairs of their group.
+    return both.repartition(*group).sortWithinPartitions(*group, F.col("b").asc_nulls_first()).mapInArrow(run, "t int, a bigint, b bigint, shared int, all int")
 
 
 def near_duplicates(texts: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
@@ -148,8 +253,7 @@ def expand(pairs: DataFrame, members: DataFrame) -> DataFrame:
     """(t, id_a, id_b) of all pairs of records: across similar classes and within each class."""
     one, two = (members.select(F.col("t"), F.col("rep").alias(rep), F.col("id").alias(i)) for rep, i in (("a", "i"), ("b", "j")))
     across = pairs.select("t", "a", "b").join(one, ["t", "a"]).join(two, ["t", "b"]).select("t", F.least("i", "j").alias("id_a"), F.greatest("i", "j").alias("id_b"))
-    within = one.join(two.withColumnRenamed("b", "a"), ["t", "a"]).where("i < j").select("t", F.col("i").alias("id_a"), F.col("j").alias("id_b"))
-    return across.union(within)
+    return across.union(class_pairs(members, ["t", "rep"]).select("t", F.col("a").alias("id_a"), F.col("b").alias("id_b")))
 
 
 def groups(pairs: DataFrame, members: DataFrame, rounds: int = 64) -> DataFrame:

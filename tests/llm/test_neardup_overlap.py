@@ -62,6 +62,37 @@ def test_near_duplicates_equal_brute_force(spark, texts):
     assert {k[1]: v[0] for k, v in groups.items() if k[0] == 0} == {i: root(i) for i, t in enumerate(texts) if len(shingle_set(t))}
 
 
+def test_shared_counts_equal_sets():
+    rng = np.random.default_rng(3)
+    sets = [np.unique(rng.integers(0, 60, rng.integers(1, 40))).astype(np.uint64) for _ in range(30)]
+    left, right = np.sort(rng.integers(0, 30, 900)), rng.integers(0, 30, 900)
+    assert neardup._shared_counts(sets, left, right).tolist() == [len(np.intersect1d(sets[i], sets[j])) for i, j in zip(left, right)]
+
+
+@pytest.mark.parametrize(("block", "compared"), [(7, 5), (2000, 256)])
+def test_versions_of_one_template_equal_brute_force(spark, monkeypatch, block, compared):
+    """Many versions share their keys; in blocks of any size every pair is found, and once."""
+    rng = random.Random(17)
+    base = program(rng, 60)
+    texts = [edited(rng, base, rng.randrange(0, 14)) for _ in range(120)]
+    df = spark.createDataFrame([(0, i, t) for i, t in enumerate(texts)], "t int, id bigint, x string")
+    signed = neardup.signatures(df)
+    classes = signed.selectExpr("t", "id as rep", *[f"s{j}" for j in range(8)])
+    met = neardup.candidates(classes, block)
+    rows = met.collect()
+    assert len({(r.a, r.b) for r in rows}) == len(rows)
+    prints = {r.rep: [(r[f"s{j}"] >> (10 * i)) & 1023 for j in range(8) for i in range(6)] for r in classes.collect()}
+    near = set()
+    for a in range(120):
+        for b in range(a + 1, 120):
+            same = [x == y for x, y in zip(prints[a], prints[b])]
+            if any(sum(same[k : k + 6]) >= 5 for k in range(0, 48, 6)) and 48 - sum(same) <= neardup.FARTHEST:
+                near.add((a, b))
+    assert {(r.a, r.b) for r in rows} == near and len(near) > 1000
+    got = [(r.a, r.b) for r in neardup.compared(met, df, block=compared).collect()]
+    assert sorted(got) == sorted(p for p in near if similarity(texts[p[0]], texts[p[1]]) >= 0.8)
+
+
 def test_near_duplicates_of_nothing(spark):
     df = spark.createDataFrame([(0, 1, None), (0, 2, "a b")], "t int, id bigint, x string")
     pairs, members = neardup.near_duplicates(df)
