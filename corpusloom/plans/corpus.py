@@ -185,29 +185,6 @@ def naming_style(spark, sf_dir):
     return each.groupBy("split").agg(*[F.sum(c).cast("bigint").alias(c) for c in each.columns if c != "split"])
 
 
-@CATALOG.query("with g as (select unnest(case when source_type = 'template' then ['all', 'templates'] else ['all', 'non_templates'] end) as scope, text from style_v3 where text is not null) " + " union all ".join(f"select scope, '{n}' as container, count(*) as total, count(*) filter (where regexp_matches(text, '{p}')) as files, sum(len(regexp_extract_all(text, '{p}')))::bigint as occurrences from g group by 1" for n, p in ft.CONTAINERS.items()))
-def container_usage(spark, sf_dir):
-    """Containers by overlapping groups: all, templates, non-templates. Counts come before the groups are repeated."""
-    t = F.col("text")
-    counted = _style(spark, sf_dir).where("text is not null").groupBy("source_type").agg(
-        F.count("*").alias("total"), *[F.count_if(t.rlike(p)).alias(f"f_{n}") for n, p in ft.CONTAINERS.items()], *[F.sum(F.regexp_count(t, F.lit(p))).alias(f"o_{n}") for n, p in ft.CONTAINERS.items()]
-    )
-    stack = ", ".join(f"'{n}', f_{n}, o_{n}" for n in ft.CONTAINERS)
-    each = counted.select("source_type", "total", F.expr(f"stack({len(ft.CONTAINERS)}, {stack}) as (container, files, occurrences)"))
-    scopes = F.array(F.lit("all"), F.when(F.col("source_type") == "template", "templates").otherwise("non_templates"))
-    return each.select(F.explode(scopes).alias("scope"), "container", "total", "files", "occurrences").groupBy("scope", "container").agg(*[F.sum(c).cast("bigint").alias(c) for c in ("total", "files", "occurrences")])
-
-
-_WORDS_SQL = ", ".join(f"'{w}'" for w in (*ft.KEYWORDS, *ft.FUNCTION_NAMES))
-
-
-@CATALOG.query("select name, count(*) as n from (select unnest(regexp_extract_all(text, '\\b[A-Za-z_]\\w{0,3}\\b')) as name from style_v3 where text is not null) where name not in (" + _WORDS_SQL + ") group by 1 order by 2 desc, 1 limit 25")
-def top_identifiers(spark, sf_dir):
-    """The 25 most common short identifiers that are no words of the language."""
-    names = _style(spark, sf_dir).select(F.explode(F.regexp_extract_all("text", F.lit(r"\b[A-Za-z_]\w{0,3}\b"), 0)).alias("name"))
-    return stats.top_values(names.where(~F.col("name").isin(*ft.KEYWORDS, *ft.FUNCTION_NAMES)), "name", 25)
-
-
 @CATALOG.query(f"select split, min(l) as least, arg_min(record_id, (l, record_id)) as least_at, max(l) as greatest, arg_max(record_id, (l, record_id)) as greatest_at from (select split, record_id, ({_LINES_SQL})::bigint as l from style_v3 where text is not null) group by 1")
 def shortest_longest(spark, sf_dir):
     """Files with the fewest and the most lines."""
@@ -248,36 +225,12 @@ def malformed_files(spark, sf_dir):
     return _style(spark, sf_dir).where("text is not null").select("record_id", malformed_reason(F.col("text")).alias("reason")).where("reason is not null")
 
 
-_INDENTED = "list_filter(regexp_split_to_array(text, '" + tx.LINE_END + "'), lambda x: regexp_matches(x, '^[ \\t]') and regexp_matches(x, '[^\\s]'))"
-
-
-@CATALOG.query(f"with l as (select record_id, text, {_INDENTED} as i from style_v3 where text is not null), c as (select record_id, len(list_filter(i, lambda x: starts_with(x, chr(9)))) as tabs, len(list_filter(i, lambda x: regexp_matches(x, '^(?:    )+(?:[^ ]|$)'))) as fours, len(i) as n, regexp_extract(text, '{ft.MAIN}', 1) as kind, regexp_replace(regexp_extract(text, '{ft.MAIN}', 2), '^\\s+|\\s+$', '', 'g') as args from l) select record_id, case when tabs > 0 and tabs > fours and tabs > n - tabs - fours then 'tab' when fours > 0 and fours >= tabs and fours >= n - tabs - fours then '4_spaces' else 'other' end as indentation, case when kind = '' then 'other_or_missing' else kind || '_main_' || (case args when '' then 'empty' when 'void' then 'void' else 'arguments' end) end as main_form from c")
-def layout_style(spark, sf_dir):
-    """Indentation and entry point of every file."""
-    t = F.col("text")
-    return _style(spark, sf_dir).where("text is not null").select("record_id", ft.indentation(t).alias("indentation"), ft.main_form(t).alias("main_form"))
-
-
-@CATALOG.query("with l as (select record_id, regexp_split_to_array(text, '" + tx.LINE_END + "') as i from style_v3 where text is not null) select record_id, len(list_filter(i, lambda x: regexp_matches(x, '^[^{]*[^{\\s][^{]*\\{') and not regexp_matches(x, '^\\s*#')))::bigint as same_line, len(list_filter(i, lambda x: regexp_matches(x, '^\\s*\\{\\s*$')))::bigint as next_line from l")
-def brace_style(spark, sf_dir):
-    return _style(spark, sf_dir).where("text is not null").select("record_id", ft.brace_lines(F.col("text")).alias("b")).select("record_id", *[F.col(f"b.{c}").cast("bigint").alias(c) for c in ("same_line", "next_line")])
-
-
 @CATALOG.query(f"select record_id, len(list_filter(regexp_extract_all(text, '{ft.FUNCTION_LINE}', 1), lambda x: x not in ('if', 'for', 'while', 'switch')))::bigint as functions, len(regexp_extract_all(text, '\\btemplate\\s*<'))::bigint as templates from style_v3 where text is not null")
 def code_structure(spark, sf_dir):
     t = F.col("text")
     return _style(spark, sf_dir).where("text is not null").select("record_id", ft.function_count(t).cast("bigint").alias("functions"), ft.count(t, "template").cast("bigint").alias("templates"))
 
 
-@CATALOG.query()
-def global_arrays(spark, sf_dir):
-    """Arrays outside all braces and comments, by a fold over lines; and constants of the top level in masked code."""
-    t = F.col("text")
-    top = ft.top_level(ft.mask_literals(t))
-    constant = top.rlike(r"(?m)^(?:inline\s+|static\s+)?const(?:expr)?\s+(?:unsigned\s+)?(?:int|long\s+long|ll|size_t)\s+(?:MAX|N|M)[A-Z0-9_]*\b")
-    return _style(spark, sf_dir).where("text is not null").select("record_id", ft.global_array(t).alias("global_array"), constant.alias("top_level_constant"))
-
-
 @CATALOG.query(_TOKENS_CTE + "select record_id, i as chunk_index, i * 448 as token_start, least(i * 448 + 512, tokens) as token_end from (select record_id, tokens, unnest(range(0, case when tokens < 64 then 0 else (greatest(tokens - 65, 0) // 448) + 1 end)) as i from t)")
 def chunk_spans(spark, sf_dir):
     return chunking.chunk_spans(_tokens(spark, sf_dir), "record_id", "tokens").withColumn("chunk_index", F.col("chunk_index").cast("bigint"))
