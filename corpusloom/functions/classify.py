@@ -17,6 +17,11 @@ COMPILE_ERRORS: tuple[tuple[str, tuple[str, ...]], ...] = (
 RUNTIME_MARKERS = ("process exited", "assert", "double free", "corruption", "segmentation", "invalid pointer", "core dumped")
 #: Symbols and the header each needs.
 MISSING_INCLUDES = {"accumulate": "numeric", "reverse": "algorithm", "__gcd": "algorithm", "setprecision": "iomanip", "int_max": "climits", "llong_max": "climits"}
+#: Categories of the later report.
+LATER_CATEGORIES = ("missing_include", "undeclared_identifier", "syntax_error", "type_error", "template_error", "other")
+#: What the two limit messages contain, as a whole and in short.
+LIMIT_TEXTS = {"output": ("output limit", "size limit exceeded"), "time": ("time limit exceeded",)}
+SHORT_LIMIT_TEXTS = {"output": ("output limit", "size limit"), "time": ("time limit",)}
 #: Short labels of statuses.
 STATUS_LABELS = {"accepted": "AC", "compile_error": "CE", "wrong_answer": "WA", "runtime_error": "RE", "time_limit_exceeded": "TLE", "output_limit_exceeded": "OLE"}
 #: Findings and statuses that prove a pair wrong.
@@ -38,10 +43,11 @@ def _marked(text: Column, markers: tuple[str, ...]) -> Column:
     return F.exists(F.array(*[F.lit(m) for m in markers]), lambda m: F.contains(text, m))
 
 
-def submission_status(accepted: Column, compiled: Column, error: Column, cases: Column | None = None, limits: tuple[str, str] = ("output", "time")) -> Column:
-    """Status of a judged submission; ``limits`` is the order in which the two limit messages are looked for."""
+def submission_status(accepted: Column, compiled: Column, error: Column, cases: Column | None = None, limits: tuple[str, str] = ("output", "time"), texts: dict[str, tuple[str, ...]] | None = None) -> Column:
+    """Status of a judged submission; ``limits`` is the order in which the two limit messages are looked for, ``texts`` what they contain."""
+    texts = texts or LIMIT_TEXTS
     text = F.lower(F.coalesce(error, F.lit("")))
-    tests = {"output": (F.contains(text, F.lit("output limit")) | F.contains(text, F.lit("size limit")), "output_limit_exceeded"), "time": (F.contains(text, F.lit("time limit")), "time_limit_exceeded")}
+    tests = {name: (_marked(text, texts[name]), f"{name}_limit_exceeded") for name in ("output", "time")}
     out = F.when(accepted, "accepted").when(~compiled, "compile_error")
     for limit in limits:
         out = out.when(*tests[limit])
@@ -65,6 +71,13 @@ def missing_include(message: Column, code: Column) -> Column:
     return out & ~F.contains(text, F.lit("bits/stdc++.h"))
 
 
+def later_category(message: Column, code: Column) -> Column:
+    """Category of the later report: a missing include first, then the first group, missing symbols as undeclared."""
+    first = compile_error_category(message)
+    kept = F.when(first == "missing_symbol", "undeclared_identifier").when(first.isin(*LATER_CATEGORIES), first).otherwise("other")
+    return F.when(missing_include(message, code), "missing_include").otherwise(kept)
+
+
 def verification_status(compile_status: Column, samples: Column, passed: Column) -> Column:
     """Status of a pair that was run on its samples."""
     return F.when(compile_status == "timeout", "compile_timeout").when(compile_status != "pass", "compile_error").when(samples == 0, "no_executable_sample").when(passed == samples, "all_samples_passed").when(passed > 0, "partial_samples_passed").otherwise("no_samples_passed")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 #: Modules of this subpackage that register queries.
-MODULES: tuple[str, ...] = ("corpus", "evaluation", "relational", "pairs", "style")
+MODULES: tuple[str, ...] = ("corpus", "evaluation", "relational", "pairs", "style", "files")
 
 
 def all_queries() -> dict:

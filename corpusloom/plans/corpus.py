@@ -236,12 +236,6 @@ def chunk_spans(spark, sf_dir):
     return chunking.chunk_spans(_tokens(spark, sf_dir), "record_id", "tokens").withColumn("chunk_index", F.col("chunk_index").cast("bigint"))
 
 
-@CATALOG.query()
-def chunk_texts(spark, sf_dir):
-    """Chunks of 1,536 tokens with 128 of overlap as stretches of the text."""
-    return chunking.chunk_texts(_style(spark, sf_dir), "record_id", "text", 1536, 128, 128)
-
-
 @CATALOG.query(_TOKENS_CTE + ", c as (select record_id, split, tokens, unnest(range(0, case when tokens < 64 then 0 else (greatest(tokens - 65, 0) // 448) + 1 end)) as i from t), k as (select split, count(*) as chunks, count(*) filter (where least(i * 448 + 512, tokens) - i * 448 = 512) as full, sum(least(i * 448 + 512, tokens) - i * 448)::bigint as emitted from c group by 1), d as (select split, count(*) as documents, sum(tokens)::bigint as tokens, sum(case when tokens >= 64 then tokens else 0 end)::bigint as covered from t group by 1) select d.split, documents, tokens, coalesce(chunks, 0) as chunks, coalesce(k.full, 0) as full, coalesce(chunks - k.full, 0) as partial, coalesce(emitted, 0) as emitted, covered, coalesce(emitted, 0) - covered as extra from d left join k using (split)")
 def chunk_statistics(spark, sf_dir):
     return chunking.chunk_statistics(_tokens(spark, sf_dir), "tokens", ["split"])

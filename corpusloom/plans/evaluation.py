@@ -17,13 +17,13 @@ CATALOG = Catalog()
 
 TYPES = ("click", "error", "purchase", "signup", "view")
 _OUTCOME = """with o as (select user_id, event_type, count(*) as tests, count(*) filter (where value > 50) as passed, coalesce(max(value) > 100, false) as ac, coalesce(max(value) > 20, false) as compiled,
-case (sum(event_id) % 4)::int when 0 then 'Time Limit exceeded' when 1 then 'output limit' when 2 then 'double free or corruption' else 'wrong' end as message from events group by 1, 2),
-s as (select *, case when ac then 'accepted' when not compiled then 'compile_error' when contains(lower(message), 'output limit') or contains(lower(message), 'size limit') then 'output_limit_exceeded' when contains(lower(message), 'time limit') then 'time_limit_exceeded' when message = 'double free or corruption' then 'runtime_error' else 'wrong_answer' end as status from o) """
+case (sum(event_id) % 6)::int when 0 then 'Time Limit exceeded' when 1 then 'output limit' when 2 then 'double free or corruption' when 3 then 'size limit reached' when 4 then 'Time limit hit' else 'wrong' end as message from events group by 1, 2),
+s as (select *, case when ac then 'accepted' when not compiled then 'compile_error' when contains(lower(message), 'output limit') or contains(lower(message), 'size limit exceeded') then 'output_limit_exceeded' when contains(lower(message), 'time limit exceeded') then 'time_limit_exceeded' when message = 'double free or corruption' then 'runtime_error' else 'wrong_answer' end as status from o) """
 
 
 def _outcomes(spark, sf_dir):
     value = F.col("value")
-    messages = F.element_at(F.array(*[F.lit(m) for m in ("Time Limit exceeded", "output limit", "double free or corruption", "wrong")]), (F.sum("event_id") % 4 + 1).cast("int"))
+    messages = F.element_at(F.array(*[F.lit(m) for m in ("Time Limit exceeded", "output limit", "double free or corruption", "size limit reached", "Time limit hit", "wrong")]), (F.sum("event_id") % 6 + 1).cast("int"))
     grouped = table(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(F.count("*").alias("tests"), F.count_if(value > 50).alias("passed"), F.coalesce(F.max("value") > 100, F.lit(False)).alias("ac"), F.coalesce(F.max("value") > 20, F.lit(False)).alias("compiled"), messages.alias("message"))
     return grouped.withColumn("status", classify.submission_status(F.col("ac"), F.col("compiled"), F.col("message")))
 
@@ -68,11 +68,11 @@ def status_distribution(spark, sf_dir):
     return stats.value_counts(_outcomes(spark, sf_dir), "event_type", "status")
 
 
-@CATALOG.query(_OUTCOME + "select user_id, event_type, case when ac then 'AC' when not compiled then 'CE' when contains(lower(message), 'time limit') then 'TLE' when contains(lower(message), 'output limit') then 'OLE' when message = 'double free or corruption' then 'RE' else 'WA' end as label from s")
+@CATALOG.query(_OUTCOME + "select user_id, event_type, case when ac then 'AC' when not compiled then 'CE' when contains(lower(message), 'time limit') then 'TLE' when contains(lower(message), 'output limit') or contains(lower(message), 'size limit') then 'OLE' when message = 'double free or corruption' then 'RE' else 'WA' end as label from s")
 def status_labels(spark, sf_dir):
     """Short labels with the time limit looked for first."""
     rows = _outcomes(spark, sf_dir)
-    status = classify.submission_status(F.col("ac"), F.col("compiled"), F.col("message"), limits=("time", "output"))
+    status = classify.submission_status(F.col("ac"), F.col("compiled"), F.col("message"), limits=("time", "output"), texts=classify.SHORT_LIMIT_TEXTS)
     return rows.select("user_id", "event_type", classify.status_label(status).alias("label"))
 
 

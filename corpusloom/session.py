@@ -47,15 +47,21 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A path of its own in the shared folder; what is written there is removed when the driver ends."""
+    path = f"{shared_dir(spark)}/corpusloom/{name}-{uuid.uuid4().hex}"
+    _written.append((spark, path))
+    return path
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back: lineage is cut and later readers don't recompute it.
 
     The table survives the loss of any executor. It is removed when the driver ends.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/corpusloom/{name}-{uuid.uuid4().hex}"
+    path = scratch(spark, name)
     df.write.parquet(path)
-    _written.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -229,7 +229,13 @@ def replay_pages(manifest: DataFrame, pages: DataFrame) -> DataFrame:
 
 def page_metadata(pages: DataFrame) -> DataFrame:
     """(source, problem_id, difficulty, tags, rating) read from pages without parsing them whole."""
-    tags = F.transform(F.regexp_extract_all("html", F.lit(r"(?s)<span[^>]*class=\"tag-box\"[^>]*>(.*?)</span>"), 1), lambda t: F.trim(F.regexp_replace(F.regexp_replace(t, "<[^>]+>", ""), "&amp;", "&")))
+    def unescaped(text: Column) -> Column:
+        for name, sign in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
+            text = F.replace(text, F.lit(name), F.lit(sign))
+        return text
+
+    boxes = F.regexp_extract_all("html", F.lit(r"(?s)<span[^>]*class=\"tag-box\"[^>]*>(.*?)</span>"), 1)
+    tags = F.transform(boxes, lambda t: unescaped(F.regexp_replace(F.regexp_replace(t, "<[^>]+>", ""), r"^\s+|\s+$", "")))
     level = F.regexp_extract("html", r"\"difficulty\"\s*:\s*(\d+)", 1).cast("int")
     rating = F.try_element_at(F.filter(tags, lambda t: t.rlike(r"^\*\d+$")), F.lit(1))
     stars = F.substring(rating, 2, 10).cast("int")

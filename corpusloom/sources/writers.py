@@ -20,16 +20,18 @@ def write_splits(df: DataFrame, path: str, split: str = "split", overwrite: bool
     df.write.partitionBy(split).mode("overwrite" if overwrite else "errorifexists").parquet(path)
 
 
-def write_texts(df: DataFrame, root: str, parts: list[str], text: str, suffix: str) -> None:
+def write_texts(df: DataFrame, root: str, parts: list[str], text: str, suffix: str, encoding: str = "utf-8") -> None:
     """One file per row under ``root/part/.../part.suffix``, written where the rows are. ``root`` must be a folder that all executors share."""
     from .readers import safe_name
 
+    root = root.removeprefix("file://").replace("file:", "", 1) if root.startswith("file:") else root
+
     def run(rows) -> None:
         for row in rows:
             *folders, name = (safe_name(str(row[p])) for p in parts)
             folder = os.path.join(root, *folders)
             os.makedirs(folder, exist_ok=True)
-            with tempfile.NamedTemporaryFile("w", encoding="utf-8", newline="\n", dir=folder, delete=False) as f:
+            with tempfile.NamedTemporaryFile("w", encoding=encoding, newline="", dir=folder, delete=False) as f:
                 f.write(row[text] or "")
             os.replace(f.name, os.path.join(folder, f"{name}.{suffix}"))
 
