@@ -73,12 +73,16 @@ def pad_batches(df: DataFrame, order: list[str], size: int, partition: str, pad_
 
     Partitions keep the numbering parallel; a last batch of a partition may be smaller.
     """
+    # Only keys and lengths go through the windows; the arrays join them once they are numbered.
+    lengths = df.select(partition, *order, F.size("input_ids").alias("_size"))
     number = F.row_number().over(Window.partitionBy(partition).orderBy(*order)) - 1
-    rows = df.withColumn("batch", F.floor(number / size).cast("bigint"))
-    longest = F.max(F.size("input_ids")).over(Window.partitionBy(partition, "batch"))
+    numbered = lengths.withColumn("batch", F.floor(number / size).cast("bigint"))
+    numbered = numbered.withColumn("_longest", F.max("_size").over(Window.partitionBy(partition, "batch"))).drop("_size")
+    rows = df.join(numbered, [partition, *order])
+    longest = F.col("_longest")
 
     def padded(column: str, value: int) -> Column:
         return F.concat(F.col(column), F.array_repeat(F.lit(value).cast("int"), longest - F.size(column)))
 
     attention = F.concat(F.array_repeat(F.lit(1), F.size("input_ids")), F.array_repeat(F.lit(0), longest - F.size("input_ids")))
-    return rows.select(*[c for c in rows.columns if c not in ("input_ids", "labels")], padded("input_ids", pad_id).alias("input_ids"), padded("labels", NO_LOSS).alias("labels"), attention.alias("attention_mask"))
+    return rows.select(*[c for c in rows.columns if c not in ("input_ids", "labels", "_longest")], padded("input_ids", pad_id).alias("input_ids"), padded("labels", NO_LOSS).alias("labels"), attention.alias("attention_mask"))

@@ -31,11 +31,12 @@ def plain(text: Column) -> Column:
     return F.nullif(F.regexp_replace(clean, r"^\s+|\s+$", ""), F.lit(""))
 
 
-def canonical_source(name: Column) -> Column:
-    """The one name of a judge; null for null, blank or unknown names."""
+def canonical_source(name: Column, otherwise: Column | None = None) -> Column:
+    """The one name of a judge; ``otherwise`` (null if not given) for null, blank or unknown names."""
     key = F.translate(F.lower(plain(name)), "_", "")
     aliases = F.create_map(*[F.lit(x) for pair in SOURCE_ALIASES.items() for x in pair])
-    return F.try_element_at(aliases, key)
+    known = F.try_element_at(aliases, key)
+    return known if otherwise is None else F.coalesce(known, otherwise)
 
 
 def _marked(text: Column, pattern: str, form: str) -> Column:
@@ -147,10 +148,25 @@ def statement_url(source: Column, problem: Column) -> Column:
     return F.when((source == "luogu") & problem.rlike(LOCATABLE["luogu"]), luogu).when((source == "codeforces") & (index != ""), F.when(contest.cast("int") >= 100000, gym).otherwise(plain_set))
 
 
+#: Fixed value: the tokens of a path in which identifiers are looked for.
+PATH_TOKEN = r"[A-Za-z]+\d+|\d+[A-Za-z]+|[A-Za-z]+|\d+"
+#: Judges whose name before a number may be left out.
+PREFIXES = ("kattis", "boj", "uva", "icpc")
+
+
+def path_tokens(path: Column) -> Column:
+    """Distinct tokens of a path in lower case: letters and digits, digits and letters, letters, digits."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(path, F.lit(PATH_TOKEN), 0), F.lower))
+
+
+def path_forms(identifiers: Column) -> Column:
+    """Identifiers as tokens of a path: lower case, other characters left out."""
+    return F.array_distinct(F.transform(identifiers, lambda i: F.regexp_replace(F.lower(i), "[^a-z0-9]", "")))
+
+
 def path_has_identifier(path: Column, identifiers: Column) -> Column:
-    """Whether a run of letters and digits of a path is one of the identifiers (compared without other characters)."""
-    wanted = F.transform(identifiers, lambda i: F.regexp_replace(F.lower(i), "[^a-z0-9]", ""))
-    return F.arrays_overlap(F.regexp_extract_all(F.lower(path), F.lit("[a-z0-9]+"), 0), wanted)
+    """Whether a token of a path is one of the identifiers."""
+    return F.arrays_overlap(path_tokens(path), path_forms(identifiers))
 
 
 def text_has_identifier(text: Column, identifier: Column) -> Column:
@@ -160,7 +176,13 @@ def text_has_identifier(text: Column, identifier: Column) -> Column:
 
 
 def identifier_forms(item: Column, problem: Column) -> Column:
-    """Identifiers an item goes by: its name, its number, and the number without a judge's prefix."""
-    lower = F.lower(problem)
-    short = F.regexp_replace(lower, r"^(?:kattis|boj|uva|icpc)[^a-z0-9]*", "")
-    return F.array_distinct(F.array(F.lower(item), lower, short))
+    """Identifiers an item goes by: its name, its number, and the number without a judge whose name is its first run of letters."""
+    parts = F.regexp_extract_all(F.lower(problem), F.lit(r"[a-z]+|\d+"), 0)
+    short = F.when((F.size(parts) > 1) & F.element_at(parts, 1).isin(*PREFIXES), F.array_join(F.slice(parts, 2, F.size(parts)), ""))
+    return F.array_distinct(F.array_compact(F.array(F.lower(item), F.lower(problem), short)))
+
+
+def conflicting(source: Column, problem: Column, candidates: Column) -> Column:
+    """Whether another number of the same judge is among the candidates ("judge:number")."""
+    own = F.concat(F.lower(source), F.lit(":"), F.upper(problem))
+    return F.coalesce(F.exists(candidates, lambda c: (F.substring_index(c, ":", 1) == F.lower(source)) & (c != own)), F.lit(False))

@@ -46,7 +46,7 @@ def _index(items: DataFrame) -> tuple[np.ndarray, ...] | None:
     number = pc.index_in(table.column("k"), names).to_numpy()
     h = table.column("h").to_numpy()
     order = np.argsort(h, kind="stable")
-    first = np.array([int(np.argmax(number == i)) for i in range(len(names))], np.int64)
+    first = np.unique(number, return_index=True)[1]
     size, tokens = (table.column(c).to_numpy()[first] if len(first) else np.empty(0, np.int64) for c in ("size", "tokens"))
     return h[order], number[order], names.to_pylist(), size, tokens
 
@@ -141,3 +141,41 @@ def contamination(rows: DataFrame, key: str, problem: str, code: str, statement:
         .unionByName(near("statement_similarity", statement, item_statement, ("ss", "sa")))
     )
     return evidence.groupBy("rk", "ik").agg(F.array_sort(F.collect_set("reason")).alias("reasons"), F.max("cs").alias("code_shared"), F.max("ca").alias("code_all"), F.max("ss").alias("statement_shared"), F.max("sa").alias("statement_all")).withColumnsRenamed({"rk": key, "ik": item})
+
+
+def item_evidence(rows: DataFrame, key: str, path: str, text: str, digest: str, items: DataFrame, item: str, number: str, code: str, in_paths: DataFrame, threshold: float = THRESHOLD, most: int = 10) -> DataFrame:
+    """(item, matched, reason, records, max_similarity, first_records) of every item: the evidence of all records, merged.
+
+    Evidence of a record: path (``in_paths``, from (key, item)), problem_id (the item's number in the whole text, bounded), sha256 (of the item's code as it
+    is or normalised), similarity. The greatest similarity counts records without evidence too. Records are ranked before a bounded list is made of them.
+    """
+    from pyspark.sql import Window
+
+    keys = [key]
+    named = named_items(rows.select(*keys, text), keys, text, items.select(F.col(item).alias("item"), number), "item", number)
+    raw, normal = sha256_text(F.col(code)), sha256_text(normalize_code(F.col(code)))
+    digests = items.select(F.col(item).alias("item"), F.explode(F.array_distinct(F.array(raw, normal))).alias("d")).unionByName(items.select(F.col(item).alias("item"), F.concat(F.lit("n:"), normal).alias("d")))
+    own = rows.select(key, F.explode(F.array_compact(F.array(F.col(digest), F.concat(F.lit("n:"), sha256_text(normalize_code(F.col(text))))))).alias("d"))
+    equal = own.join(digests, "d").select(key, "item")
+    near = similar_pairs(rows.select(key, text), key, text, items.select(F.col(item).alias("item"), F.col(code).alias("_code")), "item", "_code")
+    near = near.select(key, "item", (F.col("shared").cast("double") / F.col("all")).alias("s"), (F.col("shared") >= threshold * F.col("all")).alias("hit"))
+    evidence = [(in_paths, "path"), (named, "problem_id"), (equal, "sha256"), (near.where("hit"), "similarity")]
+    every = None
+    for found, reason in evidence:
+        part = found.select(key, "item", F.lit(reason).alias("reason"))
+        every = part if every is None else every.unionByName(part)
+    records = every.groupBy("item", key).agg(F.collect_set("reason").alias("reasons"))
+    first = records.withColumn("_r", F.row_number().over(Window.partitionBy("item").orderBy(key))).where(F.col("_r") <= most)
+    first = first.groupBy("item").agg(F.array_sort(F.collect_list(key)).alias("first_records"))
+    merged = records.select("item", key, F.explode("reasons").alias("reason")).groupBy("item").agg(F.array_sort(F.collect_set("reason")).alias("all_reasons"))
+    counted = records.groupBy("item").agg(F.count("*").alias("records"))
+    greatest = near.groupBy("item").agg(F.max("s").alias("max_similarity"))
+    out = items.select(F.col(item).alias("item"))
+    for side in (merged, counted, greatest, first):
+        out = out.join(side, "item", "left")
+    reasons = F.coalesce(F.array_join("all_reasons", ","), F.lit("none"))
+    kind = rows.schema[key].dataType.simpleString()
+    return out.select(
+        "item", F.col("records").isNotNull().alias("matched"), reasons.alias("reason"), F.coalesce("records", F.lit(0)).alias("records"),
+        F.coalesce("max_similarity", F.lit(0.0)).alias("max_similarity"), F.coalesce("first_records", F.array().cast(f"array<{kind}>")).alias("first_records"),
+    )

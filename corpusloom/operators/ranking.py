@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialize
+
 
 def best_version(df: DataFrame, keys: list[str], order: list[Column], keep: list[str]) -> DataFrame:
     """(keys..., versions, keep...) of the row with the greatest ``order`` in each group. The order must tell all rows apart."""
@@ -14,9 +18,20 @@ def best_version(df: DataFrame, keys: list[str], order: list[Column], keep: list
 
 
 def losing_versions(df: DataFrame, keys: list[str], order: list[Column], keep: list[str]) -> DataFrame:
-    """(keys..., place, keep...) of all rows but each group's best, with their place from 2 on: rows, not a list per group."""
-    ranked = df.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy(*[o.desc() for o in order])))
-    return ranked.where("place > 1").select(*keys, "place", *keep)
+    """(keys..., place, keep...) of all rows but each group's best, with their place from 2 on: rows, not a list per group.
+
+    Rows are dealt by ranges of (keys, order), so a group of any size spreads over tasks; a row's place is that within its part and
+    what earlier parts have of the group.
+    """
+    best_first = [o.desc() for o in order]
+    parts = materialize(df.repartitionByRange(*keys, *best_first).withColumn("_part", F.spark_partition_id()), "ranges")
+    before = F.sum("_n").over(Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    counts = parts.groupBy(*keys, "_part").agg(F.count("*").alias("_n")).withColumn("_before", F.coalesce(before, F.lit(0)))
+    counts = counts.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("_part").alias("_at"), "_before")
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys], F.col("_part") == F.col("_at"))
+    met = parts.join(counts, same)
+    place = F.row_number().over(Window.partitionBy(*keys, "_part").orderBy(*best_first)) + F.col("_before")
+    return met.withColumn("place", place.cast("int")).where("place > 1").select(*keys, "place", *keep)
 
 
 def extremes(df: DataFrame, value: Column, tie: str, by: list[str] = ()) -> DataFrame:

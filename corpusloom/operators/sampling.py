@@ -47,27 +47,37 @@ def acceptance_sample(df: DataFrame, seed: str, key: Column, probability: Column
     return df.where(hash_unit(seed, key) < probability)
 
 
-def weighted_draws(df: DataFrame, key: str, weight: str, draws: int, seed: str, digits: int = BUCKET_DIGITS) -> DataFrame:
-    """(draw, key): ``draws`` draws with replacement, each row with a chance in proportion to its whole-number weight.
+def weighted_draws(df: DataFrame, key: str, weight: str, draws: int | None, seed: str, digits: int = BUCKET_DIGITS) -> DataFrame:
+    """(draw, key): ``draws`` draws with replacement (None: as many as there are rows), each row with a chance in proportion to its whole-number weight.
 
-    Cumulative weights stand in hash buckets of the key; each draw's number in [0, total) finds its bucket in the
-    small table of bucket sums, then its row by an equi-join on the bucket and a range within it.
+    Cumulative weights stand in hash buckets of the key. [0, total) is cut into as many cells as there can be buckets; a draw's number finds
+    its bucket by an equi-join on the cell, as each bucket says which cells it lies in, then its row by an equi-join on the bucket and a range within it.
     """
     rows = df.where(F.col(weight) > 0).select(F.col(key).alias("k"), F.col(weight).cast("bigint").alias("w")).withColumn("b", F.substring(F.sha2(F.col("k").cast("string"), 256), 1, digits))
-    sums = rows.groupBy("b").agg(F.sum("w").alias("bw"))
+    sums = rows.groupBy("b").agg(F.sum("w").alias("bw"), F.count("*").alias("bn"))
+    total, count = sums.agg(F.coalesce(F.sum("bw"), F.lit(0)), F.coalesce(F.sum("bn"), F.lit(0))).first()
+    cells = 16**digits
+    # A few thousand buckets whatever the size of the data, so this window and the broadcast have that bound.
     upto = F.sum("bw").over(Window.orderBy("b").rowsBetween(Window.unboundedPreceding, 0))
-    buckets = F.broadcast(sums.select("b", (upto - F.col("bw")).alias("lo"), upto.alias("hi"), F.sum("bw").over(Window.partitionBy()).alias("all")))
-    spark = df.sparkSession
-    numbers = spark.range(draws).select(F.col("id").alias("draw"), hash_unit(seed, F.col("id").cast("string")).alias("u"))
-    at = F.floor(F.col("u") * F.col("all"))
-    # A range join with the bounded bucket table; the draws are asked for by number, not by the size of the data.
-    in_bucket = numbers.join(buckets, (at >= F.col("lo")) & (at < F.col("hi"))).select("draw", "b", (at - F.col("lo")).alias("rest"))
+    placed = sums.select("b", (upto - F.col("bw")).alias("lo"), upto.alias("hi"))
+
+    def cell(at: Column) -> Column:
+        return F.floor(at.cast("double") * cells / max(1, total)).cast("bigint")
+
+    buckets = F.broadcast(placed.withColumn("cell", F.explode(F.sequence(cell(F.col("lo")), cell(F.col("hi"))))))
+    numbers = df.sparkSession.range(count if draws is None else draws).select(F.col("id").alias("draw"), F.floor(hash_unit(seed, F.col("id").cast("string")) * F.lit(total)).alias("at")).withColumn("cell", cell(F.col("at")))
+    in_bucket = numbers.join(buckets, "cell").where((F.col("at") >= F.col("lo")) & (F.col("at") < F.col("hi"))).select("draw", "b", (F.col("at") - F.col("lo")).alias("rest"))
     within = F.sum("w").over(Window.partitionBy("b").orderBy("k").rowsBetween(Window.unboundedPreceding, 0))
     ranges = rows.withColumn("w_hi", within).withColumn("w_lo", F.col("w_hi") - F.col("w"))
     met = in_bucket.join(ranges, "b").where((F.col("rest") >= F.col("w_lo")) & (F.col("rest") < F.col("w_hi")))
     return met.select("draw", F.col("k").alias(key))
 
 
+def uniform_sample(df: DataFrame, key: Column, tie: str, k: int) -> DataFrame:
+    """The first ``k`` of all rows in hash order, then in the order of ``tie``: a top-k, so partitions send k rows each."""
+    return df.withColumn("_key", key).orderBy("_key", tie).limit(k).drop("_key").orderBy(tie)
+
+
 def sample_per_stratum(df: DataFrame, stratum: str, key: Column, tie: str, k: int) -> DataFrame:
     """The first ``k`` rows of each stratum in hash order."""
     ranked = df.withColumn("_rank", F.row_number().over(Window.partitionBy(stratum).orderBy(key, tie)))

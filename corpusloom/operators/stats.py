@@ -58,8 +58,11 @@ def interpolated(df: DataFrame, value: str, fractions: dict[str, float], by: lis
 
 
 def numeric_summary(df: DataFrame, value: str, by: list[str] = ()) -> DataFrame:
-    """(by..., n, total, minimum, maximum): what adds up exactly."""
-    return df.groupBy(*by).agg(F.count(value).alias("n"), F.sum(value).alias("total"), F.min(value).alias("minimum"), F.max(value).alias("maximum"))
+    """(by..., n, total, minimum, maximum, mean, median): the mean from exact sums, the median by interpolation."""
+    plain = df.groupBy(*by).agg(F.count(value).alias("n"), F.sum(value).alias("total"), F.min(value).alias("minimum"), F.max(value).alias("maximum"))
+    middle = interpolated(df, value, {"median": 0.5}, by)
+    both = plain.join(middle, list(by), "left") if by else plain.crossJoin(middle)
+    return both.withColumn("mean", F.when(F.col("n") > 0, F.col("total") / F.col("n"))).select(*by, "n", "total", "minimum", "maximum", "mean", "median")
 
 
 def truncation_table(df: DataFrame, length: str, limits: list[int]) -> DataFrame:

@@ -88,7 +88,7 @@ def document_counts(spark, sf_dir):
     return table(spark, sf_dir, "documents").where("text is not null").select("doc_id", tx.token_count(t).cast("bigint").alias("tokens"), tx.ascii_token_count(t).cast("bigint").alias("ascii_tokens"), tx.newline_count(t).cast("bigint").alias("lines"))
 
 
-@CATALOG.query(_TOKENS_CTE + "select split, count(*) as n, sum(tokens)::bigint as total, min(tokens) as minimum, max(tokens) as maximum from t group by split")
+@CATALOG.query(_TOKENS_CTE + "select split, count(*) as n, sum(tokens)::bigint as total, min(tokens) as minimum, max(tokens) as maximum, sum(tokens)::bigint / count(*) as mean, quantile_cont(tokens, 0.5)::double as median from t group by split")
 def token_summary(spark, sf_dir):
     return stats.numeric_summary(_tokens(spark, sf_dir), "tokens", ["split"])
 
@@ -167,6 +167,21 @@ def _prevalence(spark, sf_dir):
     return counted.select("time_bucket", F.expr(f"stack({len(ft.CORE_FLAGS)}, {pairs}) as (feature, hits)"), "n")
 
 
+@CATALOG.query(
+    "with f as (select source_type, (time_weight * 2)::bigint as w, " + ", ".join(f"{_has(n)} as {n}" for n in ft.CORE_FLAGS) + f", len(regexp_extract_all(text, '{ft.PATTERNS['line_comment']}')) as comments from style_v3 where text is not null and time_weight is not null) "
+    + " union all ".join(f"select source_type, '{n}' as feature, coalesce(sum(w) filter (where {n}), 0)::bigint as mass, sum(w)::bigint as all_mass, coalesce(sum(w) filter (where {n}), 0)::bigint / sum(w)::bigint as rate, coalesce(sum(comments) filter (where {n}), 0)::bigint as comments, coalesce(sum(comments) filter (where {n})::bigint / count(*) filter (where {n}), 0) as average_comments from f group by 1" for n in ft.CORE_FLAGS)
+)
+def weighted_prevalence(spark, sf_dir):
+    """Share of the weighted mass with each feature by type, and the average number of line comments of files that have it."""
+    t = F.col("text")
+    rows = _style(spark, sf_dir).where("text is not null and time_weight is not null").select("source_type", (F.col("time_weight") * 2).cast("bigint").alias("w"), *ft.flags(t, ft.CORE_FLAGS), ft.count(t, "line_comment").alias("c"))
+    sums = [x for n in ft.CORE_FLAGS for x in (F.sum(F.when(F.col(n), F.col("w"))).alias(f"m_{n}"), F.sum(F.when(F.col(n), F.col("c"))).cast("bigint").alias(f"c_{n}"), F.count_if(n).alias(f"n_{n}"))]
+    summed = rows.groupBy("source_type").agg(F.sum("w").alias("all_mass"), *sums)
+    long = summed.select("source_type", "all_mass", F.expr(f"stack({len(ft.CORE_FLAGS)}, " + ", ".join(f"'{n}', m_{n}, c_{n}, n_{n}" for n in ft.CORE_FLAGS) + ") as (feature, mass, comments, n)"))
+    mass, comments = F.coalesce("mass", F.lit(0)), F.coalesce("comments", F.lit(0))
+    return long.select("source_type", "feature", mass.alias("mass"), "all_mass", (mass / F.col("all_mass")).alias("rate"), comments.alias("comments"), F.coalesce(F.when(F.col("n") > 0, comments / F.col("n")), F.lit(0.0)).alias("average_comments"))
+
+
 @CATALOG.query("with f as (select time_bucket, " + ", ".join(f"{_has(n)} as {n}" for n in ft.CORE_FLAGS) + " from style_v3 where text is not null), p as (" + " union all ".join(f"select time_bucket, '{n}' as feature, count(*) filter (where {n}) as hits, count(*) as n from f group by 1" for n in ft.CORE_FLAGS) + "), s as (select feature, coalesce(sum(hits) filter (where time_bucket = 'recent_6_months'), 0)::bigint as recent_hits, coalesce(sum(n) filter (where time_bucket = 'recent_6_months'), 0)::bigint as recent_n, coalesce(sum(hits) filter (where time_bucket = '1_to_2_years'), 0)::bigint as baseline_hits, coalesce(sum(n) filter (where time_bucket = '1_to_2_years'), 0)::bigint as baseline_n from p group by 1), m as (select *, abs(recent_hits * baseline_n - baseline_hits * recent_n) * 100 >= 10.0 * recent_n * baseline_n as material from s) select *, (select count(*) from m where material) >= 3 as clear_shift from m")
 def recent_shift(spark, sf_dir):
     """Features that shifted by ten points between recent files and the baseline bucket."""
@@ -191,10 +206,10 @@ def shortest_longest(spark, sf_dir):
     return ranking.extremes(_style(spark, sf_dir).where("text is not null"), tx.newline_count(F.col("text")).cast("bigint"), "record_id", ["split"])
 
 
-@CATALOG.query("with s as (select path, split, min(text) as text from style_v3 where path is not null group by 1, 2), l as (select path, text from s where split = 'train'), r as (select path, text from s where split = 'test') select count(*) filter (where l.path is not null and r.path is not null) as shared, count(*) filter (where l.path is not null and r.path is not null and l.text is not distinct from r.text) as same, count(*) filter (where l.path is not null and r.path is not null and l.text is distinct from r.text) as changed, count(*) filter (where r.path is null) as left_only, count(*) filter (where l.path is null) as right_only from l full join r on l.path = r.path")
+@CATALOG.query("with s as (select path, split, min(sha256(text)) as text from style_v3 where path is not null group by 1, 2), l as (select path, text from s where split = 'train'), r as (select path, text from s where split = 'test') select count(*) filter (where l.path is not null and r.path is not null) as shared, count(*) filter (where l.path is not null and r.path is not null and l.text is not distinct from r.text) as same, count(*) filter (where l.path is not null and r.path is not null and l.text is distinct from r.text) as changed, count(*) filter (where r.path is null) as left_only, count(*) filter (where l.path is null) as right_only from l full join r on l.path = r.path")
 def version_diff(spark, sf_dir):
     """Paths in both the train and the test split: the same or another text."""
-    first = _style(spark, sf_dir).where("path is not null").groupBy("path", "split").agg(F.min(F.col("text")).alias("text")).select("path", "split", tx.sha256_text(F.col("text")).alias("digest"))
+    first = _style(spark, sf_dir).where("path is not null").groupBy("path", "split").agg(F.min(tx.sha256_text(F.col("text"))).alias("digest"))
     return assembly.version_diff(first.where("split = 'train'"), first.where("split = 'test'"), "path", "digest")
 
 
@@ -248,11 +263,11 @@ def acceptance_sample(spark, sf_dir):
     return sampling.acceptance_sample(rows, "42", tx.sha256_text(F.col("text")), F.col("time_weight") / 4.0).select("record_id")
 
 
-@CATALOG.query("with r as (select record_id as k, (time_weight * 2)::bigint as w, substr(sha256(record_id::varchar), 1, 3) as b from style_v3 where time_weight > 0), c as (select k, sum(w) over (order by b, k rows unbounded preceding) as hi, w from r), n as (select i as draw, floor((('0x' || substr(sha256('7:' || i::varchar), 1, 13))::bigint / 4503599627370496.0) * (select sum(w) from r))::bigint as place from range(1000) t(i)) select draw, k as record_id from n join c on place >= hi - w and place < hi")
+@CATALOG.query("with r as (select record_id as k, (time_weight * 2)::bigint as w, substr(sha256(record_id::varchar), 1, 3) as b from style_v3 where time_weight > 0), c as (select k, sum(w) over (order by b, k rows unbounded preceding) as hi, w from r), n as (select i as draw, floor((('0x' || substr(sha256('7:' || i::varchar), 1, 13))::bigint / 4503599627370496.0) * (select sum(w) from r))::bigint as place from range((select count(*) from r)) t(i)) select draw, k as record_id from n join c on place >= hi - w and place < hi")
 def weighted_draws(spark, sf_dir):
-    """A thousand draws with replacement, in proportion to doubled weights."""
+    """As many draws with replacement as there are rows, in proportion to doubled weights."""
     rows = _style(spark, sf_dir).select("record_id", (F.col("time_weight") * 2).cast("bigint").alias("w"))
-    return sampling.weighted_draws(rows, "record_id", "w", 1000, "7")
+    return sampling.weighted_draws(rows, "record_id", "w", None, "7")
 
 
 @CATALOG.query("with k as (select doc_id, row_number() over (order by sha256('42:' || doc_id::varchar), doc_id) as r, count(*) over () as n from documents) select doc_id, case when r <= (case when n >= 10 then round_even(n * 0.1, 0) else 0 end) then 'val' else 'train' end as split from k")
@@ -267,6 +282,23 @@ def three_way_split(spark, sf_dir):
     return sampling.three_way_split(rows, sampling.hash_key("42", F.col("record_id").cast("string")), "record_id")
 
 
+_DRAWS = next(sql for name, sql in CATALOG.sql.items() if name == "weighted_draws")
+
+
+@CATALOG.query(f"select (s.time_weight * 2)::bigint as weight, count(*) as draws, count(distinct d.record_id) as records from ({_DRAWS}) d join style_v3 s using (record_id) group by 1")
+def draw_counts(spark, sf_dir):
+    """Draws, and the records they fall on, by doubled weight."""
+    weights = _style(spark, sf_dir).select("record_id", (F.col("time_weight") * 2).cast("bigint").alias("weight"))
+    return weighted_draws(spark, sf_dir).join(weights, "record_id").groupBy("weight").agg(F.count("*").alias("draws"), F.count_distinct("record_id").alias("records"))
+
+
+@CATALOG.query("select doc_id, source from (select doc_id, source from documents order by sha256('u:' || doc_id::varchar), doc_id limit 200)")
+def uniform_sample_all(spark, sf_dir):
+    """Two hundred of all documents, by hash."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source")
+    return sampling.uniform_sample(docs, sampling.hash_key("u", F.col("doc_id").cast("string")), "doc_id", 200)
+
+
 @CATALOG.query("select doc_id, source from (select doc_id, source, row_number() over (partition by source order by sha256('s:' || doc_id::varchar), doc_id) as r from documents) where r <= 20")
 def uniform_sample(spark, sf_dir):
     """Twenty documents of every source, by hash."""

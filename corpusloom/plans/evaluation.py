@@ -85,6 +85,18 @@ def semantic_labels(spark, sf_dir):
     return stats.value_counts(rows.select(classify.semantic_confidence(verified, review, F.array("status")).alias("confidence"), "event_type"), "confidence", "event_type")
 
 
+_LABELS_SQL = CATALOG.sql["semantic_labels"]
+
+
+@CATALOG.query(f"select t.event_type, k.confidence, coalesce(l.n, 0)::bigint as n, coalesce(l.n, 0)::bigint / t.total as rate from (select event_type, sum(n)::bigint as total from ({_LABELS_SQL}) group by 1) t cross join (values ('A'), ('B'), ('C'), ('D')) k(confidence) left join ({_LABELS_SQL}) l on l.event_type = t.event_type and l.confidence = k.confidence")
+def semantic_distribution(spark, sf_dir):
+    """Count and rate of every label from A to D by type, 0 where there are none."""
+    counted = semantic_labels(spark, sf_dir).groupBy("event_type").pivot("confidence", ["A", "B", "C", "D"]).agg(F.sum("n"))
+    filled = counted.select("event_type", *[F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in "ABCD"])
+    long = filled.withColumn("total", F.col("A") + F.col("B") + F.col("C") + F.col("D")).select("event_type", "total", F.expr("stack(4, 'A', A, 'B', B, 'C', C, 'D', D) as (confidence, n)"))
+    return long.select("event_type", "confidence", "n", (F.col("n") / F.col("total")).alias("rate"))
+
+
 @CATALOG.query(_OUTCOME + ", c as (select event_type, status, count(*) as hits from s group by 1, 2), t as (select event_type, count(*) as n from s group by 1), f as (select c.event_type, status, hits, n from c join t using (event_type)) select f.event_type, f.status, f.hits, f.n, b.hits as base_hits, b.n as base_n from f join f b using (status) where f.event_type <> 'click' and b.event_type = 'click'")
 def rate_deltas(spark, sf_dir):
     """Counts of each status beside those of a baseline, as numerators and denominators."""

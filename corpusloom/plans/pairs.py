@@ -56,9 +56,42 @@ def locatable_rows(spark, sf_dir):
     return table(spark, sf_dir, "pilot_manifest").select("row_id", ids.locatable(F.col("source"), F.col("problem_id")).alias("locatable"))
 
 
-@CATALOG.query("select problem_id, case when oj = 'luogu' and regexp_matches(problem_id, '(?i)^P\\d{3,7}$') then 'https://www.luogu.com.cn/problem/' || upper(problem_id) when oj = 'codeforces' and regexp_matches(problem_id, '(?i)^\\d{1,7}[A-Z]\\d?$') then case when regexp_extract(problem_id, '^(\\d+)', 1)::int >= 100000 then 'https://codeforces.com/gym/' || regexp_extract(problem_id, '^(\\d+)', 1) || '/problem/' || upper(regexp_extract(problem_id, '^\\d+(.*)$', 1)) else 'https://codeforces.com/problemset/problem/' || regexp_extract(problem_id, '^(\\d+)', 1) || '/' || upper(regexp_extract(problem_id, '^\\d+(.*)$', 1)) end end as url from manifest")
+@CATALOG.query(f"select coalesce({ALIASES_SQL}, 'other') as judge, count(*) as versions, count(distinct source) as spellings from pilot_manifest group by 1")
+def judge_inventory(spark, sf_dir):
+    """Versions and spellings by judge, unknown ones as other."""
+    rows = table(spark, sf_dir, "pilot_manifest").select("source", ids.canonical_source(F.col("source"), F.lit("other")).alias("judge"))
+    return rows.groupBy("judge").agg(F.count("*").alias("versions"), F.count_distinct("source").alias("spellings"))
+
+
+_CONTEST = "(?i)(?:^|[^0-9])0*(\\d+)[\\s_/.-]*(?:problem[\\s_/-]*)?([a-z])[\\s_/-]?(\\d?)$"
+_WORDED = "regexp_replace(regexp_replace(lower(t), '[^\\p{L}\\p{N}]+', '_', 'g'), '^_+|_+$', '', 'g')"
+#: Versions with the one name of their judge and the one spelling of their number.
+VERSIONS_SQL = (
+    f"with v as (select *, {ALIASES_SQL} as judge, regexp_replace({plain_sql('problem_id')}, '(?i)\\.(cpp|cc|cxx|c|hpp|h|py|java|txt|md)$', '') as t from pilot_manifest), "
+    "u as (select *, case judge when 'luogu' then 'P' || nullif(regexp_extract(t, '(?i)(?:^|[^0-9A-Za-z]|luogu)p?[\\s_/-]*0*(\\d+)$', 1), '') "
+    f"when 'codeforces' then nullif(regexp_extract(t, '{_CONTEST}', 1) || upper(regexp_extract(t, '{_CONTEST}', 2)) || regexp_extract(t, '{_CONTEST}', 3), '') "
+    f"when 'icpc' then case when regexp_matches({_WORDED}, '_[a-z][0-9]?$') then regexp_extract({_WORDED}, '^(.*_)[^_]+$', 1) || upper(regexp_extract({_WORDED}, '_([^_]+)$', 1)) end end as problem from v) "
+)
+
+
+def _versions(spark, sf_dir):
+    return ids.with_problem(table(spark, sf_dir, "pilot_manifest"), F.col("source"), F.col("problem_id"))
+
+
+@CATALOG.query(
+    VERSIONS_SQL + "select distinct judge, problem, case when judge = 'luogu' and regexp_matches(problem, '(?i)^P\\d{3,7}$') then 'https://www.luogu.com.cn/problem/' || upper(problem) when judge = 'codeforces' and regexp_matches(problem, '(?i)^\\d{1,7}[A-Z]\\d?$') then "
+    "case when regexp_extract(problem, '^(\\d+)', 1)::int >= 100000 then 'https://codeforces.com/gym/' || regexp_extract(problem, '^(\\d+)', 1) || '/problem/' else 'https://codeforces.com/problemset/problem/' || regexp_extract(problem, '^(\\d+)', 1) || '/' end || upper(regexp_extract(problem, '([A-Za-z]\\d?)$', 1)) end as url from u where problem is not null"
+)
 def statement_urls(spark, sf_dir):
-    return table(spark, sf_dir, "manifest").select("problem_id", ids.statement_url(F.col("oj"), F.col("problem_id")).alias("url"))
+    """The page of every problem that versions are of, by unified judge and number."""
+    rows = _versions(spark, sf_dir).where("problem is not null").select("judge", "problem").distinct()
+    return rows.select("judge", "problem", ids.statement_url(F.col("judge"), F.col("problem")).alias("url"))
+
+
+_CONFLICT_SQL = (
+    "with c as (select sha, list_sort(list_distinct(flatten(list(cs)))) as cs from (select sha256(text) as sha, {found} as cs from style_v3 where text is not null) group by 1) "
+    "select row_id, {locatable} as by_number, coalesce(len(list_filter(cs, lambda x: split_part(x, ':', 1) = lower(source) and x <> lower(source) || ':' || upper(problem_id))) > 0, false) as conflicting from pilot_manifest p left join c on lower(p.sha256) = c.sha"
+)
 
 
 _HEADER = "array_to_string(list_slice(regexp_split_to_array(coalesce(text, ''), '" + tx.LINE_END + "'), 1, 100), chr(10))"
@@ -74,6 +107,15 @@ def _found_sql(text: str) -> str:
     return f"list_sort(list_distinct(flatten([{lists}])))"
 
 
+@CATALOG.query(_CONFLICT_SQL.format(found=_found_sql("text"), locatable=_LOCATABLE_SQL))
+def locatable_conflicts(spark, sf_dir):
+    """Whether a version's number can be looked up, and whether its file names another number of the same judge; candidates are found by digest."""
+    found = table(spark, sf_dir, "style_v3").where("text is not null").select(tx.sha256_text(F.col("text")).alias("sha"), ids.candidate_ids(F.col("text")).alias("c"))
+    named = found.where(F.size("c") > 0).groupBy("sha").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("c")))).alias("candidates"))
+    rows = table(spark, sf_dir, "pilot_manifest").select("row_id", "source", "problem_id", F.lower("sha256").alias("sha")).join(named, "sha", "left")
+    return rows.select("row_id", ids.locatable(F.col("source"), F.col("problem_id")).alias("by_number"), ids.conflicting(F.col("source"), F.col("problem_id"), F.col("candidates")).alias("conflicting"))
+
+
 @CATALOG.query(f"select doc_id, {_found_sql(_strip_sql('text'))} as candidates from documents where text is not null and len({_found_sql('text')}) > 0")
 def candidate_ids(spark, sf_dir):
     """Identifiers named in documents."""
@@ -262,13 +304,47 @@ def item_matches(spark, sf_dir):
     return counted.join(first, "problem_id")
 
 
-@CATALOG.query("select row_id, b.id as item from dataset d join bench_problem b on list_contains(regexp_extract_all(lower(d.origin_path), '[a-z0-9]+'), regexp_replace(lower(b.problem_id), '[^a-z0-9]', '', 'g')) or list_contains(regexp_extract_all(lower(d.origin_path), '[a-z0-9]+'), lower(b.id))")
+_FORMS_SQL = (
+    "select id, unnest(list_distinct(list_transform(list_filter([lower(id), lower(problem_id), case when len(p) > 1 and p[1] in (" + ", ".join(f"'{x}'" for x in ids.PREFIXES) + ") then array_to_string(p[2:], '') end], lambda x: x is not null), lambda x: regexp_replace(x, '[^a-z0-9]', '', 'g')))) as token "
+    "from (select id, problem_id, regexp_extract_all(lower(problem_id), '[a-z]+|\\d+') as p from bench_problem)"
+)
+
+
+def _path_items_sql(source: str, key: str, path: str) -> str:
+    return f"select distinct {key}, f.id as item from (select {key}, unnest(list_transform(regexp_extract_all({path}, '{ids.PATH_TOKEN}'), lambda x: lower(x))) as token from {source}) t join ({_FORMS_SQL}) f using (token)"
+
+
+def _path_items(rows, key, path, items):
+    """(key, item): an equi-join on the tokens of paths and the forms of items."""
+    tokens = rows.select(key, F.explode(ids.path_tokens(F.col(path))).alias("token"))
+    forms = items.select(F.col("id").alias("item"), F.explode(ids.path_forms(ids.identifier_forms(F.col("id"), F.col("problem_id")))).alias("token"))
+    return tokens.join(contamination.sized_broadcast(forms, 100_000), "token").select(key, "item").distinct()
+
+
+@CATALOG.query(_path_items_sql("dataset", "row_id", "origin_path"))
 def path_identifiers(spark, sf_dir):
-    """Pairs whose path has an item's name or number as a whole run of letters and digits: an equi-join on runs."""
-    runs = table(spark, sf_dir, "dataset").select("row_id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("origin_path"), F.lit("[a-z0-9]+"), 0))).alias("run"))
-    forms = F.array(F.lower("id"), F.regexp_replace(F.lower("problem_id"), "[^a-z0-9]", ""))
-    items = table(spark, sf_dir, "bench_problem").select(F.col("id").alias("item"), F.explode(F.array_distinct(forms)).alias("run"))
-    return runs.join(contamination.sized_broadcast(items, 100_000), "run").select("row_id", "item").distinct()
+    """Pairs whose path has an item's name or number as a token."""
+    return _path_items(table(spark, sf_dir, "dataset"), "row_id", "origin_path", table(spark, sf_dir, "bench_problem"))
+
+
+_EVIDENCE_SQL = (
+    f"with sim as ({_similar_sql('reference_code', 'text').replace('from dataset', 'from (select record_id as row_id, text from style_v3)')}), "
+    "near as (select b.id as item, row_id as record_id, shared / all_shingles as s, shared >= 0.8 * all_shingles as hit from sim join bench_problem b using (problem_id)), "
+    f"e as (select item, record_id, 'path' as reason from ({_path_items_sql('style_v3', 'record_id', 'path')}) "
+    "union select b.id, record_id, 'problem_id' from style_v3 t join bench_problem b on length(b.problem_id) >= 3 and regexp_matches(t.text, '(?i)(?:^|[^A-Za-z0-9])' || b.problem_id || '(?:$|[^A-Za-z0-9])') "
+    f"union select b.id, record_id, 'sha256' from style_v3 t join bench_problem b on t.sha256 = sha256(b.reference_code) or t.sha256 = sha256({_normal_sql('b.reference_code')}) or sha256({_normal_sql('t.text')}) = sha256({_normal_sql('b.reference_code')}) "
+    "union select item, record_id, 'similarity' from near where hit) "
+    "select b.id as item, count(e.item) > 0 as matched, coalesce(string_agg(distinct e.reason, ',' order by e.reason), 'none') as reason, count(distinct e.record_id) as records, "
+    "coalesce((select max(s) from near where near.item = b.id), 0.0) as max_similarity, coalesce(list_sort(list(distinct e.record_id) filter (where e.record_id is not null))[1:10], []) as first_records from bench_problem b left join e on e.item = b.id group by b.id"
+)
+
+
+@CATALOG.query(_EVIDENCE_SQL)
+def item_evidence(spark, sf_dir):
+    """For each evaluation item all evidence in the corpus: path, number in the whole text, digest, similar code; the greatest similarity, met or not, and the first ten records."""
+    files = table(spark, sf_dir, "style_v3").select("record_id", "path", "sha256", "text")
+    items = table(spark, sf_dir, "bench_problem").select("id", "problem_id", "reference_code")
+    return contamination.item_evidence(files, "record_id", "path", "text", "sha256", items, "id", "problem_id", "reference_code", _path_items(files, "record_id", "path", items))
 
 
 @CATALOG.query("select p.row_id, m.id as item from pilot_manifest p join manifest m on length(m.problem_id) >= 3 and regexp_matches(p.problem_id, '(?i)(?:^|[^A-Za-z0-9])' || m.problem_id || '(?:$|[^A-Za-z0-9])')")
@@ -355,7 +431,11 @@ def _encoded(spark, sf_dir):
     def numbered(text):
         return F.transform(tx.code_tokens(text), lambda t: F.pmod(F.crc32(t), F.lit(50_000)).cast("int"))
 
-    return rows.select("row_id", "split", chat.encode_pair(numbered(chat.prompt_text(F.col("instruction"))), numbered(F.col("response")), LIMIT).alias("e")).where(F.size("e.labels") > F.col("e.assistant_start"))
+    # Both token arrays are bound before they are used; a lambda variable isn't written out again where it is used.
+    both = F.struct(numbered(chat.prompt_text(F.col("instruction"))).alias("p"), numbered(F.col("response")).alias("r"))
+    encoded = tx.let(both, lambda x: chat.encode_pair(x["p"], x["r"], LIMIT))
+    answered = F.col("response").rlike("[^" + tx.SPACE + "]")
+    return rows.where(answered).select("row_id", "split", encoded.alias("e"))
 
 
 @CATALOG.query(_LENGTHS + f"select row_id, kp as assistant_start, kp + kr as length, p + r as original_length, p + r > {LIMIT} as truncated, kr as labelled, true as mask_right from t where kr > 0")
@@ -366,7 +446,7 @@ def loss_mask_audit(spark, sf_dir):
 
 @CATALOG.query(_LENGTHS + ", b as (select t.row_id, d.split, kp + kr as n, (row_number() over (partition by hash_of order by t.row_id) - 1) // 8 as batch, hash_of from t join (select row_id, split, row_id % 64 as hash_of from dataset) d using (row_id) where kr > 0) select row_id, max(n) over (partition by hash_of, batch)::bigint as padded, n::bigint as real_tokens from b")
 def padded_batches(spark, sf_dir):
-    """Batches of eight padded to their longest, numbered within 64 shards so that no task sees all rows."""
+    """Batches of eight padded to their longest, numbered within shards so that no task sees all rows."""
     rows = _encoded(spark, sf_dir).select("row_id", (F.col("row_id") % 64).alias("shard"), "e.input_ids", "e.labels")
     padded = chat.pad_batches(rows, ["row_id"], 8, "shard")
     return padded.select("row_id", F.size("input_ids").cast("bigint").alias("padded"), F.aggregate("attention_mask", F.lit(0), lambda a, x: a + x).cast("bigint").alias("real_tokens"))
@@ -409,7 +489,24 @@ def fenced_documents(spark, sf_dir):
     return _fenced(table(spark, sf_dir, "documents").where("text is not null"), "doc_id", "kind")
 
 
-@CATALOG.query()
+def _py_strip_sql(x: str) -> str:
+    return f"regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
+
+
+_OWN_SQL = (
+    f"with w as (select doc_id, {_WHOLE} as w from documents where kind = 'chat' and text is not null), "
+    f"b as (select w, list_zip(list_transform(regexp_extract_all(w, '{extract.FENCED}', 1), lambda x: lower({_py_strip_sql('x')})), list_transform(regexp_extract_all(w, '{extract.FENCED}', 2), lambda x: {_py_strip_sql('x')})) as z, regexp_matches(w, '{extract.CODE_START}') as s, "
+    f"regexp_extract(w, '(?s)^(.*?)(?m:^)[ \\t]*{extract.CODE_START.replace('(?m)^[ \\t]*', '')}', 1) as pre from w), "
+    f"l as (select *, list_transform(list_filter(z, lambda x: x[1] in ({', '.join(repr(x) for x in extract.CPP_LANGUAGES)})), lambda x: x[2]) as marked, list_transform(z, lambda x: x[2]) as blocks from b), "
+    f"c as (select w, case when len(marked) > 0 then list_reduce(marked, lambda x, y: if(length(y) > length(x), y, x)) when len(blocks) > 0 then list_reduce(blocks, lambda x, y: if(length(y) > length(x), y, x)) when s then {_py_strip_sql('substr(w, length(pre) + 1)')} else w end as own from l), "
+    f"f as (select w, {_py_strip_sql('own')} as own, contains(w, '{classify.FENCE}') as fenced, regexp_matches(w, '{classify.COMPLETE_FENCE}') as complete from c), "
+    f"x as (select *, case when complete then regexp_matches(regexp_replace(w, '{classify.COMPLETE_FENCE}', '', 'g'), '[^\\s]') when fenced then not regexp_matches(regexp_replace(w, '^[^\\n]*\\n?', ''), '{classify.CODE_MARKER}') "
+    "else w <> own and regexp_matches(case when ends_with(w, own) then left(w, length(w) - length(own)) else w end, '[^\\s]') end as extra from f) "
+    f"select case when not regexp_matches(own, '{classify.CODE_MARKER}') then 'unextractable' when extra then 'extra_natural_language' when fenced then 'markdown_code_fence' else 'pure_code' end as category, count(*) as n from x group by 1"
+)
+
+
+@CATALOG.query(_OWN_SQL)
 def instruction_following(spark, sf_dir):
     """What answers in chat documents hold besides code."""
     t = F.col("text")
@@ -417,11 +514,16 @@ def instruction_following(spark, sf_dir):
     return stats.value_counts(chats.select(classify.instruction_following(t, extract.extract_code(t)).alias("category")), "category")
 
 
-@CATALOG.query("with k as (select id, oj, problem_id, row_number() over (partition by oj order by sha256('pilot:' || oj || ':' || problem_id), problem_id) as r from manifest), a as (select * from k where oj = 'codeforces' and r <= 30), b as (select * from k where oj = 'luogu' and r <= 60 - (select count(*) from a)), c as (select id, oj, problem_id, row_number() over (order by case when oj = 'luogu' then 0 else 1 end, sha256('pilot:' || oj || ':' || problem_id), problem_id) as r from manifest where id not in (select id from a) and id not in (select id from b)) select id, oj from a union all select id, oj from b union all select id, oj from c where r <= 60 - (select count(*) from a) - (select count(*) from b)")
+@CATALOG.query(
+    VERSIONS_SQL + ", l as (select distinct judge, problem from u where problem is not null and uniquely_locatable), k as (select *, row_number() over (partition by judge order by sha256('pilot:' || judge || ':' || problem), problem) as r from l), "
+    "a as (select * from k where judge = 'codeforces' and r <= 30), b as (select * from k where judge = 'luogu' and r <= 60 - (select count(*) from a)), "
+    "c as (select *, row_number() over (order by sha256('pilot:' || judge || ':' || problem), problem) as q from (select * from k where not (judge = 'codeforces' and r <= 30) and judge <> 'luogu')) "
+    "select judge, problem from a union all select judge, problem from b union all select judge, problem from c where q <= 60 - (select count(*) from a) - (select count(*) from b)"
+)
 def stratified_pilot(spark, sf_dir):
-    """Sixty items: up to half of one judge, then another's, then any, by hash."""
-    rows = table(spark, sf_dir, "manifest").select("id", "oj", "problem_id")
-    return sampling.stratified_quota(rows, F.col("oj"), sampling.hash_key("pilot", F.col("oj"), F.col("problem_id")), "problem_id", 60, "codeforces", "luogu").select("id", "oj")
+    """Sixty locatable problems: up to half of one judge, then another's, then any, by hash."""
+    rows = _versions(spark, sf_dir).where("problem is not null and uniquely_locatable").select("judge", "problem").distinct()
+    return sampling.stratified_quota(rows, F.col("judge"), sampling.hash_key("pilot", F.col("judge"), F.col("problem")), "problem", 60, "codeforces", "luogu").select("judge", "problem")
 
 
 @CATALOG.query("select id, oj from manifest order by case oj when 'icpc' then 0 when 'luogu' then 1 else 2 end, oj")

@@ -129,6 +129,21 @@ def strict_answer_vectors(spark, sf_dir):
     return rows.select("doc_id", *ft.pattern_vector(F.col("code"), ft.STRICT_ANSWER_PATTERNS), "extra_natural_language", F.col("strict_code_only").alias("code_only"))
 
 
+_SUMMED = ("had_markdown_fence", "extra_natural_language", "strict_code_only", "using_namespace_std", "associative_container", "int_main")
+
+
+@CATALOG.query(
+    f"with v as ({CATALOG.sql['answer_vectors']}) select kind, count(*) as n, " + ", ".join(f"count(*) filter (where {c}) as {c}, count(*) filter (where {c}) / count(*) as {c}_rate" for c in _SUMMED)
+    + ", sum(line_comment_count + block_comment_count)::bigint as comments, sum(line_comment_count + block_comment_count)::bigint / count(*) as average_comments from v join documents using (doc_id) group by 1"
+)
+def answer_summary(spark, sf_dir):
+    """Count and rate of the flags of answers by kind, and their comments in all and on average."""
+    kinds = table(spark, sf_dir, "documents").select("doc_id", "kind")
+    comments = F.sum(F.col("line_comment_count") + F.col("block_comment_count"))
+    counts = [x for c in _SUMMED for x in (F.count_if(c).alias(c), (F.count_if(c) / F.count("*")).alias(f"{c}_rate"))]
+    return answer_vectors(spark, sf_dir).join(kinds, "doc_id").groupBy("kind").agg(F.count("*").alias("n"), *counts, comments.alias("comments"), (comments / F.count("*")).alias("average_comments"))
+
+
 _LITERAL_SQL = _q(ft.LITERAL)
 #: The text with comments and literals as spaces, line feeds kept.
 MASKED_SQL = f"array_to_string(list_transform(list_zip(regexp_split_to_array(text, '{_LITERAL_SQL}'), list_append(regexp_extract_all(text, '{_LITERAL_SQL}'), '')), lambda z: z[1] || regexp_replace(z[2], '[^\\n]', ' ', 'g')), '')"
