@@ -80,7 +80,7 @@ def later_category(message: Column, code: Column) -> Column:
 
 def verification_status(compile_status: Column, samples: Column, passed: Column) -> Column:
     """Status of a pair that was run on its samples."""
-    return F.when(compile_status == "timeout", "compile_timeout").when(compile_status != "pass", "compile_error").when(samples == 0, "no_executable_sample").when(passed == samples, "all_samples_passed").when(passed > 0, "partial_samples_passed").otherwise("no_samples_passed")
+    return F.when(compile_status == "timeout", "compile_timeout").when(compile_status != "pass", "compile_error").when(samples == 0, "no_executable_sample").when(passed == samples, "all_samples_passed").when(passed > 0, "partial_sample_failure").otherwise("all_samples_failed")
 
 
 def semantic_confidence(status: Column, review: Column, case_statuses: Column) -> Column:

@@ -76,7 +76,7 @@ def status_labels(spark, sf_dir):
     return rows.select("user_id", "event_type", classify.status_label(status).alias("label"))
 
 
-@CATALOG.query(_OUTCOME + ", l as (select user_id, event_type, case when not compiled then 'compile_error' when tests = 0 then 'no_executable_sample' when passed = tests then 'all_samples_passed' when passed > 0 then 'partial_samples_passed' else 'no_samples_passed' end as verified, status from s) select case when verified = 'all_samples_passed' then 'A' when verified = 'no_executable_sample' then 'B' when user_id % 7 = 0 or status in ('compile_error', 'compile_timeout', 'runtime_error', 'time_limit_exceeded', 'output_limit_exceeded') then 'D' else 'C' end as confidence, event_type, count(*) as n from l group by 1, 2")
+@CATALOG.query(_OUTCOME + ", l as (select user_id, event_type, case when not compiled then 'compile_error' when tests = 0 then 'no_executable_sample' when passed = tests then 'all_samples_passed' when passed > 0 then 'partial_sample_failure' else 'all_samples_failed' end as verified, status from s) select case when verified = 'all_samples_passed' then 'A' when verified = 'no_executable_sample' then 'B' when user_id % 7 = 0 or status in ('compile_error', 'compile_timeout', 'runtime_error', 'time_limit_exceeded', 'output_limit_exceeded') then 'D' else 'C' end as confidence, event_type, count(*) as n from l group by 1, 2")
 def semantic_labels(spark, sf_dir):
     """A to D by verification, review and statuses. Every seventh user has a review."""
     rows = _outcomes(spark, sf_dir)

@@ -8,7 +8,7 @@ from ..functions import classify, html
 from ..functions import identifiers as ids
 from ..functions import text as tx
 from ..functions import timeage as ta
-from ..operators import assembly, chunking, stats
+from ..operators import assembly, chunking, judging, stats
 from ..session import scratch
 from ..sources import readers, writers
 from .catalog import Catalog, table
@@ -344,3 +344,56 @@ def judged_again(spark, sf_dir):
 
     events = table(spark, sf_dir, "events")
     return consistent(results(events), results(events.where("event_id % 7 <> 0")), ["user_id", "event_type"], ["tests", "ac"])
+
+
+#: Programs that need no compiler: one repeats its input, one is wrong, one fails, one says too much, one is no program.
+_PROGRAMS = {"repeats": "#!/bin/sh\ncat\n", "wrong": "#!/bin/sh\necho no\n", "fails": "#!/bin/sh\ncat\nexit 3\n", "floods": "#!/bin/sh\nwhile :; do printf '%01000d' 0; done\n", "broken": "cat\n"}
+
+
+def _programs(spark, sf_dir):
+    items = table(spark, sf_dir, "bench_problem").select(F.col("problem_id").alias("problem"), "title", "difficulty")
+    programs = F.array(*[F.struct(F.lit(n).alias("model"), F.lit(c).alias("code")) for n, c in _PROGRAMS.items()])
+    return items.select("problem", "title", "difficulty", F.explode(programs).alias("p")).select("problem", "title", "difficulty", "p.*")
+
+
+_JUDGED = (
+    "with d as (select m.model, problem_id as problem, difficulty, m.model not in ('broken', 'absent') and not (m.model = 'fails' and difficulty = 'hard') as compile, case when m.model in ('absent', 'broken') or difficulty = 'hard' then 0 else 1 end as tests0, "
+    "m.model = 'repeats' and difficulty <> 'hard' as ac from bench_problem, (values ('repeats'), ('wrong'), ('fails'), ('broken'), ('absent')) m(model)) "
+)
+
+
+@CATALOG.query(_JUDGED + "select model, problem, compile, ac, case when model = 'absent' or (model = 'fails' and difficulty = 'hard') or difficulty = 'hard' then 0 else 1 end as tests, case when ac then 1 else 0 end as passed from d")
+def judged_grid(spark, sf_dir):
+    """Every model and item judged: a model without outputs, an output that is missing, a program that isn't one, and items without cases fail in rows of their own."""
+    rows = _programs(spark, sf_dir)
+    outputs = rows.where("model <> 'floods'").where("not (model = 'fails' and difficulty = 'hard')").select("model", "problem", "code")
+    items = rows.select("problem", "title", "difficulty").distinct()
+    cases = items.where("difficulty <> 'hard'").select("problem", F.lit("01").alias("name"), F.col("title").cast("binary").alias("input"), F.col("title").cast("binary").alias("output"))
+    details, _ = judging.evaluate(["repeats", "wrong", "fails", "broken", "absent"], items.select("problem"), outputs, cases, spark.sparkContext.defaultParallelism, seconds=10.0, build=judging.script_source)
+    return details.select("model", "problem", "compile", "ac", "tests", "passed")
+
+
+@CATALOG.query(_JUDGED + "select model, count(*) as total, count(*) filter (where compile) as compile, round(count(*) filter (where compile) / count(*), 6) as compile_rate, count(*) filter (where ac) as ac, round(count(*) filter (where ac) / count(*), 6) as ac_rate from d group by 1")
+def judged_summary(spark, sf_dir):
+    """Programs that compile and pass by model, with rates."""
+    rows = _programs(spark, sf_dir)
+    outputs = rows.where("model <> 'floods'").where("not (model = 'fails' and difficulty = 'hard')").select("model", "problem", "code")
+    items = rows.select("problem", "title", "difficulty").distinct()
+    cases = items.where("difficulty <> 'hard'").select("problem", F.lit("01").alias("name"), F.col("title").cast("binary").alias("input"), F.col("title").cast("binary").alias("output"))
+    _, summary = judging.evaluate(["repeats", "wrong", "fails", "broken", "absent"], items.select("problem"), outputs, cases, spark.sparkContext.defaultParallelism, seconds=10.0, build=judging.script_source)
+    return summary
+
+
+@CATALOG.query(
+    "select m.model || ':' || problem_id as id, m.model <> 'broken' as compile, case when m.model = 'broken' then 'compile_error' when difficulty = 'hard' then 'no_executable_sample' when m.model = 'repeats' then case difficulty when 'easy' then 'all_samples_passed' else 'partial_sample_failure' end else 'all_samples_failed' end as status, "
+    "case when m.model = 'broken' or difficulty = 'hard' then [] else [case m.model when 'repeats' then 'accepted' when 'wrong' then 'wrong_answer' when 'fails' then 'runtime_error' else 'output_limit_exceeded' end] || case difficulty when 'medium' then ['unparseable_sample'] else [] end end as statuses "
+    "from bench_problem, (values ('repeats'), ('wrong'), ('fails'), ('floods'), ('broken')) m(model)"
+)
+def verified_pairs(spark, sf_dir):
+    """Pairs run on their samples: one sample, one and a blank one, or none by difficulty."""
+    sample = F.struct(F.col("title").alias("input"), F.col("title").alias("output"))
+    blank = F.struct(F.col("title").alias("input"), F.lit(" ").alias("output"))
+    samples = F.when(F.col("difficulty") == "easy", F.array(sample)).when(F.col("difficulty") == "medium", F.array(sample, blank))
+    pairs = _programs(spark, sf_dir).select(F.concat_ws(":", "model", "problem").alias("id"), "code", samples.alias("samples"))
+    verified = judging.verify_pairs(pairs, spark.sparkContext.defaultParallelism, seconds=10.0, build=judging.script_source)
+    return verified.select("id", "compile", "status", F.col("cases.status").alias("statuses"))
