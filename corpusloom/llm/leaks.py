@@ -5,9 +5,10 @@ become words with the items' numbers, all other words separate, and stretches sh
 out, as no phrase can lie in them. Over the rest stands an FM-index (``fmindex``). Every run of ``PHRASE`` consecutive words of
 every item is searched backward at once, step by step for those still found; occurrences are located
 by sampled suffix positions, and overlapping ones of an item in a field are merged to removal spans. The training side is
-read once per block of items and never shuffled before the few spans are.
+read once and never shuffled before the few spans are.
 
-Items are searched in blocks of at most ``BLOCK_WORDS`` words, so what is broadcast has that bound however many items there are.
+Items are numbered in blocks of at most ``BLOCK_WORDS`` words (or one item), each a broadcast of its own. A shard is held as words and searched
+for one block after the other; of several blocks a worker has one in memory. So memory has a bound however many items there are.
 
 Defined results: null and empty texts and items of fewer than ``PHRASE`` words match nothing; phrases don't reach over two fields or texts;
 repeated rows are each reported; items with equal texts are each reported; items without an id are left out.
@@ -62,8 +63,8 @@ class Phrases:
         self.text, self.owner = np.array(text, np.int64), np.array(owner, np.int64)
 
 
-def _search(phrases: Phrases, shard: list[np.ndarray], places: list[tuple[int, int, int]], length: int) -> list[tuple]:
-    """(row, field, item, begin, end) of merged spans; ``places`` gives row, field and first word of each stretch."""
+def _search(phrases: Phrases, shard: list[np.ndarray], places: list[tuple[int, int, int]], length: int) -> list[np.ndarray]:
+    """Columns (row, field, item, begin, end) of merged spans, none if there are none; ``places`` gives row, field and first word of each stretch."""
     lengths = np.fromiter(map(len, shard), np.int64, len(shard))
     starts = np.cumsum(lengths + 1) - lengths - 1
     text = np.zeros(int((lengths + 1).sum()), np.int64)
@@ -82,14 +83,12 @@ def _search(phrases: Phrases, shard: list[np.ndarray], places: list[tuple[int, i
     where = np.array(places, np.int64)[stretch]
     begin = at - starts[stretch] + where[:, 2]
     order = np.lexsort((begin, where[:, 1], where[:, 0], item))
-    out: list[tuple] = []
-    for k in order.tolist():
-        key, b = (int(where[k, 0]), int(where[k, 1]), phrases.names[item[k]]), int(begin[k])
-        if out and out[-1][:3] == key and b <= out[-1][4]:
-            out[-1] = (*out[-1][:4], max(out[-1][4], b + length))
-        else:
-            out.append((*key, b, b + length))
-    return out
+    item, where, begin = item[order], where[order], begin[order]
+    # All occurrences have one length, so each reaches the next exactly if it begins no later than this one ends.
+    fresh = np.concatenate([[True], (np.diff(item) != 0) | (np.diff(where[:, 0]) != 0) | (np.diff(where[:, 1]) != 0) | (np.diff(begin) > length)])
+    first = np.flatnonzero(fresh)
+    last = np.append(first[1:], len(begin)) - 1
+    return [where[first, 0], where[first, 1], np.array(phrases.names, object)[item[first]], begin[first], begin[last] + length]
 
 
 def _blocks(items: DataFrame, columns: list[str], length: int, most: int) -> Iterator[Phrases]:
@@ -118,44 +117,45 @@ def leaked_spans(rows: DataFrame, id_column: str, fields: list[str], items: Data
     texts = items.select(F.col(f"`{item_column}`").alias("name"), *[F.col(f"`{f}`").alias(f"g{i}") for i, f in enumerate(item_fields)])
     schema = "id bigint, field int, item string, word_begin int, word_end int"
 
-    def searcher(sent):
-        def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            phrases: Phrases = sent.value
-            number = phrases.vocabulary.get
-            shard: list[np.ndarray] = []
-            places: list[tuple[int, int, int]] = []
-            size = 0
-
-            def found() -> pa.RecordBatch:
-                spans = _search(phrases, shard, places, length)
-                return pa.RecordBatch.from_arrays([pa.array([s[c] for s in spans], t) for c, t in enumerate((pa.int64(), pa.int32(), pa.string(), pa.int32(), pa.int32()))], names=["id", "field", "item", "word_begin", "word_end"])
-
-            for part in slices_of(batches, names):
-                ids = part.column("id").to_pylist()
-                for f, name in enumerate(names):
-                    for i, text in zip(ids, part.column(name).to_pylist()):
-                        found_words = words(text)
-                        if len(found_words) < length:
-                            continue
-                        numbers = np.fromiter((number(w, 0) for w in found_words), np.int64, len(found_words))
-                        for a, b in runs_of(numbers, length):
-                            shard.append(numbers[a:b])
-                            places.append((i, f, a))
-                            size += b - a
-                if size >= shard_words:
-                    yield found()
-                    shard, places, size = [], [], 0
-            if shard:
-                yield found()
-
-        return run
-
-    found = None
-    for phrases in _blocks(texts, [f"g{i}" for i in range(len(item_fields))], length, block_words):
-        spans = materialize(read.mapInArrow(searcher(spark.sparkContext.broadcast(phrases)), schema), "leaks")
-        found = spans if found is None else found.union(spans)
-    if found is None:
-        found = spark.createDataFrame([], schema)
+    blocks = [spark.sparkContext.broadcast(phrases) for phrases in _blocks(texts, [f"g{i}" for i in range(len(item_fields))], length, block_words)]
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[int, int, list[str]]] = []
+        size = 0
+
+        def found() -> Iterator[pa.RecordBatch]:
+            for sent in blocks:
+                phrases: Phrases = sent.value
+                number = phrases.vocabulary.get
+                shard: list[np.ndarray] = []
+                places: list[tuple[int, int, int]] = []
+                for i, f, text in held:
+                    numbers = np.fromiter((number(w, 0) for w in text), np.int64, len(text))
+                    for a, b in runs_of(numbers, length):
+                        shard.append(numbers[a:b])
+                        places.append((i, f, a))
+                spans = _search(phrases, shard, places, length) if shard else []
+                if spans:
+                    yield pa.RecordBatch.from_arrays([pa.array(s, t) for s, t in zip(spans, (pa.int64(), pa.int32(), pa.string(), pa.int32(), pa.int32()))], names=["id", "field", "item", "word_begin", "word_end"])
+                if len(blocks) > 1:
+                    del phrases, number
+                    sent.__dict__.pop("_value", None)  # the worker's copy; it is read again from its file
+
+        for part in slices_of(batches, names):
+            ids = part.column("id").to_pylist()
+            for f, name in enumerate(names):
+                for i, text in zip(ids, part.column(name).to_pylist()):
+                    own = words(text)
+                    if len(own) >= length:
+                        held.append((i, f, own))
+                        size += len(own)
+            if size >= shard_words:
+                yield from found()
+                held, size = [], 0
+        if held:
+            yield from found()
+
+    found = materialize(read.mapInArrow(run, schema), "leaks") if blocks else spark.createDataFrame([], schema)
     field = F.create_map(*[x for i, f in enumerate(fields) for x in (F.lit(i), F.lit(f))])
     return found.select(F.col("id").alias(id_column), field[F.col("field")].alias("field"), "item", "word_begin", "word_end")
 

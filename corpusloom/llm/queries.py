@@ -58,6 +58,45 @@ _P2_SURVIVORS_SQL = (
     "select judge as source, problem as problem_id, rows, version_row, time_row, style_row, path, sha256, compile, timestamp, nullif(age_bucket, chr(1)) as age_bucket, style_score from c join n using (judge, problem)"
 )
 
+
+
+def _groups_sql(n: int, table_name: str, key: str, text: str) -> str:
+    """Common tables of one table: classes of equal tokens, links between their least records, components by repeated steps."""
+    t, tokens = f"g{n}", _TOKEN_SQL.format(text)
+    return (
+        f"{t}_w as (select {key} as id, {tokens} as w from {table_name} where len({tokens}) >= 5), {t}_r as (select min(id) over (partition by array_to_string(w, chr(0))) as rep, id, w from {t}_w), "
+        f"{t}_g as (select distinct rep, unnest(list_transform(range(1, len(w) - 3), lambda i: md5(array_to_string(w[i:i + 4], chr(0))))) as g from {t}_r where rep = id), {t}_n as (select rep, count(*) as n from {t}_g group by 1), "
+        f"{t}_e as (select a.rep as a, b.rep as b from {t}_g a join {t}_g b on a.g = b.g and a.rep <> b.rep join {t}_n m on m.rep = a.rep join {t}_n o on o.rep = b.rep group by a.rep, b.rep, m.n, o.n having count(*) >= 0.8 * (m.n + o.n - count(*))), "
+        f"{t}_c(rep, label) as (select distinct rep, rep from {t}_r union select e.b, c.label from {t}_c c join {t}_e e on e.a = c.rep where c.label < e.b), "
+        f"{t}_l as (select rep, min(label) as label from {t}_c group by 1), {t}_k as (select a as rep, count(*) as links from {t}_e group by 1), "
+        f"{t} as (select '{table_name}' as table_name, r.id, l.label as class_id, coalesce(k.links, 0) as links from {t}_r r join {t}_l l using (rep) left join {t}_k k using (rep))"
+    )
+
+
+_P1_GROUPS_SQL = "with recursive " + _groups_sql(0, "style_v3", "record_id", "text") + ", " + _groups_sql(1, "dataset", "row_id", "response") + " select * from g0 union all select * from g1"
+_JOINED = "(chr(1) || array_to_string(" + _TOKEN_SQL.format("text") + ", chr(1)) || chr(1))"
+_P3_REPORT_SQL = (
+    f"with f as ({_P3_SQL}), s as (select record_id, split, coalesce(nullif(split_part(path, '/', 1), ''), 'none') as directory, {_JOINED} as w from style_v3), "
+    "p as (select h.record_id, h.split, h.directory, contains(t.w, h.w) as exact from f join s h on h.record_id in (id_a, id_b) and h.split <> 'train' join s t on t.record_id in (id_a, id_b) and t.record_id <> h.record_id) "
+    "select split, directory, count(*) as pairs, count(distinct record_id) as records, count(distinct record_id) filter (where exact) as exact_records from p group by 1, 2"
+)
+#: Runs of consecutive matching places; a place begins a new span if the one before doesn't reach it.
+_P5_SPANS_SQL = (
+    "with i as (select problem_id, x, regexp_extract_all(lower(x), '[a-z0-9]+|[一-鿿]') as w from (select problem_id, unnest([statement, reference_code]) as x from bench_problem)), "
+    "ig as (select distinct problem_id, unnest(list_transform(range(1, len(w) - 38), lambda k: md5(array_to_string(w[k:k + 39], chr(0))))) as g from i where len(w) >= 40), "
+    "r as (select row_id, field, regexp_extract_all(lower(x), '[a-z0-9]+|[一-鿿]') as w from (select row_id, unnest(['instruction', 'response']) as field, unnest([instruction, response]) as x from dataset)), "
+    "rg as (select row_id, field, unnest(range(0, len(w) - 39)) as k, unnest(list_transform(range(1, len(w) - 38), lambda k: md5(array_to_string(w[k:k + 39], chr(0))))) as g from r where len(w) >= 40), "
+    "m as (select distinct row_id, field, problem_id, k from rg join ig using (g)), n as (select *, case when k - lag(k) over (partition by row_id, field, problem_id order by k) <= 40 then 0 else 1 end as fresh from m), "
+    "o as (select *, sum(fresh) over (partition by row_id, field, problem_id order by k) as span from n), spans as (select row_id, field, problem_id, min(k)::int as word_begin, (max(k) + 40)::int as word_end from o group by row_id, field, problem_id, span) "
+)
+_P5_REPORT_SQL = _P5_SPANS_SQL + "select problem_id, count(distinct row_id) as rows, sum(word_end - word_begin)::bigint as words, max(word_end - word_begin) as longest from spans group by 1"
+_P8_COVERAGE_SQL = (
+    "with w as (select doc_id, unnest(range(1, length(text) - 198)) as i, text from documents where length(text) >= 200), g as (select doc_id, i, md5(substr(text, i, 200)) as g from w), s as (select g from g group by 1 having count(distinct doc_id) > 1), "
+    "p as (select doc_id, i, lag(i) over (partition by doc_id order by i) as before from g join s using (g)), "
+    "c as (select doc_id, sum(case when before is null or i > before + 200 then 1 else 0 end)::bigint as spans, sum(least(200, i - coalesce(before, i - 200)))::bigint as shared from p group by 1) "
+    "select doc_id, length(text)::bigint as n_chars, coalesce(shared, 0) as shared_chars, coalesce(spans, 0) as spans from documents left join c using (doc_id) where text is not null"
+)
+
 #: Tables compared by problem 1, in the order of their numbers: name, key and text.
 _RECORDS = (("style_v3", "record_id", "text"), ("dataset", "row_id", "response"))
 
@@ -77,7 +116,7 @@ def p1_found(spark, sf_dir):
     return neardup.expand(pairs, members).select(_table_name("t").alias("table_name"), "id_a", "id_b")
 
 
-@CATALOG.query()
+@CATALOG.query(_P1_GROUPS_SQL)
 def p1_groups(spark, sf_dir):
     pairs, members = neardup.near_duplicates(_records(spark, sf_dir))
     return neardup.groups(pairs, members).select(_table_name("t").alias("table_name"), "id", F.col("group").alias("class_id"), "links")
@@ -105,7 +144,7 @@ def p3_found(spark, sf_dir):
     return _overlaps(spark, sf_dir).select(F.least("held", "train").alias("id_a"), F.greatest("held", "train").alias("id_b"))
 
 
-@CATALOG.query()
+@CATALOG.query(_P3_REPORT_SQL)
 def p3_report(spark, sf_dir):
     """Pairs, held-out records and exact finds by split and first directory."""
     directory = F.nullif(F.split_part(F.col("path"), F.lit("/"), F.lit(1)), F.lit(""))
@@ -135,12 +174,12 @@ def p5_found(spark, sf_dir):
     return leaks.leaked_items(_leaks(spark, sf_dir), "row_id").select("row_id", F.col("item").alias("problem_id"))
 
 
-@CATALOG.query()
+@CATALOG.query(_P5_SPANS_SQL + "select * from spans")
 def p5_spans(spark, sf_dir):
     return _leaks(spark, sf_dir).withColumnRenamed("item", "problem_id")
 
 
-@CATALOG.query()
+@CATALOG.query(_P5_REPORT_SQL)
 def p5_report(spark, sf_dir):
     return leaks.leak_report(_leaks(spark, sf_dir), "row_id").withColumnRenamed("item", "problem_id")
 
@@ -167,7 +206,7 @@ def p8_found(spark, sf_dir):
     return spans.expand(classes, members, documents, "doc_id", "text")
 
 
-@CATALOG.query()
+@CATALOG.query(_P8_COVERAGE_SQL)
 def p8_coverage(spark, sf_dir):
     documents = table(spark, sf_dir, "documents")
     _, shared, members = spans.shared_spans(documents, "doc_id", "text")
