@@ -48,7 +48,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A path of its own in the shared folder; what is written there is removed when the driver ends."""
+    """A path of its own in the shared folder; what is written there is removed by ``release``, or when the driver ends."""
     path = f"{shared_dir(spark)}/corpusloom/{name}-{uuid.uuid4().hex}"
     _written.append((spark, path))
     return path
@@ -57,7 +57,7 @@ def scratch(spark: SparkSession, name: str) -> str:
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back: lineage is cut and later readers don't recompute it.
 
-    The table survives the loss of any executor. It is removed when the driver ends.
+    The table survives the loss of any executor. It is removed by ``release``, or when the driver ends.
     """
     spark = df.sparkSession
     path = scratch(spark, name)
@@ -66,11 +66,13 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
 
 @atexit.register
-def _remove_written() -> None:
-    for spark, path in _written:
+def release() -> None:
+    """Remove all intermediates written so far. For a long session between queries: results that aren't yet read or written can't be after it."""
+    while _written:
+        spark, path = _written.pop()
         try:
             jvm = spark._jvm
             where = jvm.org.apache.hadoop.fs.Path(path)
             where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
         except Exception:  # the JVM may be gone already
-            return
+            continue

@@ -27,3 +27,14 @@ def test_a_cluster_needs_a_shared_folder():
 
 def test_the_session_names_the_folder():
     assert session.shared_dir(SimpleNamespace(conf={"spark.checkpoint.dir": "hdfs://x/shared/"})) == "hdfs://x/shared"
+
+
+def test_release_removes_what_was_written(spark):
+    from pathlib import Path
+
+    df = session.materialize(spark.range(3), "t")
+    folder = Path(df.inputFiles()[0].split(":")[-1].replace("///", "/")).parent
+    assert folder.exists()
+    session.release()
+    assert not folder.exists()
+    session.release()

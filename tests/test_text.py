@@ -115,7 +115,7 @@ def test_classifiers(spark):
     assert values(spark, messages, classify.compile_error_category) == ["template_error", "missing_symbol", "undeclared_identifier", "type_error", "syntax_error", "other"]
     df = spark.createDataFrame([(1, True, True, "", []), (2, False, False, "", []), (3, False, True, "Time Limit and output limit", []), (4, False, True, "Segmentation fault", []), (5, False, True, None, ["wrong_answer", "time_limit_exceeded"]), (6, False, True, "x", [])], "i int, ac boolean, c boolean, e string, cases array<string>")
     one = classify.submission_status(F.col("ac"), F.col("c"), F.col("e"), F.col("cases"))
-    two = classify.status_label(classify.submission_status(F.col("ac"), F.col("c"), F.col("e"), limits=("time", "output")))
+    two = classify.status_label(classify.submission_status(F.col("ac"), F.col("c"), F.col("e"), limits=("time", "output"), texts=classify.SHORT_LIMIT_TEXTS))
     got = [tuple(r) for r in df.select(one, two).collect()]
     assert got == [("accepted", "AC"), ("compile_error", "CE"), ("output_limit_exceeded", "TLE"), ("runtime_error", "RE"), ("time_limit_exceeded", "WA"), ("wrong_answer", "WA")]
     inc = spark.createDataFrame([("'accumulate' is not a member", "#include <vector>"), ("'accumulate' was", "#include <bits/stdc++.h>"), ("x", "")], "e string, c string")
