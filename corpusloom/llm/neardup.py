@@ -18,8 +18,8 @@ as one row. ``pairs`` are between representatives; ``expand`` gives pairs of rec
 Versions. Many versions of one template share keys without being copies. Keys are counted first, with partial aggregation, and only
 those of several representatives go on. The representatives of a key are dealt to blocks of about ``BLOCK``; each two blocks meet in a
 group of their own, so no task gets more than two, however many share the key. There all distances are computed at once, and a
-pair is passed on only by the first of the keys it shares, so it is compared once. For the comparison each text goes once to each
-group (of ``COMPARED`` per side) in which it has a pair, not once per pair.
+pair is passed on only by the first of the keys it shares, so it is compared once. For the comparison the shingles of each text are hashed
+once and go once to each group (of ``COMPARED`` per side) in which it has a pair, not once per pair.
 
 Defined results: null, empty and short texts (under five tokens) are in no pair; repeated rows are copies
 of each other; texts that differ in white space only are copies; ids must be unique within a table.
@@ -46,7 +46,7 @@ BITS = 10
 #: Complete distance above which a candidate isn't compared: at similarity 0.8 it is 9.6 of 48 on average, with a deviation of 2.8.
 FARTHEST = 22
 #: Representatives in a block of a key, about, while fingerprints meet, and while texts do; rows of fingerprints handled at a time.
-BLOCK, COMPARED, _ROWS = 2_000, 256, 20_000
+BLOCK, COMPARED, _ROWS = 2_000, 512, 20_000
 
 _ODD = np.random.default_rng(20240229).integers(1, 2**63, SEGMENTS * SYMBOLS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _SYMBOL = np.uint64((1 << BITS) - 1)
@@ -201,41 +201,64 @@ def compared(pairs: DataFrame, texts: DataFrame, threshold: float = THRESHOLD, b
     dealt = pairs.select("t", "a", "b", "key", F.pmod(F.xxhash64("a"), blocks).cast("int").alias("lo"), F.pmod(F.xxhash64("b"), blocks).cast("int").alias("hi"))
     group = ["t", "key", "lo", "hi"]
     needed = materialize(dealt.select(*group, F.explode(F.array("a", "b")).alias("id")).distinct(), "needed")
-    sent = texts.join(needed, ["t", "id"]).select(*group, F.col("id").alias("a"), F.lit(None).cast("bigint").alias("b"), "x")
-    both = sent.unionByName(dealt.withColumn("x", F.lit(None).cast("string")))
+    sets = materialize(_shingled(texts.join(needed.select("t", "id").distinct(), ["t", "id"], "left_semi")), "shingles")
+    sent = sets.join(needed, ["t", "id"]).select(*group, F.col("id").alias("a"), F.lit(None).cast("bigint").alias("b"), "h")
+    both = sent.unionByName(dealt.withColumn("h", F.lit(None).cast("binary")))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, numbers, sets, left, right = None, {}, [], [], []
+        key: tuple = ()
+        ids: list[np.ndarray] = []
+        sets: list[np.ndarray] = []
+        pairs: list[tuple[np.ndarray, np.ndarray]] = []
 
         def solved() -> Iterator[pa.RecordBatch]:
-            if left:
-                order = np.argsort(np.array(left), kind="stable")
-                i, j = np.array(left)[order], np.array(right)[order]
-                common = _shared_counts(sets, i, j)
-                sizes = np.fromiter(map(len, sets), np.int64, len(sets))
-                every = sizes[i] + sizes[j] - common
-                good = common >= threshold * every - 1e-9
-                ids = np.fromiter(numbers, np.int64, len(numbers))
-                columns = (np.full(int(good.sum()), key[0]), ids[i[good]], ids[j[good]], common[good], every[good])
-                yield pa.RecordBatch.from_arrays([pa.array(c).cast(t) for c, t in zip(columns, (pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32()))], names=["t", "a", "b", "shared", "all"])
-
-        for part in text_slices(batches, "x"):
-            for t, k, lo, hi, a, b, x in zip(*(part.column(c).to_pylist() for c in (*group, "a", "b", "x"))):
-                if (t, k, lo, hi) != key:
+            if not pairs:
+                return
+            known = np.concatenate(ids)
+            order = np.argsort(known)
+            a, b = (np.concatenate(c) for c in zip(*pairs))
+            i, j = (order[np.searchsorted(known, side, sorter=order)] for side in (a, b))
+            by = np.argsort(i, kind="stable")
+            a, b, i, j = a[by], b[by], i[by], j[by]
+            common = _shared_counts(sets, i, j)
+            sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+            every = sizes[i] + sizes[j] - common
+            good = common >= threshold * every - 1e-9
+            columns = (np.full(int(good.sum()), key[0]), a[good], b[good], common[good], every[good])
+            yield pa.RecordBatch.from_arrays([pa.array(c).cast(t) for c, t in zip(columns, (pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32()))], names=["t", "a", "b", "shared", "all"])
+
+        for part in text_slices(batches, "h"):
+            columns = [part.column(c).to_numpy() for c in group]
+            edges = [0, *(np.flatnonzero(np.any([np.diff(c) != 0 for c in columns], axis=0)) + 1).tolist(), len(part)]
+            for start, end in zip(edges, edges[1:]):
+                own = tuple(int(c[start]) for c in columns)
+                if own != key:
                     yield from solved()
-                    key, numbers, sets, left, right = (t, k, lo, hi), {}, [], [], []
-                if b is None:
-                    numbers[a] = len(sets)
-                    sets.append(shingle_set(x))
-                else:
-                    left.append(numbers[a])
-                    right.append(numbers[b])
+                    key, ids, sets, pairs = own, [], [], []
+                rows = part.slice(start, end - start)
+                # The shingles of a group come before its pairs.
+                n = rows.column("b").null_count
+                if n:
+                    ids.append(rows.column("a").slice(0, n).to_numpy())
+                    sets += [np.frombuffer(h, np.uint64) for h in rows.column("h").slice(0, n).to_pylist()]
+                if n < len(rows):
+                    pairs.append((rows.column("a").slice(n).to_numpy(), rows.column("b").slice(n).to_numpy()))
         yield from solved()
 
-    # Texts come before the pairs of their group.
     return both.repartition(*group).sortWithinPartitions(*group, F.col("b").asc_nulls_first()).mapInArrow(run, "t int, a bigint, b bigint, shared int, all int")
 
 
+def _shingled(texts: DataFrame) -> DataFrame:
+    """(t, id, h): the sorted distinct shingle hashes of each text as bytes; from (t, id, x)."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in text_slices(batches, "x"):
+            hashes = pa.array([shingle_set(x).tobytes() for x in part.column("x").to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([part.column("t"), part.column("id"), hashes], names=["t", "id", "h"])
+
+    return texts.select("t", "id", "x").mapInArrow(run, "t int, id bigint, h binary")
+
+
 def near_duplicates(texts: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
     """Pairs (t, a, b, shared, all) of class representatives, and members (t, rep, id) of all classes; from (t int, id bigint, x string)."""
     if threshold < THRESHOLD:
