@@ -127,6 +127,15 @@ def bucket_distribution(spark, sf_dir):
     return stats.zero_filled(ta.bucket_dimension(spark, ta.WEIGHTS_KEEP_ALL), _tokens(spark, sf_dir), "time_bucket", {"samples": F.count("*"), "tokens": F.sum("tokens")})
 
 
+_RESAMPLE_SQL = ", ".join(f"('{n}', {i}, {w})" for i, (n, w) in enumerate(ta.WEIGHTS_RESAMPLE.items()))
+
+
+@CATALOG.query(_TOKENS_CTE + f", d(time_bucket, ord, weight) as (values {_RESAMPLE_SQL}), c as (select time_bucket, count(*) as samples, sum(tokens)::bigint as tokens from t group by 1) select d.time_bucket, ord, weight::double as weight, coalesce(samples, 0) as samples, coalesce(tokens, 0) as tokens from d left join c using (time_bucket)")
+def resampled_buckets(spark, sf_dir):
+    """The same with the weights of resampling, which know no unknown times."""
+    return stats.zero_filled(ta.bucket_dimension(spark, ta.WEIGHTS_RESAMPLE), _tokens(spark, sf_dir), "time_bucket", {"samples": F.count("*"), "tokens": F.sum("tokens")})
+
+
 @CATALOG.query(_TOKENS_CTE + "select time_weight, count(*) as samples, sum(tokens)::bigint as tokens, (sum((time_weight * 2)::bigint))::bigint as doubled_mass from t where split = 'train' group by 1")
 def weight_classes(spark, sf_dir):
     """Samples, tokens and weighted mass by weight; masses in halves are whole numbers."""
