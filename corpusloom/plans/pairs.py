@@ -126,20 +126,23 @@ def candidate_ids(spark, sf_dir):
 _PARTS_SQL = f"list_filter(string_split(path, '/')[:-2], lambda x: regexp_matches(x, '{ids.EVENT}') or regexp_matches(x, '20[0-9]{{2}}'))"
 _STEM_SQL = "regexp_replace(string_split(path, '/')[-1], '(.)\\.[^.]*$', '\\1')"
 _LADDER_SQL = (
-    f"with b as (select record_id, path, {_HEADER} as header from style_v3 where path is not null), "
-    f"l as (select record_id, {_found_sql(_STEM_SQL)} as f, {_found_sql('path')} as p, {_found_sql('header')} as h, case when (regexp_matches(path, '{ids.EVENT}') or regexp_matches(header, '{ids.EVENT}')) and regexp_matches({_STEM_SQL}, '^[A-Ma-m](?:[_-]?\\d+)?$') and len({_PARTS_SQL}) > 0 then 'icpc:' || regexp_replace(lower(regexp_replace(array_to_string({_PARTS_SQL}, '_'), '[^A-Za-z0-9]+', '_', 'g')), '^_+|_+$', '', 'g') || '_' || upper({_STEM_SQL}) end as e from b) "
-    "select record_id, case when len(f) = 1 then f[1] when len(f) > 1 then null when len(p) = 1 then p[1] when len(p) > 1 then null when len(h) = 1 then h[1] when len(h) > 1 then null else e end as id, "
-    "case when len(f) = 1 then 'filename' when len(f) > 1 then 'ambiguous_filename' when len(p) = 1 then 'path' when len(p) > 1 then 'ambiguous_path' when len(h) = 1 then 'header' when len(h) > 1 then 'ambiguous_header' when e is not null then 'explicit_icpc_path' else 'none' end as evidence, "
-    "case when len(f) + len(p) + len(h) = 0 and e is not null then 1 else len(list_distinct(list_concat(f, p, h))) end::int as candidates from l"
+    "with v as (select path, max(problem_id) as subject from pilot_manifest where path is not null and problem_id is not null group by 1), "
+    f"b as (select record_id, path, {_HEADER} as header, coalesce(subject, '') as subject from style_v3 left join v using (path) where path is not null), "
+    f"l as (select record_id, {_found_sql(_STEM_SQL)} as f, {_found_sql('path')} as p, {_found_sql('header')} as h, {_found_sql('subject')} as g, case when (regexp_matches(path, '{ids.EVENT}') or regexp_matches(header, '{ids.EVENT}')) and regexp_matches({_STEM_SQL}, '^[A-Ma-m](?:[_-]?\\d+)?$') and len({_PARTS_SQL}) > 0 then 'icpc:' || regexp_replace(lower(regexp_replace(array_to_string({_PARTS_SQL}, '_'), '[^A-Za-z0-9]+', '_', 'g')), '^_+|_+$', '', 'g') || '_' || upper({_STEM_SQL}) end as e from b) "
+    "select record_id, case when len(f) = 1 then f[1] when len(f) > 1 then null when len(p) = 1 then p[1] when len(p) > 1 then null when len(h) = 1 then h[1] when len(h) > 1 then null when len(g) = 1 then g[1] when len(g) > 1 then null else e end as id, "
+    "case when len(f) = 1 then 'filename' when len(f) > 1 then 'ambiguous_filename' when len(p) = 1 then 'path' when len(p) > 1 then 'ambiguous_path' when len(h) = 1 then 'header' when len(h) > 1 then 'ambiguous_header' when len(g) = 1 then 'git_subject' when len(g) > 1 then 'ambiguous_git_subject' when e is not null then 'explicit_icpc_path' else 'none' end as evidence, "
+    "case when len(f) + len(p) + len(h) + len(g) = 0 and e is not null then 1 else len(list_distinct(flatten([f, p, h, g]))) end::int as candidates from l"
 )
 
 
 @CATALOG.query(_LADDER_SQL)
 def evidence_ladder(spark, sf_dir):
-    """The identifier of each file and the level that gives it."""
+    """The identifier of each file and the level that gives it; the greatest number noted with its path stands for a commit's subject."""
+    noted = table(spark, sf_dir, "pilot_manifest").where("path is not null and problem_id is not null").groupBy("path").agg(F.max("problem_id").alias("subject"))
     lines = tx.split_lines(F.coalesce("text", F.lit("")))
     header = F.array_join(F.slice(lines, 1, 100), "\n")
-    found = ids.resolve_ids(table(spark, sf_dir, "style_v3").where("path is not null"), "record_id", F.col("path"), header, F.lit(""))
+    files = table(spark, sf_dir, "style_v3").where("path is not null").join(noted, "path", "left")
+    found = ids.resolve_ids(files, "record_id", F.col("path"), header, F.col("subject"))
     return found.withColumn("candidates", F.size("candidates"))
 
 
