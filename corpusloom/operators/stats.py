@@ -58,11 +58,15 @@ def interpolated(df: DataFrame, value: str, fractions: dict[str, float], by: lis
 
 
 def numeric_summary(df: DataFrame, value: str, by: list[str] = ()) -> DataFrame:
-    """(by..., n, total, minimum, maximum, mean, median): the mean from exact sums, the median by interpolation."""
-    plain = df.groupBy(*by).agg(F.count(value).alias("n"), F.sum(value).alias("total"), F.min(value).alias("minimum"), F.max(value).alias("maximum"))
-    middle = interpolated(df, value, {"median": 0.5}, by)
-    both = plain.join(middle, list(by), "left") if by else plain.crossJoin(middle)
-    return both.withColumn("mean", F.when(F.col("n") > 0, F.col("total") / F.col("n"))).select(*by, "n", "total", "minimum", "maximum", "mean", "median")
+    """(by..., n, total, minimum, maximum, mean, median) from distinct values with counts: the mean from exact sums, the median by interpolation."""
+    ranked = _ranked(df, value, list(by))
+    middle = (F.col("n") - 1) * 0.5
+    summed = ranked.groupBy(*by).agg(
+        F.coalesce(F.max("n"), F.lit(0)).alias("n"), F.sum(F.col("v") * F.col("c")).alias("total"), F.min("v").alias("minimum"), F.max("v").alias("maximum"),
+        _at(F.floor(middle)).alias("_lo"), _at(F.ceil(middle)).alias("_hi"),
+    )
+    mean = F.when(F.col("n") > 0, F.col("total") / F.col("n"))
+    return summed.select(*by, "n", "total", "minimum", "maximum", mean.alias("mean"), ((F.col("_lo") + F.col("_hi")) / 2).alias("median"))
 
 
 def truncation_table(df: DataFrame, length: str, limits: list[int]) -> DataFrame:
