@@ -236,14 +236,17 @@ _SECONDS_SQL = (
     "select record_id, epoch_us(make_timestamp((m.m[1] * 1000000)::bigint)) // 1000000 as committed, subject, m.path is not null as found from style_v3 r left join m on r.path = m.path"
 )
 def history_lookup(spark, sf_dir):
-    """Files with the latest commit of their path in 64 logs of versions; a log is carried forward line by line."""
-    seconds = F.floor(ids.instant_micros(F.col("timestamp")) / 1000000)
-    versions = table(spark, sf_dir, "pilot_manifest").where(F.col("path").rlike("[^ ]")).select("row_id", "path", seconds.alias("s"), F.coalesce("problem_id", F.lit("")).alias("subject")).where("s >= 0")
-    lines = F.array(F.concat(F.lit("commit:"), F.col("s").cast("string"), F.lit(":"), F.regexp_replace("subject", r"[\r\n]", " ")), F.lit(""), F.col("path"))
+    """Files with the latest commit of their path in 64 logs of versions; a log is carried forward line by line.
+
+    Subjects and names are percent-encoded in the logs: each stays one line whatever it holds, and no name reads like a commit.
+    """
+    versions = table(spark, sf_dir, "pilot_manifest").where(F.col("path").rlike("[^ ]")).select("row_id", "path", ids.instant_micros(F.col("timestamp")).alias("micros"), F.coalesce("problem_id", F.lit("")).alias("subject"))
+    versions = versions.withColumn("s", F.expr("micros div 1000000")).where("s >= 0")
+    lines = F.array(F.concat(F.lit("commit:"), F.col("s").cast("string"), F.lit(":"), F.url_encode("subject")), F.lit(""), F.url_encode("path"))
     log = versions.select(F.concat(F.lit("log"), (F.col("row_id") % 64).cast("string")).alias("file"), "row_id", F.posexplode(lines).alias("place", "value")).select("file", (F.col("row_id") * 3 + F.col("place")).alias("line"), "value")
     latest = readers.history(spark, log)
-    found = assembly.left_lookup(table(spark, sf_dir, "style_v3").select("record_id", "path"), latest, ["path"], ["committed_at", "subject"], "git_")
-    return found.select("record_id", F.unix_seconds("git_committed_at").alias("committed"), F.col("git_subject").alias("subject"), F.col("git_found").alias("found"))
+    found = assembly.left_lookup(table(spark, sf_dir, "style_v3").select("record_id", F.url_encode("path").alias("path")), latest, ["path"], ["committed_at", "subject"], "git_")
+    return found.select("record_id", F.unix_seconds("git_committed_at").alias("committed"), F.url_decode("git_subject").alias("subject"), F.col("git_found").alias("found"))
 
 
 @CATALOG.query("select row_id, sha256(to_json({'row_id': row_id, 'source': source, 'problem_id': problem_id, 'path': path, 'compile': compile, 'style_score': style_score})::varchar) as digest from pilot_manifest")
