@@ -150,6 +150,21 @@ def test_survivors_equal_all_choices(spark):
     assert any(plain[g] != expected[g][1:] for g in plain)
 
 
+def test_only_dependencies_are_searched(spark):
+    rng = random.Random(5)
+    rows = [(i, rng.randrange(40) if i % 3 else 7, rng.choice(["x", None, None]), rng.choice([1, None]), rng.randrange(1, 4)) for i in range(200)]
+    df = spark.createDataFrame(rows, "id bigint, g int, k string, v int, t int")
+    bundles = [survivors.Bundle("a", ("k",), F.col("k").isNotNull(), F.col("t")), survivors.Bundle("b", ("v",), F.col("v").isNotNull())]
+    free = survivors.survivors(df, ["g"], [F.col("id") % 5], "id", bundles)
+    best = lambda own, field, trust: min(((-trust(r), r[0] % 5, r[0]) for r in own if r[field] is not None), default=(None,))[-1]
+    groups = {g: [r for r in rows if r[1] == g] for g in {r[1] for r in rows}}
+    assert {r.g: r[1:] for r in free.collect()} == {g: (len(own), best(own, 2, lambda r: r[4]), best(own, 3, lambda r: 1)) for g, own in groups.items()}
+    assert free.dtypes == [("g", "int"), ("rows", "bigint"), ("a_row", "bigint"), ("b_row", "bigint")]
+    versions = spark.createDataFrame([(*v, "b", i) for i, v in enumerate(VERSIONS)], SCHEMA)
+    searched = {f.__name__: "MapInPandas" in f(versions)._jdf.queryExecution().toString() for f in (survivors.problem_rows, survivors.problem_survivors)}
+    assert searched == {"problem_rows": False, "problem_survivors": True}
+
+
 def test_dependencies_are_checked(spark):
     df = spark.createDataFrame([(i, "g", f"k{i}", i) for i in range(9)], "id bigint, g string, k string, v int")
     bundles = [survivors.Bundle("a", ("k",), F.lit(True)), survivors.Bundle("b", ("v",), F.lit(True))]
